@@ -99,8 +99,10 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn(vecs, requests(spark, sf), 10, DIMS)
 
 
-_HYBRID_SQL = f"""
-{SYMBOLS_SQL}, {request_terms_sql()}, {bm25_sql('symbols', 'id', "concat_ws(' ', name, fqn, code)")}, {knn_sql(60)},
+def hybrid_sql(limit: int) -> str:
+    """CTEs up to ranked(query_id, key, id, leg, score, rank), with the legs tx and vx."""
+    return f"""
+{SYMBOLS_SQL}, {request_terms_sql()}, {bm25_sql('symbols', 'id', "concat_ws(' ', name, fqn, code)")}, {knn_sql(2 * limit)},
 keyed AS (SELECT id, file || '|' || name || '|' || kind AS key FROM symbols),
 tx AS (SELECT query_id, key, id, score, rank FROM bm25 JOIN keyed ON id = doc_id),
 vx AS (SELECT query_id, key, id, similarity AS score, rank FROM near JOIN keyed ON id = vec_id),
@@ -109,9 +111,12 @@ votes AS (SELECT *, 0 AS leg FROM tx WHERE query_id IN (SELECT query_id FROM vx)
 fused AS (SELECT query_id, key, round(sum(1.0 / (60 + rank)), 12) AS score,
                  arg_min(id, leg * 1000 + rank) AS id, min(leg) AS leg FROM votes GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank
-           FROM fused QUALIFY rank <= 30
+           FROM fused QUALIFY rank <= {limit}
            UNION ALL BY NAME SELECT query_id, key, score, id, 0 AS leg, rank FROM tx
-           WHERE rank <= 30 AND query_id NOT IN (SELECT query_id FROM vx))"""
+           WHERE rank <= {limit} AND query_id NOT IN (SELECT query_id FROM vx))"""
+
+
+_HYBRID_SQL = hybrid_sql(30)
 
 
 @register("rrf_hybrid", f"WITH {_HYBRID_SQL} SELECT query_id, key, id, leg, score, rank FROM ranked")

@@ -73,23 +73,23 @@ qterms AS (
 
 
 def bm25_sql(source: str, id_col: str, text: str, limit: int = 100, out: str = "bm25") -> str:
-    """CTEs up to bm25(query_id, doc_id, score, rank); expects qterms."""
+    """CTEs up to out(query_id, doc_id, score, rank), helpers prefixed with out; expects qterms."""
     return rf"""
-toks AS (SELECT {id_col} AS doc_id, {TOKENS_SQL.format(text)} AS ts FROM {source}),
-totals AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
-post AS (SELECT doc_id, dl, term, count(*) AS tf
-         FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY ALL),
-prefixes AS (SELECT DISTINCT prefix FROM qterms),
-vocab AS (SELECT DISTINCT term FROM post),
-vmatch AS (SELECT term, prefix FROM vocab JOIN prefixes ON starts_with(term, prefix)),
-fq AS (SELECT doc_id, dl, prefix, sum(tf) AS f FROM post JOIN vmatch USING (term) GROUP BY ALL),
-dfreq AS (SELECT prefix, count(*) AS df FROM fq GROUP BY ALL),
-weights AS (SELECT doc_id, prefix,
+{out}_toks AS (SELECT {id_col} AS doc_id, {TOKENS_SQL.format(text)} AS ts FROM {source}),
+{out}_totals AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {out}_toks),
+{out}_post AS (SELECT doc_id, dl, term, count(*) AS tf
+         FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM {out}_toks) GROUP BY ALL),
+{out}_prefixes AS (SELECT DISTINCT prefix FROM qterms),
+{out}_vocab AS (SELECT DISTINCT term FROM {out}_post),
+{out}_match AS (SELECT term, prefix FROM {out}_vocab JOIN {out}_prefixes ON starts_with(term, prefix)),
+{out}_f AS (SELECT doc_id, dl, prefix, sum(tf) AS f FROM {out}_post JOIN {out}_match USING (term) GROUP BY ALL),
+{out}_df AS (SELECT prefix, count(*) AS df FROM {out}_f GROUP BY ALL),
+{out}_w AS (SELECT doc_id, prefix,
               greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2
               / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS weight
-            FROM fq JOIN dfreq USING (prefix), totals),
+            FROM {out}_f JOIN {out}_df USING (prefix), {out}_totals),
 {out}_all AS (SELECT query_id, doc_id, round(sum(qtf * weight), 9) AS score
-            FROM weights JOIN qterms USING (prefix) GROUP BY ALL),
+            FROM {out}_w JOIN qterms USING (prefix) GROUP BY ALL),
 {out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
          FROM {out}_all QUALIFY rank <= {limit})"""
 
