@@ -160,6 +160,12 @@ def escape_xml(text: ColumnLike) -> Column:
     return out
 
 
+def micros(ts: ColumnLike) -> Column:
+    """Microseconds since 1970 of a wall-clock timestamp, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, as_col(ts).cast("timestamp_ntz"))
+
+
 def relative_time(ts: ColumnLike, now: ColumnLike) -> Column:
     """'just now', '5m ago', '3h ago', '2d ago' relative to a given instant."""
     seconds = F.unix_timestamp(as_col(now)) - F.unix_timestamp(as_col(ts))

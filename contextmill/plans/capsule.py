@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import relative_path, token_estimate
 from ..operators import fusion, knn, lexical, packing
-from ..session import spread_small  # noqa: F401  (re-exported for the catalogue)
+from ..session import pin_small
 
 # Defaults of the capsule request.
 CAPSULE_LIMIT = 30
@@ -25,29 +23,23 @@ def symbol_key() -> Column:
     return F.concat_ws("|", "file", "name", "kind")
 
 
-@dataclass
-class HybridHits:
-    """The two legs with fusion keys, and the fused ranking (query_id, key, id, leg, score, rank)."""
-
-    text: DataFrame
-    vector: DataFrame
-    fused: DataFrame
-
-
-def hybrid_search(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
-                  dims: int) -> HybridHits:
-    """Text and vector candidates per request, fused.
+def hybrid_candidates(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
+                      dims: int) -> DataFrame:
+    """Keyed candidates (query_id, id, key, score, rank, leg) of the text and the vector leg.
 
     symbols: id, name, kind, file, fqn, code. vectors: vec_id (= symbol id), embedding.
     requests: query_id, text, vector.
     """
-    keys = symbols.select("id", symbol_key().alias("key"))
-    text = (lexical.bm25_search(symbols, requests, "id", symbol_text())
-            .withColumnRenamed("doc_id", "id").join(keys, "id"))
+    text = lexical.bm25_search(symbols, requests, "id", symbol_text()).withColumnRenamed("doc_id", "id")
     near = knn.knn(vectors, requests, 2 * limit, dims)
-    vector = (near.withColumnRenamed("vec_id", "id").withColumnRenamed("similarity", "score")
-              .join(keys, "id"))
-    return HybridHits(text, vector, fusion.hybrid(text, vector, "key", limit, carry="id"))
+    vector = near.withColumnRenamed("vec_id", "id").withColumnRenamed("similarity", "score")
+    return fusion.legs(text, vector).join(symbols.select("id", symbol_key().alias("key")), "id")
+
+
+def hybrid_search(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
+                  dims: int) -> DataFrame:
+    """(query_id, key, id, leg, similarity, score, rank): the fused ranking per request."""
+    return fusion.hybrid(hybrid_candidates(symbols, vectors, requests, limit, dims), limit)
 
 
 def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, returned: DataFrame,
@@ -64,10 +56,9 @@ def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, ret
 def capsule(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
             summaries: DataFrame, limit: int = CAPSULE_LIMIT, dims: int = 768) -> DataFrame:
     """One row per considered hit with representation, payload and size (see packing.pack)."""
-    found = hybrid_search(symbols, vectors, requests, limit, dims)
-    similarity = found.vector.select("query_id", "id", F.col("score").alias("similarity"))
-    hits = prepare_hits(found.fused, symbols, requests, returned, summaries)
-    hits = hits.join(similarity, ["query_id", "id"], "left")
+    requests = pin_small(requests)
+    ranked = hybrid_search(symbols, vectors, requests, limit, dims)
+    hits = prepare_hits(ranked, symbols, requests, returned, summaries)
     # a hit known from the vector leg only carries its similarity and content hash in the row
     number = F.col("similarity").cast(SIMILARITY_TYPE).cast("string")
     extra = F.octet_length(F.concat(F.lit(',"content_hash":"' + "0" * 32 + '","similarity":'), number))

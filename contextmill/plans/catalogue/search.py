@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ...functions.scalars import content_hash
 from ...operators import fusion, knn, lexical, packing
 from ...operators.filters import SearchFilters
+from ...session import pin_small, spread_small
 from .. import capsule as plan
 from . import Catalogue
 from .views import (SYMBOLS_SQL, bm25_sql, knn_sql, request_terms_sql, requests, symbols, table, texts)
@@ -22,7 +23,7 @@ WITH {request_terms_sql()}, {bm25_sql('documents', 'doc_id', 'text')}
 SELECT query_id, doc_id, score, rank FROM bm25""")
 def bm25_batch_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return lexical.bm25_search(plan.spread_small(docs), texts(spark, sf), "doc_id", F.col("text"))
+    return lexical.bm25_search(spread_small(docs), texts(spark, sf), "doc_id", F.col("text"))
 
 
 @register("bm25_prefix_topk", f"""
@@ -32,7 +33,7 @@ SELECT doc_id, score, rank FROM bm25""")
 def bm25_prefix_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     one = spark.range(1).select(F.col("id").alias("query_id"), F.lit("th ion* er, the").alias("text"))
-    found = lexical.bm25_search(plan.spread_small(docs), one, "doc_id", F.col("text"))
+    found = lexical.bm25_search(spread_small(docs), one, "doc_id", F.col("text"))
     return found.select("doc_id", "score", "rank")
 
 
@@ -64,7 +65,7 @@ staged AS (SELECT *, 0 AS stage FROM bm25 UNION ALL BY NAME SELECT *, 1 AS stage
 SELECT query_id, doc_id, score, rank, stage FROM staged
 WHERE stage = (SELECT min(s.stage) FROM staged s WHERE s.query_id = staged.query_id)""")
 def fts_like_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    docs = plan.spread_small(table(spark, sf, "documents"))
+    docs = spread_small(table(spark, sf, "documents"))
     asked = texts(spark, sf).unionByName(
         table(spark, sf, "nation").select((F.col("n_nationkey") + 100000).cast("long").alias("query_id"),
                                           F.lower(F.substring("n_name", 2, 3)).alias("text")))
@@ -121,8 +122,8 @@ _HYBRID_SQL = hybrid_sql(30)
 
 @register("rrf_hybrid", f"WITH {_HYBRID_SQL} SELECT query_id, key, id, leg, score, rank FROM ranked")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    found = plan.hybrid_search(symbols(spark, sf), table(spark, sf, "embeddings"), requests(spark, sf), 30, DIMS)
-    return found.fused.select("query_id", "key", "id", "leg", "score", "rank")
+    ranked = plan.hybrid_search(symbols(spark, sf), table(spark, sf, "embeddings"), pin_small(requests(spark, sf)), 30, DIMS)
+    return ranked.select("query_id", "key", "id", "leg", "score", "rank")
 
 
 @register("hybrid_metrics", f"""
@@ -134,9 +135,9 @@ SELECT item_id AS query_id, coalesce(b, 0) AS bm25_candidates, coalesce(v, 0) AS
        coalesce(CASE WHEN v > 0 THEN k ELSE least(b, 30) END, 0) AS hybrid_after_fuse
 FROM benchmark LEFT JOIN counted ON query_id = item_id""")
 def hybrid_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    req = requests(spark, sf)
-    found = plan.hybrid_search(symbols(spark, sf), table(spark, sf, "embeddings"), req, 30, DIMS)
-    return fusion.stage_counts(req, found.text, found.vector, "key", 30)
+    req = pin_small(requests(spark, sf))
+    found = plan.hybrid_candidates(symbols(spark, sf), table(spark, sf, "embeddings"), req, 30, DIMS)
+    return fusion.stage_counts(req, found, 30)
 
 
 def capsule_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

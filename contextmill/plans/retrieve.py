@@ -8,6 +8,7 @@ from ..functions.languages import fence
 from ..functions.scalars import blank_to_null, escape_xml, relative_path, token_estimate, tokens_saved
 from ..operators import lexical, packing
 from ..operators.ordered import first_per_group
+from ..session import pin_small
 from .capsule import hybrid_search
 
 # Defaults of the retrieve request.
@@ -24,9 +25,9 @@ def memory_budget(token_budget: Column) -> Column:
 def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
                 limit: int, include_source: bool, dims: int) -> tuple[DataFrame, DataFrame]:
     """(chunks, skipped): content of the best hits, and the hits the session already has."""
-    found = hybrid_search(symbols, vectors, requests, 2 * limit, dims)
+    ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims)
     wide = symbols.select("id", "name", "kind", "file", "start_line", "code", "source", "skeleton")
-    hits = (found.fused.where(F.col("rank") <= limit).join(wide, "id")
+    hits = (ranked.where(F.col("rank") <= limit).join(wide, "id")
             .join(requests.select("query_id", "session_id", "mode", "root"), "query_id"))
     hits = packing.mark_returned(hits, returned)
     has_content = F.concat_ws("", "skeleton", "code", "source") != ""
@@ -103,6 +104,7 @@ def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests:
     memory, if given, has (query_id, memory_text, memory_tokens, memory_lines); its tokens reduce the
     budget, of which MIN_REMAINING always stay.
     """
+    requests = pin_small(requests)
     budgets = requests.select("query_id", "token_budget")
     if memory is not None:
         budgets = budgets.join(memory, "query_id", "left").withColumn(
