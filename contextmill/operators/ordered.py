@@ -95,3 +95,28 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
     rest = [c for c in df.columns if c not in by]
     best = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return best.select(*by, "__row.*").select(*df.columns)
+
+
+def as_of(probes: DataFrame, versions: DataFrame, by: Sequence[str], at: Column, since: Column,
+          take: Sequence[str], out: str, buckets: int | None = None) -> DataFrame:
+    """Adds to every probe a struct of the last version of its group with since <= at, null if none.
+
+    at and since are numbers. Probes and versions are merged on the time axis, so the work is linear
+    even where one group holds most of both; among versions of one instant the largest row wins.
+    """
+    p = probes.select(F.struct("*").alias("__p"), *by, at.alias("__t"), F.lit(None).alias("__v"))
+    v = versions.select(F.lit(None).alias("__p"), *by, since.alias("__t"), F.struct(*take).alias("__v"))
+    points = split_points(v, F.col("__t"), buckets)
+    both = p.select("__p", *by, "__t", F.lit(None).cast(v.schema["__v"].dataType).alias("__v")).unionByName(
+        v.select(F.lit(None).cast(p.schema["__p"].dataType).alias("__p"), *by, "__t", "__v"))
+    placed = both.withColumn(_B, bucket_of(F.col("__t"), points))
+    last = placed.where("__v IS NOT NULL").groupBy(*by, _B).agg(F.max(F.struct("__t", "__v")).alias("__last"))
+    every = placed.select(*by, _B).distinct().join(last, [*by, _B], "left")
+    before = Window.partitionBy(*_group(by)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*by, _B, F.last("__last", ignorenulls=True).over(before)["__v"].alias("__carry"))
+    # versions sort before probes of the same instant
+    inside = (Window.partitionBy(*by, _B).orderBy("__t", F.col("__p").isNotNull(), "__v")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = (placed.join(carried, [*by, _B])
+              .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__carry"))))
+    return filled.where("__p IS NOT NULL").select("__p.*", out)

@@ -1,3 +1,300 @@
+"""Index statistics, consistency joins, scopes, extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ...functions.globs import DEFAULT_IGNORES, any_glob, excluded_project, walkable
+from ...functions.languages import language_of
+from ...functions.scalars import embed_hash
+from ...functions.text import line_range
+from ...operators import filters, upkeep, usage
+from ...operators import symbols as extraction
+from ...operators.chunking import url_path
+from ...session import spread_small
 from . import Catalogue
+from .usage import LOG_SQL, call_log
+from .views import SYMBOLS_SQL, symbols, table
 
 CATALOGUE = Catalogue()
+register = CATALOGUE.register
+
+HASH_SQL = "substr(sha256(encode(kind || ' ' || name || ': ') || array_slice(encode(source), 1, 500)), 1, 32)"
+HASHED_SQL = f"""{SYMBOLS_SQL},
+hashed AS (SELECT *, CASE WHEN strlen(source) < 100 THEN '' ELSE {HASH_SQL} END AS embed_hash FROM symbols)"""
+EDGES_SQL = """
+edges AS (SELECT '/web/' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS source_file,
+                 unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, 'import' AS kind FROM pages)"""
+
+
+def hashed_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.when(F.octet_length("source") < 100, "").otherwise(embed_hash("kind", "name", "source"))
+    return symbols(spark, sf).withColumn("embed_hash", h)
+
+
+def page_file(url: str = "url"):
+    host = F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1)
+    return F.concat(F.lit("/web/"), host, url_path(url))
+
+
+def page_edges(spark: SparkSession, sf: str) -> DataFrame:
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return table(spark, sf, "pages").select(page_file().alias("source_file"), F.explode(hrefs).alias("target"),
+                                            F.lit("import").alias("kind"), F.lit(None).cast("string").alias("source_symbol"),
+                                            F.lit("/web").alias("project_path"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of the first 500 documents; those with a high label were computed from older text."""
+    v = table(spark, sf, "embeddings")
+    syms = hashed_symbols(spark, sf).select(F.col("id").alias("vec_id"), "embed_hash", "project_path")
+    joined = v.select("vec_id", "label").join(syms, "vec_id")
+    return joined.select(F.col("vec_id").alias("symbol_id"), "project_path", F.lit("code").alias("doc_type"),
+                         F.when(F.col("label") < 7, F.col("embed_hash")).otherwise("old").alias("content_hash"))
+
+
+@register("kind_counts", f"WITH {SYMBOLS_SQL} SELECT kind, count(*) AS count FROM symbols GROUP BY ALL")
+def kind_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.kind_counts(symbols(spark, sf))
+
+
+@register("language_stats", f"""
+WITH {SYMBOLS_SQL} SELECT CASE WHEN file ILIKE '%.py' THEN 'Python' WHEN file ILIKE '%.go' THEN 'Go'
+  WHEN file ILIKE '%.ts' THEN 'TypeScript' WHEN file ILIKE '%.sh' THEN 'Bash' ELSE 'Other' END AS language,
+  count(DISTINCT file) AS files, count(*) AS symbols FROM symbols GROUP BY ALL""")
+def language_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.language_stats(symbols(spark, sf))
+
+
+@register("top_imports", f"WITH {EDGES_SQL} SELECT target, count(*) AS count FROM edges GROUP BY ALL ORDER BY count DESC, target LIMIT 20")
+def top_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.top_imports(page_edges(spark, sf))
+
+
+@register("index_stats", f"""
+WITH {SYMBOLS_SQL}, {EDGES_SQL} SELECT count(*) AS total_symbols, count(DISTINCT file) AS total_files, (SELECT count(*) FROM edges) AS total_edges,
+  (SELECT count(*) FROM embeddings) AS total_vectors, (SELECT count(*) * 64 * 4 / 1048576 FROM embeddings) AS vector_memory_mb FROM symbols""")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.index_health(symbols(spark, sf), page_edges(spark, sf), table(spark, sf, "embeddings"), 64)
+
+
+@register("vector_stats", "SELECT count(*) AS total_vectors, count(*) * 64 * 4 / 1048576 AS memory_mb FROM embeddings")
+def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.vector_stats(table(spark, sf, "embeddings"), 64)
+
+
+@register("project_full_outer", f"""
+WITH {SYMBOLS_SQL}, {LOG_SQL},
+s AS (SELECT project_path, count(*) AS sc, count(DISTINCT file) AS fc FROM symbols GROUP BY ALL),
+q AS (SELECT project_path, count(*) AS qc FROM log WHERE project_path NOT IN ('', '.') GROUP BY ALL),
+d AS (SELECT DISTINCT '/found/' || n_name AS project_path FROM nation)
+SELECT project_path, coalesce(sc, 0) AS symbol_count, coalesce(fc, 0) AS file_count, coalesce(qc, 0) AS query_count,
+       regexp_extract(project_path, '[^/]*$') AS label
+FROM s FULL JOIN q USING (project_path) FULL JOIN d USING (project_path)""")
+def project_full_outer(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "nation").select(F.concat(F.lit("/found/"), "n_name").alias("project_path"))
+    return usage.project_overview(symbols(spark, sf), call_log(spark, sf), found)
+
+
+@register("called_projects", f"""
+WITH {SYMBOLS_SQL}, {LOG_SQL}, s AS (SELECT project_path, count(*) AS sc, count(DISTINCT file) AS fc FROM symbols GROUP BY ALL)
+SELECT project_path, count(*) AS query_count, coalesce(any_value(sc), 0) AS symbol_count, coalesce(any_value(fc), 0) AS file_count,
+       regexp_extract(project_path, '[^/]*$') AS name FROM log LEFT JOIN s USING (project_path) GROUP BY project_path""")
+def called_projects(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.called_projects(symbols(spark, sf), call_log(spark, sf))
+
+
+@register("scope_index_stats", f"""
+WITH {SYMBOLS_SQL}, links AS (SELECT '/src/src' || n_regionkey AS parent, '/src/src' || (n_nationkey - 5) AS child FROM nation WHERE n_nationkey > 9),
+roots AS (SELECT '/src/src' || r_regionkey AS root FROM region),
+scope AS (SELECT root, root AS project_path FROM roots UNION SELECT root, child FROM roots JOIN links ON parent = root),
+c AS (SELECT project_path, count(*) AS sc, count(DISTINCT file) AS fc FROM symbols GROUP BY ALL)
+SELECT root, coalesce(sum(sc) FILTER (root = project_path), 0)::BIGINT AS own_nodes, coalesce(sum(fc) FILTER (root = project_path), 0)::BIGINT AS own_files,
+       coalesce(sum(sc), 0)::BIGINT AS total_nodes, coalesce(sum(fc), 0)::BIGINT AS total_files FROM scope LEFT JOIN c USING (project_path) GROUP BY root""")
+def scope_index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    def path(n):
+        return F.concat(F.lit("/src/src"), n.cast("string"))
+
+    links = table(spark, sf, "nation").where("n_nationkey > 9").select(
+        path(F.col("n_regionkey")).alias("parent_path"), path(F.col("n_nationkey") - 5).alias("child_path"))
+    roots = table(spark, sf, "region").select(path(F.col("r_regionkey")).alias("root"))
+    return usage.scope_index_stats(symbols(spark, sf), filters.scope_paths(links, roots))
+
+
+@register("missing_vectors", f"""
+WITH {HASHED_SQL},
+v AS (SELECT vec_id AS symbol_id, project_path, CASE WHEN label < 7 THEN embed_hash ELSE 'old' END AS content_hash
+      FROM embeddings JOIN hashed ON id = vec_id)
+SELECT DISTINCT file, project_path FROM hashed h WHERE embed_hash <> '' AND NOT EXISTS (
+  SELECT 1 FROM v WHERE v.project_path = h.project_path AND v.content_hash = h.embed_hash)
+UNION SELECT file, project_path FROM hashed h WHERE embed_hash = '' AND NOT EXISTS (
+  SELECT 1 FROM v WHERE v.project_path = h.project_path AND v.symbol_id = h.id)""")
+def missing_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return upkeep.missing_vectors(hashed_symbols(spark, sf), vectors(spark, sf))
+
+
+@register("orphan_vectors", "SELECT vec_id AS symbol_id, label FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id)")
+def orphan_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("symbol_id"), "label")
+    return upkeep.orphan_vectors(vecs, table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
+
+
+@register("stale_pending", f"""
+WITH {SYMBOLS_SQL}, kept AS (SELECT file, project_path FROM symbols WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 0)),
+pending AS (SELECT file, project_path FROM symbols WHERE kind = 'class')
+SELECT file, project_path FROM pending p WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.file = p.file AND k.project_path = p.project_path)""")
+def stale_pending(spark: SparkSession, sf: str) -> DataFrame:
+    syms = symbols(spark, sf)
+    clean = table(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("id"))
+    return upkeep.stale_pending(syms.where("kind = 'class'").select("file", "project_path"), syms.join(clean, "id", "left_semi"))
+
+
+@register("catchup_diff", f"""
+WITH {SYMBOLS_SQL},
+disk AS (SELECT file, length(source) AS mtime FROM symbols),
+indexed AS (SELECT file, 900 AS indexed_at FROM symbols WHERE id IN (SELECT doc_id FROM labels)
+            UNION ALL SELECT '/src/page_' || page_id, 900 FROM pages)
+SELECT file, CASE WHEN indexed_at IS NULL THEN 'new' WHEN mtime IS NULL THEN 'deleted' WHEN mtime > indexed_at THEN 'modified' ELSE 'unchanged' END AS status
+FROM disk FULL JOIN indexed USING (file)""")
+def catchup_diff(spark: SparkSession, sf: str) -> DataFrame:
+    syms = symbols(spark, sf)
+    known = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    indexed = syms.join(known, "id", "left_semi").select("file", F.lit(900).alias("indexed_at")).unionByName(
+        table(spark, sf, "pages").select(F.concat(F.lit("/src/page_"), F.col("page_id").cast("string")).alias("file"), F.lit(900).alias("indexed_at")))
+    return upkeep.catch_up(syms.select("file", F.length("source").alias("mtime")), indexed)
+
+
+@register("upsert_latest", """
+SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return upkeep.latest_by_key(log, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@register("links_scope", f"""
+WITH {EDGES_SQL}, p AS (SELECT DISTINCT project_path FROM (
+   SELECT regexp_replace(source_file, '/[^/]*$', '') AS project_path FROM edges UNION ALL
+   SELECT regexp_extract(source_file, '^/web/[^/]*') FROM edges) WHERE project_path NOT IN ('', '.'))
+SELECT a.project_path AS parent_path, b.project_path AS child_path FROM p a JOIN p b ON starts_with(b.project_path, a.project_path || '/')""")
+def links_scope(spark: SparkSession, sf: str) -> DataFrame:
+    file = page_edges(spark, sf).select("source_file").distinct()
+    paths = file.select(F.regexp_replace("source_file", "/[^/]*$", "").alias("project_path")).unionByName(
+        file.select(F.regexp_extract("source_file", "^/web/[^/]*", 0).alias("project_path")))
+    return filters.auto_links(paths)
+
+
+@register("owning_project", """
+WITH f AS (SELECT page_id, url, '/web/' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS file FROM pages),
+c AS (SELECT DISTINCT regexp_extract(file, '^/web/[^/]*') AS child FROM f UNION
+      SELECT regexp_extract(file, '^/web/[^/]*/[^/]*') FROM f WHERE starts_with(url, 'https'))
+SELECT page_id, file, coalesce(max_by(child, length(child)), '/web') AS owner
+FROM f LEFT JOIN c ON file = child OR starts_with(file, child || '/') GROUP BY page_id, file""")
+def owning_project(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "pages").select("page_id", "url", page_file().alias("file"))
+    child = files.select(F.regexp_extract("file", "^/web/[^/]*", 0).alias("child_path")).unionByName(
+        files.where(F.startswith("url", F.lit("https"))).select(F.regexp_extract("file", "^/web/[^/]*/[^/]*", 0).alias("child_path")))
+    links = child.distinct().select(F.lit("/web").alias("parent_path"), "child_path")
+    return filters.owning_project(files, links, "/web").select("page_id", "file", "owner")
+
+
+@register("glob_filter", r"""
+WITH f AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://(.*)$', 1) AS rel FROM pages)
+SELECT page_id, rel FROM f WHERE NOT (contains('/' || rel || '/', '/en/') OR regexp_matches(rel, '(^|/)[^/]*\.html$'))""")
+def glob_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rel = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://(.*)$", 1).alias("rel"))
+    return rel.where(~any_glob("rel", ["**/en/**", "*.html", *DEFAULT_IGNORES]) & walkable("rel"))
+
+
+@register("exclude_filter", r"""
+WITH f AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+:/(/[^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path FROM f WHERE NOT (regexp_extract(path, '[^/]*$') = '' OR starts_with(path, '/spam-farm.example.org/'))""")
+def exclude_filter(spark: SparkSession, sf: str) -> DataFrame:
+    paths = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-zA-Z]+:/(/[^?#]*)", 1).alias("path"))
+    return paths.where(~excluded_project("path", ["basename:", "/spam-farm.example.org"]))
+
+
+@register("source_range", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, CASE WHEN len(ls) >= 4 THEN array_to_string(ls[2:4], chr(10)) ELSE '' END AS piece FROM l""")
+def source_range(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", line_range("text", F.lit(2), F.lit(4)).alias("piece"))
+
+
+@register("file_languages", f"""
+WITH {SYMBOLS_SQL} SELECT id, CASE regexp_extract(file, '\\.[^.]+$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.ts' THEN 'typescript' ELSE 'bash' END AS language FROM symbols""")
+def file_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols(spark, sf).select("id", language_of("file").alias("language"))
+
+
+# --- extraction from files that Spark writes out of the documents ------------------------------
+
+QUOTES = '"' * 3
+
+
+def _python_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_small(table(spark, sf, "documents"))
+    block = F.transform(F.split("text", "\n"), lambda line, i: F.concat(
+        F.when(i % 2 == 1, F.lit("@cached\n")).otherwise(F.lit("")), F.lit("def fn_"), (i + 1).cast("string"),
+        F.lit(f"(arg):\n    {QUOTES}"), line, F.lit(f"{QUOTES}\n    return arg\n")))
+    content = F.concat(F.lit("import "), "source", F.lit(", sys\nfrom ."), "lang", F.lit(" import x\n\n"), F.array_join(block, "\n"))
+    return docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"),
+                       F.lit("/gen").alias("project_path"), content.alias("content"))
+
+
+@register("symbols_python", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+b AS (SELECT *, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS deco FROM l),
+s AS (SELECT *, 4 + coalesce(sum(4 + deco) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_line FROM b)
+SELECT '/gen/doc_' || doc_id || '.py' AS file, 'fn_' || n AS name, 'function' AS kind, start_line, start_line + 2 + deco AS end_line,
+       'doc_' || doc_id || '.py.fn_' || n AS fqn,
+       CASE WHEN deco = 1 THEN '@cached' ELSE 'def fn_' || n || '(arg):' || chr(10) || '    ' || repeat(chr(34), 3) || line || repeat(chr(34), 3) END AS skeleton
+FROM s WHERE line NOT LIKE '%"%'""")
+def symbols_python(spark: SparkSession, sf: str) -> DataFrame:
+    found = extraction.extract_symbols(_python_files(spark, sf))
+    # a quote inside the text would end the docstring early
+    return found.where(F.size(F.split("source", '"')) == 7).select(
+        "file", "name", "kind", "start_line", "end_line", "fqn", "skeleton")
+
+
+@register("import_edges", """
+SELECT '/gen/doc_' || doc_id || '.py' AS source_file, unnest([source, 'sys', '.' || lang]) AS target, 'import' AS kind FROM documents""")
+def import_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract_imports(_python_files(spark, sf)).select("source_file", "target", "kind")
+
+
+@register("yaml_symbols", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n,
+                  len(string_split(text, chr(10))) AS total FROM documents),
+tasks AS (SELECT doc_id, CASE WHEN n % 2 = 0 THEN 'line ' || n ELSE 'tasks[' || (n - 1) || ']' END AS name, 'task' AS kind,
+                 (4 + (n - 1) // 2 * 4 + (n - 1) % 2 * 2 )::INT AS start_line, n FROM l),
+plays AS (SELECT DISTINCT doc_id, 'doc ' || doc_id AS name, 'play' AS kind, 1 AS start_line, 0 AS n FROM l)
+SELECT '/gen/doc_' || doc_id || '.yml' AS file, name, kind, start_line FROM tasks UNION ALL
+SELECT '/gen/doc_' || doc_id || '.yml', name, kind, start_line FROM plays""")
+def yaml_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_small(table(spark, sf, "documents"))
+    task = F.transform(F.split("text", "\n"), lambda line, i: F.when(
+        i % 2 == 1, F.concat(F.lit("    - name: line "), (i + 1).cast("string"), F.lit("\n      debug:")))
+        .otherwise(F.lit("    - debug:\n        msg: x")))
+    content = F.concat(F.lit("- name: doc "), F.col("doc_id").cast("string"), F.lit("\n  hosts: all\n  tasks:\n"), F.array_join(task, "\n"))
+    files = docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".yml")).alias("file"),
+                        F.lit("/gen").alias("project_path"), content.alias("content"))
+    return extraction.extract_symbols(files).select("file", "name", "kind", "start_line")
+
+
+@register("fish_symbols", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT '/gen/doc_' || doc_id || '.fish' AS file, 'f_' || n AS name, (1 + (n - 1) * 5)::INT AS start_line, (5 + (n - 1) * 5)::INT AS end_line FROM l""")
+def fish_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_small(table(spark, sf, "documents"))
+    block = F.transform(F.split("text", "\n"), lambda line, i: F.concat(
+        F.lit("function f_"), (i + 1).cast("string"), F.lit("\n  if true\n    # "), line, F.lit("\n  end\nend")))
+    files = docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".fish")).alias("file"),
+                        F.lit("/gen").alias("project_path"), F.array_join(block, "\n").alias("content"))
+    return extraction.extract_symbols(files).select("file", "name", "start_line", "end_line")
+
+
+@register("analyze_complexity", f"""
+WITH {SYMBOLS_SQL}, c AS (SELECT name, file, kind, 1 + len(regexp_extract_all(source, '\\b(?:if|elif|for|while|case|catch|except|when|switch)\\b|&&|\\|\\||\\?\\s')) AS complexity FROM symbols)
+SELECT * FROM c WHERE complexity >= 2 ORDER BY complexity DESC, file, name LIMIT 20""")
+def analyze_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.analyze_complexity(symbols(spark, sf), 2, 20)
