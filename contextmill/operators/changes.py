@@ -24,7 +24,7 @@ def is_removal(event: Column) -> Column:
 def idle_sessions(events: DataFrame, by: list[str], ts: str, tie: str, gap: Column) -> DataFrame:
     """(by…, session_no, session_start, session_end, events): a session ends after an idle gap, given
     in seconds and possibly different per row (a pinned project waits longer)."""
-    placed = events.withColumn("__t", micros(ts)).withColumn("__gap", gap * 1_000_000)
+    placed = events.withColumn("__t", micros(ts)).withColumn("__gap", gap.cast("long") * 1_000_000)
     prev = neighbour(placed, by, F.col("__t"), ["__t", tie], ["__t", "__gap"], "__p", following=False)
     starts = F.col("__p").isNull() | (F.col("__t") - F.col("__p.__t") > F.col("__p.__gap"))
     marked = prev.withColumn("__s", starts.cast("long")).drop("__p", "__gap")

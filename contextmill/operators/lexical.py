@@ -196,9 +196,8 @@ def substring_search(docs: DataFrame, requests: DataFrame, id_col: str, name: Co
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit)
 
 
-def phrase_search(docs: DataFrame, requests: DataFrame, id_col: str, fields: list[Column],
-                  newest: list[Column], limit: int, score: float = 0.5) -> DataFrame:
-    """Whole query string contained in a field (case-insensitive), newest first, constant score."""
+def phrase_matches(docs: DataFrame, requests: DataFrame, fields: list[Column]) -> DataFrame:
+    """docs with query_id for every request whose whole text occurs in a field (case-insensitive)."""
     found = None
     haystack = F.lower(F.concat_ws("\u0001", *fields))
     for batch in request_batches(requests, [F.col("query_id"), F.lower("text").alias("phrase")]):
@@ -211,7 +210,13 @@ def phrase_search(docs: DataFrame, requests: DataFrame, id_col: str, fields: lis
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.withColumn("query_id", F.lit(None).cast("long")).where(F.lit(False))
-    ranked = top_per_group(found, ["query_id"], newest, limit)
+    return found
+
+
+def phrase_search(docs: DataFrame, requests: DataFrame, id_col: str, fields: list[Column],
+                  newest: list[Column], limit: int, score: float = 0.5) -> DataFrame:
+    """Best phrase matches per request in the given order, with a constant score."""
+    ranked = top_per_group(phrase_matches(docs, requests, fields), ["query_id"], newest, limit)
     return ranked.select("query_id", F.col(id_col).alias("doc_id"), F.lit(score).alias("score"), "rank")
 
 
