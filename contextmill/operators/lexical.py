@@ -22,6 +22,7 @@ from .ordered import top_per_group
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
 CANDIDATES = 100
+MAX_PUSHED_PREFIXES = 100
 SCORE_DIGITS = 9
 
 
@@ -60,7 +61,14 @@ class TextIndex:
 
     def matches(self, asked: "Asked") -> DataFrame:
         """(doc_id, dl, prefix, f) for the wanted prefixes, words of one prefix added up."""
-        expanded = expand_prefixes(self.postings, asked.lengths)
+        postings = self.postings
+        if asked.few and len(asked.words) <= MAX_PUSHED_PREFIXES:
+            # string-prefix filters reach the term-clustered Parquet files and skip row groups
+            wanted = F.lit(False)
+            for word in asked.words:
+                wanted = wanted | F.startswith("term", F.lit(word))
+            postings = postings.where(wanted)
+        expanded = expand_prefixes(postings, asked.lengths)
         return (expanded.join(asked.prefixes, "prefix")
                 .groupBy("doc_id", "dl", "prefix").agg(F.sum("tf").alias("f")))
 
@@ -121,6 +129,7 @@ class Asked:
     terms: DataFrame
     prefixes: DataFrame
     lengths: list[int] | None
+    words: tuple[str, ...] = ()
 
     @property
     def few(self) -> bool:
@@ -136,7 +145,7 @@ class Asked:
         spark = requests.sparkSession
         prefixes = spark.createDataFrame(pa.table({"prefix": pa.array(words, pa.string())}), "prefix string")
         lengths = sorted({len(w) for w in words}) or [1]
-        return cls(F.broadcast(spark.createDataFrame(found, raw.schema)), F.broadcast(prefixes), lengths)
+        return cls(F.broadcast(spark.createDataFrame(found, raw.schema)), F.broadcast(prefixes), lengths, tuple(words))
 
 
 def bm25_search(docs: DataFrame, requests: DataFrame, id_col: str, text: Column,

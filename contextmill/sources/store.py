@@ -67,6 +67,17 @@ class Store:
         live = without(self.read("context_notes"), self.read("note_tombstones"), ["ref"])
         return live.join(counts, "ref", "left").na.fill(0, ["access_count"])
 
+    def doc_sources(self) -> DataFrame:
+        """Listed sources; a version without url removes a source."""
+        return latest_by_key(self.read("doc_sources"), ["id"], ["created_at"]).where("url <> ''")
+
+    def doc_content(self) -> DataFrame:
+        """Chunks of the latest fetch of every listed source."""
+        rows = self.read("doc_content")
+        newest = rows.groupBy("source_id").agg(F.max("updated_at").alias("updated_at"))
+        newest = newest.join(self.doc_sources().select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        return rows.join(newest, ["source_id", "updated_at"], "left_semi")
+
     def settings(self) -> DataFrame:
         return latest_by_key(self.read("settings"), ["key"], ["updated_at"])
 

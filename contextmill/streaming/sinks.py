@@ -27,15 +27,12 @@ def index_batch(store: Store, files: DataFrame, now: Column) -> None:
     All rows carry the batch's version, and the manifest is written last, so readers switch to the new
     rows of a file at once and a retried batch leaves at most rows that no manifest row points to.
     """
-    stamped = files.withColumn("version", now)
-    version = stamped.select("file", "project_path", "version")
-    keys = ["file", "project_path"]
-    symbols = extract_symbols(files).join(version, keys)
+    files = files.persist()
     ident = F.xxhash64("project_path", "file", "name", "kind", "start_line")
-    store.append("symbols", symbols.withColumn("id", ident))
-    edges = extract_imports(files).join(version.withColumnRenamed("file", "source_file"), ["source_file", "project_path"])
-    store.append("edges", edges)
-    store.append("indexed_files", version.withColumnRenamed("version", "indexed_at"))
+    store.append("symbols", extract_symbols(files).withColumn("id", ident).withColumn("version", now))
+    store.append("edges", extract_imports(files).withColumn("version", now))
+    store.append("indexed_files", files.select("file", "project_path", now.alias("indexed_at")))
+    files.unpersist()
 
 
 def index_stream(files: DataFrame, store: Store, checkpoint: str, interval: str = LOG_INTERVAL) -> DataStreamWriter:
