@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .scalars import ColumnLike, as_col
 
@@ -35,7 +35,7 @@ def l2_normalize(v: ColumnLike) -> Column:
     return F.when(length == 0, _doubles(v)).otherwise(F.transform(_doubles(v), lambda x: x / length))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_float32(blob: pd.Series) -> pd.Series:
     """Little-endian float32 blob to array; null when the length is not a multiple of four."""
     return blob.map(lambda b: list(struct.unpack(f"<{len(b) // 4}f", b))

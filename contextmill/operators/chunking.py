@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import ColumnLike, as_col, trim_space
 
@@ -81,7 +81,7 @@ def markdown_sections(text: ColumnLike, path: ColumnLike) -> Column:
 
 # --- JSON --------------------------------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def indented_json(text: pd.Series) -> pd.Series:
     """JSON text with two blanks of indentation and sorted keys."""
     return text.map(lambda t: None if t is None else
@@ -105,7 +105,7 @@ def json_sections(df: DataFrame, raw: str, path: str) -> DataFrame:
     out = parsed.select("*", is_object.alias("__o"), F.posexplode(sections).alias("position", "__s"))
     out = out.withColumn("title", F.col("__s.title"))
     nested = F.col("__o") & F.rlike(F.col("__s.content"), F.lit(r"^\s*[\[{]"))
-    return (out.withColumn("content", F.when(nested, indented_json("__s.content")).otherwise(F.col("__s.content")))
+    return (out.withColumn("content", F.when(nested, indented_json(F.when(nested, F.col("__s.content")))).otherwise(F.col("__s.content")))
             .where("content <> ''").drop("__v", "__o", "__s"))
 
 
