@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import prefix_terms, query_terms, tokens
 from ..session import MAX_PINNED_ROWS
@@ -230,10 +230,11 @@ def phrase_search(docs: DataFrame, requests: DataFrame, id_col: str, fields: lis
 
 
 def first_non_empty(*stages: DataFrame, by: str = "query_id") -> DataFrame:
-    """Cascade: per request the rows of the first stage that returned any. Equal columns expected."""
+    """Cascade: per request the rows of the first stage that returned any. Equal columns expected; each
+    stage must already be cut per request, so that the window over a request stays small."""
     tagged = None
     for i, stage in enumerate(stages):
         part = stage.withColumn("stage", F.lit(i))
         tagged = part if tagged is None else tagged.unionByName(part)
-    winner = tagged.groupBy(by).agg(F.min("stage").alias("stage"))
-    return tagged.join(winner, [by, "stage"])
+    winner = F.min("stage").over(Window.partitionBy(by))
+    return tagged.withColumn("__w", winner).where(F.col("stage") == F.col("__w")).drop("__w")

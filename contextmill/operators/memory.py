@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import ColumnLike, as_col, micros, token_estimate, trim_space
 from ..functions.text import tokens
 from . import fusion, knn
-from .lexical import Asked, expand_prefixes, phrase_search
+from ..session import pin_small
+from .lexical import Asked, expand_prefixes, first_non_empty, phrase_matches
 from .ordered import as_of, neighbour, top_per_group
 
 # Recall defaults and the assumed size of a source relative to its line.
@@ -145,12 +146,12 @@ def _newest() -> list[Column]:
     return [F.desc("access_count"), F.desc("created_at"), F.col("ref")]
 
 
-def matching_entries(entries: DataFrame, requests: DataFrame) -> DataFrame:
-    """(query_id, ref) of entries with a word that starts with a query term."""
+def matching_entries(entries: DataFrame, requests: DataFrame, keep: list[str]) -> DataFrame:
+    """(query_id, keep…) of entries with a word that starts with a query term; keep holds the ref."""
     asked = Asked.of(requests)
-    words = entries.select("ref", F.explode_outer(F.array_distinct(tokens(F.concat_ws(" ", *_text())))).alias("term"))
-    hits = expand_prefixes(words, asked.lengths).join(asked.prefixes, "prefix").select("ref", "prefix").distinct()
-    return hits.join(asked.terms, "prefix").select("query_id", "ref").distinct()
+    words = entries.select(*keep, F.explode_outer(F.array_distinct(tokens(F.concat_ws(" ", *_text())))).alias("term"))
+    hits = expand_prefixes(words, asked.lengths).join(asked.prefixes, "prefix").select(*keep, "prefix")
+    return hits.join(asked.terms, "prefix").select("query_id", *keep).distinct()
 
 
 def recall(entries: DataFrame, requests: DataFrame, valid: Column | None = None, scope: Column | None = None,
@@ -168,26 +169,31 @@ def recall(entries: DataFrame, requests: DataFrame, valid: Column | None = None,
         live = live.where(scope)
     if kinds:
         live = live.where(F.col("kind").isin(*kinds))
-    order = live.select("ref", "access_count", "created_at")
-    typed = requests.where(F.trim("text") != "")
-    words = matching_entries(live, typed).join(order, "ref").withColumn("stage", F.lit(0))
-    phrase = phrase_search(live, typed, "ref", _text(), _newest(), limit).select(
-        "query_id", F.col("doc_id").alias("ref")).join(order, "ref").withColumn("stage", F.lit(1))
-    empty = requests.where(F.trim("text") == "").select("query_id")
-    staged = words.unionByName(phrase)
-    if vectors is not None:
-        near = knn.knn(vectors, requests, limit, dims).withColumnRenamed("vec_id", "ref").select("query_id", "ref")
-        staged = staged.unionByName(near.join(order, "ref").withColumn("stage", F.lit(2)))
-    first = staged.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    best = top_per_group(staged.join(first, ["query_id", "stage"]), ["query_id"], _newest(), limit)
-    listed = live.select("ref", "access_count", "created_at").orderBy(*_newest()).limit(limit)
-    # at most `limit` references, handed to every request without text
-    known_refs = listed.agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("access_count")).alias("a"), (-micros("created_at")).alias("c"), "ref"))).alias("l")).scalar()
-    known = empty.select("query_id", F.posexplode(known_refs).alias("p", "r")).select(
-        "query_id", F.col("r.ref").alias("ref"), (F.col("p") + 1).alias("rank"))
-    chosen = best.select("query_id", "ref", "rank").unionByName(known.select("query_id", "ref", "rank"))
-    rows = chosen.join(live.select("ref", "valid_until", format_line().alias("line"), entry_tokens().alias("tokens")), "ref")
+    live = live.withColumns({"line": format_line(), "tokens": entry_tokens()})
+    keep = ["ref", "access_count", "created_at", "valid_until", "line", "tokens"]
+    requests = pin_small(requests)
+    blank = F.trim("text") == ""
+    typed, empty = requests.where(~blank), requests.where(blank).select("query_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        return top_per_group(found.select("query_id", *keep), ["query_id"], _newest(), limit)
+
+    parts = []
+    if not typed.isEmpty():
+        stages = [best(matching_entries(live, typed, keep)), best(phrase_matches(live, typed, _text()))]
+        if vectors is not None:
+            near = knn.knn(vectors, typed, limit, dims).withColumnRenamed("vec_id", "ref").select("query_id", "ref")
+            stages.append(best(near.join(live.select(*keep), "ref")))
+        parts.append(first_non_empty(*stages).drop("stage"))
+    if not empty.isEmpty():
+        listed = live.select(*keep).orderBy(*_newest()).limit(limit)
+        # at most `limit` entries, handed to every request without text
+        known = listed.agg(F.sort_array(F.collect_list(F.struct(
+            (-F.col("access_count")).alias("a"), (-micros("created_at")).alias("c"), F.col("ref").alias("r"),
+            F.struct(*keep).alias("e")))).alias("l")).scalar()
+        rows = empty.select("query_id", F.posexplode(known).alias("p", "k"))
+        parts.append(rows.select("query_id", "k.e.*", (F.col("p") + 1).alias("rank")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = rows.withColumn("cum_tokens", F.sum("tokens").over(w))
     return cum.where((F.col("cum_tokens") <= budget) | (F.col("rank") == 1)).select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
 from . import fusion
-from .lexical import Asked, expand_prefixes, phrase_matches
+from .lexical import Asked, expand_prefixes, first_non_empty, phrase_matches
 from .ordered import top_per_group
 
 LIST_LIMIT, SEARCH_LIMIT = 20, 5
@@ -47,14 +47,10 @@ def search_notes(notes: DataFrame, requests: DataFrame, limit: int = SEARCH_LIMI
         (F.col("wanted") == "") | (F.col("wanted") == F.col("session_id")))
     mine = mine.select("query_id", "ref", "created_at").distinct()
     text = top_per_group(mine, ["query_id"], newest, 2 * limit).select("query_id", "ref", F.lit(1.0).alias("score"), "rank")
-    text = text.withColumn("stage", F.lit(0))
     found = phrase_matches(notes, requests, [F.coalesce("label", F.lit("")), F.col("content")]).join(sessions, "query_id")
     found = found.where((F.col("wanted") == "") | (F.col("wanted") == F.col("session_id")))
     like = top_per_group(found.select("query_id", "ref", "created_at"), ["query_id"], newest, 2 * limit)
-    like = like.select("query_id", "ref", F.lit(0.5).alias("score"), "rank").withColumn("stage", F.lit(1))
-    staged = text.unionByName(like)
-    first = staged.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    ranked = staged.join(first, ["query_id", "stage"]).select("query_id", "ref", "score", "rank")
+    ranked = first_non_empty(text, like.select("query_id", "ref", F.lit(0.5).alias("score"), "rank")).drop("stage")
     if vector_hits is None:
         return ranked.where(F.col("rank") <= limit)
     return fusion.rrf([ranked, vector_hits], "ref", limit)

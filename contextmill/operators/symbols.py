@@ -74,8 +74,31 @@ def _closing(lines: Column, first: Column, stop: Column) -> Column:
     return first + F.aggregate(F.slice(lines, first + 1, stop - first), zero, step, lambda a: a["n"]) - 1
 
 
-def _declarations(lines: Column, language: str) -> Column:
-    """Top-level declarations of one rule-based language."""
+STATEMENT = r"^[^\s#)\]}/]"
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row. Spark does not hoist an expression out of an array
+    lambda, so an array that a lambda looks into must be a real column, not an expression."""
+    once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", once.alias("__once")).select(*df.columns, *[F.col("__once")[n].alias(n) for n in columns])
+
+
+def _indices(lines: Column, pattern: str) -> Column:
+    return _present(F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(pattern)), i)))
+
+
+def _decorated_from(lines: Column, starts: Column) -> Column:
+    """Per statement start the line where its run of decorators begins, null when it is no decorator."""
+    def step(runs: Column, i: Column) -> Column:
+        begin = F.coalesce(F.try_element_at(runs, F.lit(-1)), i)
+        return F.array_append(runs, F.when(F.startswith(F.get(lines, i), F.lit("@")), begin))
+
+    return F.aggregate(starts, F.array().cast("array<int>"), step)
+
+
+def _declarations(lines: Column, starts: Column, language: str) -> Column:
+    """Top-level declarations of one rule-based language; starts are the lines that begin a statement."""
     def rule(line: Column) -> tuple[Column, Column]:
         kind = name = None
         for pattern, label in RULES[language]:
@@ -85,42 +108,36 @@ def _declarations(lines: Column, language: str) -> Column:
             name = F.when(hit, part) if name is None else name.when(hit, part)
         return kind, name
 
-    opens = F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(r"^[^\s#)\]}/]")), i))
-    starts = _present(opens)
-    count = F.size(lines)
-
-    def declared(line: Column, i: Column) -> Column:
-        kind, name = rule(line)
-        stop = F.coalesce(F.array_min(F.filter(starts, lambda s: s > i)), count)
+    def declared(i: Column, k: Column) -> Column:
+        kind, name = rule(F.get(lines, i))
+        stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
         last = _last_before(lines, i, stop) if language == "python" else _closing(lines, i, stop)
         first = i
         if language == "python":
             # decorators directly above belong to the declaration
-            plain = F.filter(starts, lambda s: (s < i) & ~F.startswith(F.get(lines, s), F.lit("@")))
-            floor = F.coalesce(F.array_max(plain), F.lit(-1))
-            marks = F.filter(starts, lambda s: (s < i) & (s > floor))
-            first = F.coalesce(F.array_min(marks), i)
+            first = F.coalesce(F.get(F.col("marked"), k - 1), i)
         return F.when(kind.isNotNull(), F.struct(
             name.alias("name"), kind.alias("kind"), first.cast("int").alias("first"), last.cast("int").alias("last")))
 
-    return _present(F.transform(lines, declared))
+    return _present(F.transform(starts, declared))
 
 
-def _hcl(lines: Column) -> Column:
+def _hcl(lines: Column, starts: Column) -> Column:
     block = r'^([A-Za-z_][\w-]*)((?:\s+"[^"]*")*)\s*\{'
     attribute = r"^([A-Za-z_][\w-]*)\s*=(?!=)"
-    count = F.size(lines)
 
-    def declared(line: Column, i: Column) -> Column:
+    def declared(i: Column, k: Column) -> Column:
+        line = F.get(lines, i)
         is_block = F.rlike(line, F.lit(block))
         head = F.regexp_extract(line, block, 1)
         labels = F.array_join(F.regexp_extract_all(F.regexp_extract(line, block, 2), F.lit(r'"([^"]*)"'), F.lit(1)), ".")
         kind = F.when(is_block, head).when(F.rlike(line, F.lit(attribute)), "variable")
         name = F.when(is_block, F.when(labels != "", labels).otherwise(head)).otherwise(F.regexp_extract(line, attribute, 1))
+        stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
         return F.when(kind.isNotNull(), F.struct(
-            name.alias("name"), kind.alias("kind"), i.cast("int").alias("first"), _closing(lines, i, count).cast("int").alias("last")))
+            name.alias("name"), kind.alias("kind"), i.cast("int").alias("first"), _closing(lines, i, stop).cast("int").alias("last")))
 
-    return _present(F.transform(lines, declared))
+    return _present(F.transform(starts, declared))
 
 
 def _fish(lines: Column) -> Column:
@@ -153,27 +170,47 @@ def _unquote(text: Column) -> Column:
     return F.regexp_replace(trim_space(text), r"""^(["'])(.*)\1$""", "$2")
 
 
+YAML_COMMENT = r"^\s*(#|---|%|$)"
+YAML_KEY = r"""^(["']?)([^\s#:'"\-\[{][^:'"]*)\1\s*:(\s|$)"""
+PLAY_KEY = r"^(?:- |  )([A-Za-z_][\w.]*)\s*:"
+
+
+def _yaml_marks(lines: Column) -> dict[str, Column]:
+    """Line numbers of top-level keys, list items, keys of list items and indented list items."""
+    solid = F.filter(lines, lambda line: ~F.rlike(line, F.lit(YAML_COMMENT)))
+    return {
+        "y_list": F.rlike(F.coalesce(F.get(solid, F.lit(0)), F.lit("")), F.lit(r"^-(\s|$)")),
+        "y_keys": _indices(lines, YAML_KEY), "y_items": _indices(lines, r"^-(\s|$)"),
+        "y_sections": _indices(lines, PLAY_KEY), "y_tasks": _indices(lines, r"^ {2,4}-(\s|$)"),
+        "y_playbook": F.exists(lines, lambda line: F.rlike(line, F.lit(r"^(?:- |  )(hosts|tasks|roles)\s*:")))}
+
+
+def _yaml_tasks(lines: Column) -> Column:
+    """(line, its section's line and name, next boundary) for the items of task sections."""
+    sections, tasks, items = F.col("y_sections"), F.col("y_tasks"), F.col("y_items")
+
+    def placed(i: Column, k: Column) -> Column:
+        at = F.array_max(F.filter(sections, lambda s: s < i))
+        name = F.regexp_extract(F.coalesce(F.get(lines, at), F.lit("")), PLAY_KEY, 1)
+        later = [F.get(tasks, k + 1), F.array_min(F.filter(sections, lambda s: s > i)), F.array_min(F.filter(items, lambda s: s > i)), F.size(lines)]
+        return F.struct(i.alias("i"), at.alias("at"), name.alias("section"), F.least(*later).alias("stop"))
+
+    return F.filter(F.transform(tasks, placed), lambda t: t["section"].isin(*TASK_SECTIONS))
+
+
 def _yaml(lines: Column) -> Column:
-    """Top-level keys; or sequence items; or plays with their tasks and handlers."""
+    """Top-level keys; or sequence items; or plays with their tasks and handlers. Needs the pinned
+    columns of _yaml_marks and y_inside."""
+    keys, items, inside, playbook = F.col("y_keys"), F.col("y_items"), F.col("y_inside"), F.col("y_playbook")
     count = F.size(lines)
-    comment = r"^\s*(#|---|%|$)"
-    solid = F.filter(lines, lambda line: ~F.rlike(line, F.lit(comment)))
-    is_list = F.rlike(F.coalesce(F.get(solid, F.lit(0)), F.lit("")), F.lit(r"^-(\s|$)"))
-    key = r"""^(["']?)([^\s#:'"\-\[{][^:'"]*)\1\s*:(\s|$)"""
-
-    def indices(pattern: str) -> Column:
-        return _present(F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(pattern)), i)))
 
     def hit(name: Column, kind: Column | str, first: Column, last: Column) -> Column:
         k = F.lit(kind) if isinstance(kind, str) else kind
         return F.struct(name.alias("name"), k.alias("kind"), first.cast("int").alias("first"), last.cast("int").alias("last"))
 
-    def until(starts: Column, i: Column) -> Column:
-        return F.coalesce(F.array_min(F.filter(starts, lambda s: s > i)), count)
-
     def solid_end(first: Column, stop: Column) -> Column:
         body = F.slice(lines, first + 1, stop - first)
-        kept = F.transform(body, lambda line, j: F.when(~F.rlike(line, F.lit(comment)), j))
+        kept = F.transform(body, lambda line, j: F.when(~F.rlike(line, F.lit(YAML_COMMENT)), j))
         return first + F.coalesce(F.array_max(kept), F.lit(0))
 
     def named(first: Column, stop: Column, pad: Column) -> Column:
@@ -185,60 +222,52 @@ def _yaml(lines: Column) -> Column:
             _unquote(F.regexp_replace(line, r"^[^:]*:", ""))))
         return F.get(_present(values), F.lit(0))
 
-    keys = indices(key)
-    mapping = F.transform(keys, lambda i: hit(
-        F.regexp_extract(F.get(lines, i), key, 2), "key", i, solid_end(i, until(keys, i))))
-
-    items = indices(r"^-(\s|$)")
-    play_keys = indices(r"^(?:- |  )[A-Za-z_][\w.]*\s*:")
-    playbook = F.exists(lines, lambda line: F.rlike(line, F.lit(r"^(?:- |  )(hosts|tasks|roles)\s*:")))
+    mapping = F.transform(keys, lambda i, k: hit(
+        F.regexp_extract(F.get(lines, i), YAML_KEY, 2), "key", i, solid_end(i, F.coalesce(F.get(keys, k + 1), count))))
 
     def item(i: Column, n: Column) -> Column:
-        stop = until(items, i)
+        stop = F.coalesce(F.get(items, n + 1), count)
         label = F.when(playbook, F.lit("play[")).otherwise(F.lit("item["))
         name = F.coalesce(named(i, stop, F.lit(2)), F.concat(label, n.cast("string"), F.lit("]")))
         return hit(name, F.when(playbook, "play").otherwise("item"), i, solid_end(i, stop))
 
-    entries = F.transform(items, item)
-    task_lines = indices(r"^ {2,4}-(\s|$)")
-
-    def section_line(i: Column) -> Column:
-        return F.array_max(F.filter(play_keys, lambda k: k < i))
-
-    def section(i: Column) -> Column:
-        return F.regexp_extract(F.coalesce(F.get(lines, section_line(i)), F.lit("")), r"^(?:- |  )([A-Za-z_]\w*)\s*:", 1)
-
-    inside = F.filter(task_lines, lambda i: section(i).isin(*TASK_SECTIONS))
-
-    def task(i: Column) -> Column:
-        stop = F.least(until(task_lines, i), until(play_keys, i), until(items, i))
+    def task(t: Column, k: Column) -> Column:
+        i, stop = t["i"], t["stop"]
         pad = F.length(F.regexp_extract(F.get(lines, i), r"^\s*", 0)) + 2
-        nth = F.size(F.filter(inside, lambda t: (t < i) & (section_line(t) == section_line(i))))
-        name = F.coalesce(named(i, stop, pad), F.concat(section(i), F.lit("["), nth.cast("string"), F.lit("]")))
-        return hit(name, F.when(section(i) == "handlers", "handler").otherwise("task"), i, solid_end(i, stop))
+        nth = k - F.size(F.filter(inside, lambda u: u["at"] < t["at"]))
+        name = F.coalesce(named(i, stop, pad), F.concat(t["section"], F.lit("["), nth.cast("string"), F.lit("]")))
+        return hit(name, F.when(t["section"] == "handlers", "handler").otherwise("task"), i, solid_end(i, stop))
 
     tasks = F.when(playbook, F.transform(inside, task)).otherwise(F.array().cast(_HIT))
-    return F.when(is_list, F.concat(entries, tasks)).otherwise(mapping)
+    return F.when(F.col("y_list"), F.concat(F.transform(items, item), tasks)).otherwise(mapping)
 
 
 def extract_symbols(files: DataFrame, include_logs: bool = False) -> DataFrame:
     """Rows of the symbol table from files (file, project_path, content), without ids."""
     text = files.select("file", "project_path", "content", language_of("file", include_logs).alias("language"))
-    text = text.where(F.col("language") != "").withColumn("lines", lines_of("content"))
-    by_language = F.when(F.col("language") == "fish", _fish(F.col("lines")))
+    text = pinned(text.where(F.col("language") != ""), lines=lines_of("content")).drop("content")
+    lines, yaml = F.col("lines"), F.col("language") == "yaml"
+    marks = {n: F.when(yaml, c) for n, c in _yaml_marks(lines).items()}
+    text = pinned(text, starts=F.when(F.col("language").isin(*RULES, "hcl"), _indices(lines, STATEMENT)), **marks)
+    python = F.col("language") == "python"
+    text = pinned(text, y_inside=F.when(yaml & F.col("y_playbook"), _yaml_tasks(lines)),
+                  marked=F.when(python, _decorated_from(lines, F.col("starts"))))
+    by_language = F.when(F.col("language") == "fish", _fish(lines))
     for language in RULES:
-        by_language = by_language.when(F.col("language") == language, _declarations(F.col("lines"), language))
-    by_language = (by_language.when(F.col("language") == "hcl", _hcl(F.col("lines")))
-                   .when(F.col("language") == "yaml", _yaml(F.col("lines"))))
+        by_language = by_language.when(F.col("language") == language, _declarations(lines, F.col("starts"), language))
+    by_language = by_language.when(F.col("language") == "hcl", _hcl(lines, F.col("starts"))).when(yaml, _yaml(lines))
     if include_logs:
         whole = F.array(F.struct(basename("file").alias("name"), F.lit("plaintext").alias("kind"), F.lit(0).alias("first"),
                                  (F.size("lines") - 1).alias("last")))
         by_language = by_language.when(F.col("language") == "plaintext", whole)
-    found = text.withColumn("s", F.explode(by_language)).where("s.name <> ''")
-    body = F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), "\n")
-    rows = found.select(
-        "file", "project_path", "language", "s.name", "s.kind", (F.col("s.first") + 1).alias("start_line"),
-        (F.col("s.last") + 1).alias("end_line"), trim_space(F.get("lines", F.col("s.first"))).alias("first_line"), body.alias("source"))
+    # every symbol takes its own lines along, so that the exploded rows do not repeat the whole file
+    taken = F.transform(F.col("hits"), lambda h: F.struct(
+        h["name"].alias("name"), h["kind"].alias("kind"), (h["first"] + 1).alias("start_line"), (h["last"] + 1).alias("end_line"),
+        F.slice(lines, h["first"] + 1, h["last"] - h["first"] + 1).alias("source_lines")))
+    text = pinned(text, hits=by_language).select("file", "project_path", "language", taken.alias("taken"))
+    found = text.select("file", "project_path", "language", F.explode_outer("taken").alias("s")).where("s.name <> ''")
+    rows = found.select("file", "project_path", "language", "s.*").select(
+        "*", trim_space(F.get("source_lines", F.lit(0))).alias("first_line"), F.array_join("source_lines", "\n").alias("source"))
     plain = F.col("kind") == "plaintext"
     head = F.substring(F.col("source").cast("binary"), 1, PLAINTEXT_MAX_BYTES).cast("string")
     return rows.select(
@@ -246,7 +275,7 @@ def extract_symbols(files: DataFrame, include_logs: bool = False) -> DataFrame:
         F.when(plain, head).otherwise(F.col("first_line")).alias("code"),
         F.when(plain, F.concat("file", F.lit("#plaintext"))).otherwise(F.concat_ws(".", basename("file"), "name")).alias("fqn"),
         "project_path",
-        F.when(plain, F.col("first_line")).otherwise(skeleton(F.col("language"), F.col("kind"), F.col("source"))).alias("skeleton"),
+        F.when(plain, F.col("first_line")).otherwise(skeleton(F.col("language"), F.col("kind"), F.col("source_lines"))).alias("skeleton"),
         embed_hash("kind", "name", "source").alias("embed_hash"), "source")
 
 
