@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import prefix_terms, query_terms, tokens
 from ..session import MAX_PINNED_ROWS
 from .ordered import top_per_group
+from .rowwise import pinned
 
 # BM25 parameters, candidate cap of the text leg, digits at the query boundary.
 K1, B = 1.2, 0.75
@@ -185,12 +186,13 @@ def substring_search(docs: DataFrame, requests: DataFrame, id_col: str, name: Co
     5 as prefix, 3 when contained and 1 otherwise. Scored first, cut to `limit` afterwards."""
     scored = None
     haystack = F.lower(F.concat_ws("\u0001", *fields))
+    # terms are tried shortest first: the likeliest to occur decides soonest
     for batch in request_batches(requests, [F.col("query_id"), query_terms("text").alias("terms")]):
         wanted = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
-                                    F.array(*[F.lit(t) for t in r["terms"]]).cast("array<string>").alias("terms"))
+                                    F.array(*[F.lit(t) for t in sorted(r["terms"], key=len)]).cast("array<string>").alias("terms"))
                            for r in batch])
-        base = docs.select(F.col(id_col).alias("doc_id"), F.lower(name).alias("__name"),
-                           haystack.alias("__hay"))
+        base = pinned(docs.select(F.col(id_col).alias("doc_id"), name.alias("__n"), haystack.alias("__h")),
+                      __name=F.lower("__n"), __hay=F.col("__h"))
         hits = base.select("doc_id", "__name", F.explode(F.filter(
             wanted, lambda r: F.exists(r["terms"], lambda t: F.contains(F.col("__hay"), t)))).alias("r"))
         points = F.aggregate("r.terms", F.lit(0.0), lambda acc, t: acc + (
@@ -212,7 +214,7 @@ def phrase_matches(docs: DataFrame, requests: DataFrame, fields: list[Column]) -
     for batch in request_batches(requests, [F.col("query_id"), F.lower("text").alias("phrase")]):
         wanted = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
                                     F.lit(r["phrase"]).alias("phrase")) for r in batch])
-        base = docs.withColumn("__hay", haystack)
+        base = pinned(docs, __hay=haystack)
         part = base.withColumn("__r", F.explode(F.filter(
             wanted, lambda r: F.contains(F.col("__hay"), r["phrase"]))))
         part = part.withColumn("query_id", F.col("__r.query_id")).drop("__r", "__hay")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.languages import language_of
 from ..functions.scalars import basename, embed_hash, trim_space
 from ..functions.text import lines as lines_of
+from .rowwise import pinned
 from .skeletons import skeleton
 
 PLAINTEXT_MAX_BYTES = 2 << 20
@@ -77,13 +78,6 @@ def _closing(lines: Column, first: Column, stop: Column) -> Column:
 STATEMENT = r"^[^\s#)\]}/]"
 
 
-def pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once per row. Spark does not hoist an expression out of an array
-    lambda, so an array that a lambda looks into must be a real column, not an expression."""
-    once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select("*", once.alias("__once")).select(*df.columns, *[F.col("__once")[n].alias(n) for n in columns])
-
-
 def _indices(lines: Column, pattern: str) -> Column:
     return _present(F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(pattern)), i)))
 
