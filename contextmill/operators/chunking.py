@@ -111,16 +111,29 @@ def json_sections(df: DataFrame, raw: str, path: str) -> DataFrame:
 
 # --- bounded chunks ----------------------------------------------------------------------------
 
+def _boundary(raw: Column, n: Column, at: Column) -> Column:
+    """Byte offset `at`, moved back to the start of the UTF-8 character it would split."""
+    def inside(offset: Column) -> Column:
+        return F.hex(F.substr(raw, offset + 1, F.lit(1))).between("80", "BF")
+
+    return (F.when(at >= n, n).when(~inside(at), at).when(~inside(at - 1), at - 1)
+            .when(~inside(at - 2), at - 2).otherwise(at - 3))
+
+
 def hard_cuts(text: Column, size: int = MAX_CHUNK_BYTES) -> Column:
-    """Every `size` bytes of a text; all but the last piece are followed by more."""
+    """Pieces cut every `size` bytes, never inside a character; all but the last are followed by more."""
     raw, n = text.cast("binary"), F.octet_length(text)
     last = F.floor((n - 1) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-        F.substr(raw, i * size + 1, F.lit(size)).cast("string").alias("content"), (i < last).alias("numbered")))
+
+    def piece(i: Column) -> Column:
+        first, stop = _boundary(raw, n, i * size), _boundary(raw, n, (i + 1) * size)
+        return F.struct(F.substr(raw, first + 1, stop - first).cast("string").alias("content"), (i < last).alias("numbered"))
+
+    return F.transform(F.sequence(F.lit(0), last), piece)
 
 
 def split_long(title: Column, content: Column, size: int = MAX_CHUNK_BYTES) -> Column:
-    """Chunks of at most `size` bytes: whole paragraphs packed together, an oversize paragraph cut
+    """Chunks of about `size` bytes at most: whole paragraphs packed together, an oversize paragraph cut
     hard. Titles carry ' (part n)' from the second chunk on, and on the first piece of a hard cut."""
     text = trim_space(content)
     paragraphs = F.filter(F.transform(F.split(text, BLANK_LINE), trim_space), lambda p: p != "")

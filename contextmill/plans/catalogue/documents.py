@@ -35,13 +35,26 @@ sections AS (SELECT * FROM found UNION ALL BY NAME
              FROM (SELECT *, {TEXT_SQL.format('h')} AS content FROM stripped)
              WHERE page_id NOT IN (SELECT page_id FROM found) AND content <> '')"""
 
+def _cut_sql(text: str, at: str) -> str:
+    """Byte offset moved back to the start of the character it would split."""
+    def inside(offset: str) -> str:
+        return f"hex(array_slice(encode({text}), {offset} + 1, {offset} + 1)) BETWEEN '80' AND 'BF'"
+
+    tries = " ".join(f"WHEN NOT ({inside(f'({at} - {k})')}) THEN {at} - {k}" for k in range(3))
+    return f"CASE WHEN {at} >= strlen({text}) THEN strlen({text}) {tries} ELSE {at} - 3 END"
+
+
+def _piece_sql(text: str) -> str:
+    """Piece j of a text cut every 2000 bytes, as a blob."""
+    return f"array_slice(encode({text}), {_cut_sql(text, '(j * 2000)')} + 1, {_cut_sql(text, '(j * 2000 + 2000)')})"
+
+
 # a cleaned HTML section holds no line break, so it is one paragraph: hard cuts only
-CHUNKS_SQL = SECTIONS_SQL + r""",
+CHUNKS_SQL = SECTIONS_SQL + rf""",
 pieces AS (SELECT *, unnest(range(0, greatest((strlen(content) - 1) // 2000 + 1, 1))) AS j FROM sections),
 chunks AS (SELECT page_id, path, section_no, j + 1 AS part_no,
              trim(title) || CASE WHEN strlen(content) > 2000 THEN ' (part ' || (j + 1) || ')' ELSE '' END AS title,
-             CASE WHEN strlen(content) <= 2000 THEN encode(content)
-                  ELSE array_slice(encode(content), j * 2000 + 1, j * 2000 + 2000) END AS piece
+             {_piece_sql('content')} AS piece
            FROM pieces)"""
 
 
@@ -64,14 +77,13 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
                          F.sha2("content", 256).alias("hash"))
 
 
-@register("chunk_long", r"""
+@register("chunk_long", rf"""
 WITH body AS (SELECT doc_id, 'doc ' || doc_id AS title, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
 pieces AS (SELECT *, unnest(range(0, (strlen(t) - 1) // 2000 + 1)) AS j FROM body
            WHERE t <> '' AND NOT regexp_matches(t, '\n\s*\n'))
 SELECT doc_id, j + 1 AS part_no, title || CASE WHEN strlen(t) > 2000 THEN ' (part ' || (j + 1) || ')' ELSE '' END AS title,
        octet_length(piece) AS bytes, sha256(piece) AS hash
-FROM (SELECT *, CASE WHEN strlen(t) <= 2000 THEN encode(t)
-                     ELSE array_slice(encode(t), j * 2000 + 1, j * 2000 + 2000) END AS piece FROM pieces)""")
+FROM (SELECT *, {_piece_sql('t')} AS piece FROM pieces)""")
 def chunk_long(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_small(table(spark, sf, "documents"))
     title = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))

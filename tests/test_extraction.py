@@ -135,6 +135,15 @@ def test_long_sections_equal_the_loop(spark):
     assert got == {i: pack_paragraphs("T", t, 40) for i, t in enumerate(texts)}
 
 
+def test_hard_cuts_keep_characters_whole(spark):
+    texts = ["é" * 50, "x" + "é" * 50, "€" * 40, "xx" + "𝄞" * 30, "a" * 81]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in df.select("i", chunking.split_long(F.lit("T"), F.col("t"), 40).alias("c")).collect():
+        pieces = [c["content"] for c in r["c"]]
+        assert "".join(pieces) == texts[r["i"]]
+        assert max(len(p.encode()) for p in pieces) <= 43 and len(pieces) == -(-len(texts[r["i"]].encode()) // 40)
+
+
 def test_log_lines(spark):
     lines = ["2024/01/02 03:04:05 request failed", "plain warning", "ok", "2024/01/02 03:04:05 fine"]
     got = [tuple(r["f"]) for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, l string").orderBy("i").select(usage.log_fields(F.col("l")).alias("f")).collect()]
