@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.scalars import trim_space
-from ...functions.text import lines, tokens
+from ...functions.text import lines
 from ...session import spread_small
 
 
@@ -42,7 +42,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("lang") == "de", ".ts").otherwise(".sh"))
     ls = lines("text")
     file = F.concat(F.lit("/src/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), suffix)
-    name = F.coalesce(F.get(tokens("text"), F.lit(0)), F.lit("doc"))
+    word = F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}]+", 0)
+    name = F.when(word == "", "doc").otherwise(word)
     kind = (F.when(F.col("n_chars") < 500, "function").when(F.col("n_chars") < 1500, "method")
             .when(F.col("n_chars") < 3000, "class").otherwise("type"))
     return docs.select(
