@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from ..plans.catalogue import Catalogue
-from . import decontaminate
+from . import decontaminate, kdtree, mixing, url_rules
 
 
 def llm_queries() -> Catalogue:
     merged = Catalogue()
-    for module in (decontaminate,):
+    for module in (mixing, decontaminate, url_rules, kdtree):
         merged.queries.update(module.CATALOGUE.queries)
         merged.sql.update(module.CATALOGUE.sql)
     return merged
