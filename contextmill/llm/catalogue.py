@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from ..plans.catalogue import Catalogue
-from . import decontaminate, kdtree, mixing, toxicity, url_rules
+from . import decontaminate, kdtree, mixing, quality, toxicity, url_rules
 
 
 def llm_queries() -> Catalogue:
     merged = Catalogue()
-    for module in (mixing, toxicity, decontaminate, url_rules, kdtree):
+    for module in (quality, mixing, toxicity, decontaminate, url_rules, kdtree):
         merged.queries.update(module.CATALOGUE.queries)
         merged.sql.update(module.CATALOGUE.sql)
     return merged
