@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from ..plans.catalogue import Catalogue
-from . import decontaminate, kdtree, mixing, near_dedup, quality, suffix_dedup, toxicity, url_rules
+from . import decontaminate, kdtree, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_rules
 
 
 def llm_queries() -> Catalogue:
     merged = Catalogue()
-    for module in (quality, suffix_dedup, mixing, toxicity, near_dedup, decontaminate, url_rules, kdtree):
+    for module in (quality, suffix_dedup, mixing, token_counts, toxicity, near_dedup, decontaminate, url_rules, kdtree):
         merged.queries.update(module.CATALOGUE.queries)
         merged.sql.update(module.CATALOGUE.sql)
     return merged
