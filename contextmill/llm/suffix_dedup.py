@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.catalogue import Catalogue
 from .common import cut, table
@@ -322,8 +323,9 @@ def _report(data: list[bytes], b: Block, gone: np.ndarray, begins: np.ndarray, w
 
 
 def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-                     max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) and tag: one row per document row.
+                     carry: list[str] | None = None, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, rest]): one row per document row; rest is a struct of the
+    columns to carry along.
 
     Null is empty. Rows of one id with different texts are different documents, ordered by a hash of the text; exact
     repeats of a row count as one document, and all get its result. A null id comes before all others. Texts under
@@ -331,10 +333,12 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     columns are ignored, whatever their names.
     """
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col).alias("doc_id"), _tag(F.col(text_col)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    more = ", kept_text string" if with_text else ""
-    names = ["doc_id", "tag", *[f.split()[0] for f in RESULT.split(", ")], *(["kept_text"] if with_text else [])]
-    schema = f"doc_id {kind}, tag long, {RESULT}{more}"
+    docs = documents.select(F.col(id_col).alias("doc_id"), _tag(F.col(text_col)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                            *([F.struct(*carry).alias("rest")] if carry else []))
+    rest = ["rest"] if carry else []
+    names = ["doc_id", "tag", *[f.split()[0] for f in RESULT.split(", ")], *(["kept_text"] if with_text else []), *rest]
+    schema = StructType([*StructType.fromDDL(f"doc_id {kind}, tag long, {RESULT}" + ", kept_text string" * with_text).fields,
+                         *(docs.schema[c] for c in rest)])
 
     tag, offset = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
     # whole anchors are stored as negative numbers
@@ -347,15 +351,16 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(t) for t in _bytes_of(batch.column(2))], pa.binary())],
-                                             names=["doc_id", "tag", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(t) for t in _bytes_of(batch.column(2))], pa.binary()),
+                                              *batch.columns[3:]], names=["doc_id", "tag", "packed", *batch.schema.names[3:]])
 
-    def picked(keys: DataFrame) -> DataFrame:
+    def picked(keys: DataFrame, more: list[str]) -> DataFrame:
         keys = keys.select("doc_id", "tag")
-        return docs.join(near(keys), same(docs, keys), "left_semi").mapInArrow(pack, f"doc_id {kind}, tag long, packed binary")
+        found = docs.join(near(keys), same(docs, keys), "left_semi").select("doc_id", "tag", "text", *more)
+        return found.mapInArrow(pack, StructType([*StructType.fromDDL(f"doc_id {kind}, tag long, packed binary").fields, *(docs.schema[c] for c in more)]))
 
     open_marks = marks.where(F.exists("marks", lambda m: m >= 0))
-    texts = picked(open_marks)
+    texts = picked(open_marks, [])
     to_compare = texts.hint("merge").join(open_marks, same(texts, open_marks)).select(texts["doc_id"], texts["tag"], "packed", "marks")
     found = (compared(to_compare, kind).select("doc_id", tag.alias("tag"), offset.alias("start"))
              .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("found")))
@@ -369,7 +374,8 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
             for start, b in _blocks(data):
                 n = len(b.sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n),
-                                                  *_report(data[start:start + n], b, *_finish(b, none, none), with_text)], names=names)
+                                                  *_report(data[start:start + n], b, *_finish(b, none, none), with_text),
+                                                  *(c.slice(start, n) for c in batch.columns[3:])], names=names)
 
     def finish_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -385,15 +391,24 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
                     starts += [first, f]
                     ends += [last, f + LENGTH]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n),
-                                                  *_report(data[start:start + n], b, *_finish(b, np.concatenate(starts), np.concatenate(ends)), with_text)], names=names)
+                                                  *_report(data[start:start + n], b, *_finish(b, np.concatenate(starts), np.concatenate(ends)), with_text),
+                                                  *(c.slice(start, n) for c in batch.columns[5:])], names=names)
 
     keys = marks.select("doc_id", "tag")
     plain = docs.join(near(keys), same(docs, keys), "left_anti").mapInArrow(finish_plain, schema)
-    texts = picked(marks)
-    shared = texts.hint("merge").join(removed, same(texts, removed)).select(texts["doc_id"], texts["tag"], "packed", "marks", "found").mapInArrow(finish_shared, schema)
+    texts = picked(marks, rest)
+    shared = texts.hint("merge").join(removed, same(texts, removed)).select(texts["doc_id"], texts["tag"], "packed", "marks", "found", *rest).mapInArrow(finish_shared, schema)
     return plain.unionByName(shared)
 
 
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents with every repeated 100-byte string cut out of the text; a text that is all repeats becomes empty, a null one too."""
+    others = [c for c in documents.columns if c not in (id_col, text_col)]
+    found = dedup_substrings(documents, id_col, text_col, with_text=True, carry=others)
+    columns = {id_col: F.col("doc_id"), text_col: F.col("kept_text"), **{c: F.col("rest").getField(c) for c in others}}
+    return found.select(*[columns[c].alias(c) for c in documents.columns])
+
+
 @CATALOGUE.register("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("tag")
