@@ -164,7 +164,7 @@ class ContextEngine:
 
     def get_file_context(self, file: str, project_path: str, mode: str = "skeleton", session_id: str = "", token_budget: int = 0) -> DataFrame:
         """All symbols of one file in line order; every score is 1, so 'auto' means full."""
-        syms = self.store.symbols().where(F.col("file") == file)
+        syms = self.scoped_symbols(project_path).where(F.col("file") == file)
         ranked = syms.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(1.0).alias("score"), "start_line")
         ranked = lexical.top_per_group(ranked, ["query_id"], [F.col("start_line"), F.col("id")], 1 << 30).drop("start_line")
         one = self.request(session_id=session_id, mode=mode, token_budget=token_budget, root=project_path)

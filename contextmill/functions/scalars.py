@@ -167,12 +167,14 @@ def micros(ts: ColumnLike) -> Column:
 
 
 def relative_time(ts: ColumnLike, now: ColumnLike) -> Column:
-    """'just now', '5m ago', '3h ago', '2d ago' relative to a given instant."""
+    """'just now', '30s ago', '5m ago', '3h ago', '2d ago' relative to a given instant; after a week the date ('Jan 2 15:04')."""
     seconds = F.unix_timestamp(as_col(now)) - F.unix_timestamp(as_col(ts))
-    return (F.when(seconds < 60, F.lit("just now"))
+    return (F.when(seconds < 10, F.lit("just now"))
+            .when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s ago")))
             .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))
             .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h ago")))
-            .otherwise(F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d ago"))))
+            .when(seconds < 7 * 86400, F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d ago")))
+            .otherwise(F.date_format(as_col(ts), "MMM d HH:mm")))
 
 
 def hourly_session(ts: ColumnLike) -> Column:

@@ -33,7 +33,8 @@ def contains_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     pieces = texts.select("text", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram"))
     own = F.when(F.length("pattern") >= GRAM, _grams(F.col("pattern"), GRAM)).otherwise(F.array("pattern"))
     wanted = patterns.select("pattern").distinct().where("pattern <> ''").select("pattern", F.explode(own).alias("gram"))
-    counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    # only pieces that some pattern has are counted: as many as the requests hold, not as the texts hold
+    counts = pieces.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # a piece no text has means the pattern matches nothing
     rarest = (wanted.join(counts, "gram", "left").groupBy("pattern")
               .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))

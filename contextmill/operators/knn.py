@@ -27,22 +27,21 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
 def _batch_scorer(query_ids: list[int], matrix: np.ndarray, k: int, dims: int):
     queries = _normalize_rows(matrix)
     qids = np.asarray(query_ids, dtype=np.int64)
+    # so many rows at once that the similarities stay within the bound, whatever the number of requests
+    step = max(k, MAX_MATRIX_BYTES // (8 * max(len(qids), 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            rows = _normalize_rows(flat.astype(np.float64).reshape(len(ids), dims))
+            rows = _normalize_rows(flat.astype(np.float64).reshape(batch.num_rows, dims))
             sims = np.round(queries @ rows.T, SIM_DIGITS)
-            if len(ids) > k:
+            if batch.num_rows > k:
                 cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
                 q, r = np.nonzero(sims >= cut)
             else:
-                q, r = np.divmod(np.arange(sims.size), len(ids))
+                q, r = np.divmod(np.arange(sims.size), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q]), pa.array(ids[r]), pa.array(sims[q, r] + 0.0)],
+                [pa.array(qids[q]), batch.column(0).take(pa.array(r)), pa.array(sims[q, r] + 0.0)],
                 names=["query_id", "vec_id", "similarity"])
 
     return score
@@ -53,15 +52,15 @@ def knn(vectors: DataFrame, requests: DataFrame, k: int, dims: int, id_col: str
     """(query_id, vec_id, similarity, rank): the k most similar vectors per request.
 
     requests has (query_id, vector). Vectors of another size than dims are left out, as are requests
-    of another size. The request matrix is limited to MAX_MATRIX_BYTES; more requests than that take
-    several passes over the vectors.
+    of another size. vec_id has the type of id_col. The request matrix and the similarities of a task are
+    limited to MAX_MATRIX_BYTES each; more requests than that take several passes over the vectors.
     """
     spark = vectors.sparkSession
     usable = vectors.where(F.size(vector_col) == dims).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+        F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
     rows = requests.where(F.size("vector") == dims).select("query_id", "vector").collect()
     per_pass = max(1, MAX_MATRIX_BYTES // (8 * dims))
-    schema = "query_id long, vec_id long, similarity double"
+    schema = f"query_id long, vec_id {vectors.schema[id_col].dataType.simpleString()}, similarity double"
     scored = None
     for i in range(0, len(rows), per_pass):
         block = rows[i:i + per_pass]

@@ -182,7 +182,9 @@ def recall(entries: DataFrame, requests: DataFrame, valid: Column | None = None,
     if not typed.isEmpty():
         stages = [best(matching_entries(live, typed, keep)), best(phrase_matches(live, typed, _text()))]
         if vectors is not None:
-            near = knn.knn(vectors, typed, limit, dims).withColumnRenamed("vec_id", "ref").select("query_id", "ref")
+            # only vectors of entries in question compete; twice the limit, since entries may share a similarity
+            known = vectors.join(live.select(F.col("ref").alias("vec_ref")), "vec_ref", "left_semi")
+            near = knn.knn(known, typed, 2 * limit, dims, "vec_ref").select("query_id", F.col("vec_id").alias("ref"))
             stages.append(best(near.join(live.select(*keep), "ref")))
         parts.append(first_non_empty(*stages).drop("stage"))
     if not empty.isEmpty():

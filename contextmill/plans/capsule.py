@@ -55,9 +55,12 @@ def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, ret
 
 def capsule(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
             summaries: DataFrame, limit: int = CAPSULE_LIMIT, dims: int = 768) -> DataFrame:
-    """One row per considered hit with representation, payload and size (see packing.pack)."""
+    """One row per considered hit with representation, payload and size (see packing.pack).
+
+    Fusion always sees the candidates of CAPSULE_LIMIT hits, so a smaller limit only cuts the ranking.
+    """
     requests = pin_small(requests)
-    ranked = hybrid_search(symbols, vectors, requests, limit, dims)
+    ranked = hybrid_search(symbols, vectors, requests, max(limit, CAPSULE_LIMIT), dims).where(F.col("rank") <= limit)
     hits = prepare_hits(ranked, symbols, requests, returned, summaries)
     # a hit known from the vector leg only carries its similarity and content hash in the row
     number = F.col("similarity").cast(SIMILARITY_TYPE).cast("string")

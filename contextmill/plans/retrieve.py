@@ -14,6 +14,7 @@ from .capsule import hybrid_search
 # Defaults of the retrieve request.
 RETRIEVE_LIMIT = 10
 MIN_MEMORY_BUDGET, MEMORY_SHARE, MIN_REMAINING = 200, 5, 800
+DOC_LIMIT = 10  # fixed value: documents asked for where half the limit is none
 DOC_FALLBACK_SCORE = 0.5
 EMPTY_CONTEXT = "No relevant context found."
 
@@ -116,7 +117,7 @@ def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests:
     code, skipped = code_chunks(symbols, vectors, requests, returned, limit, include_source, dims)
     both = code
     if include_docs:
-        both = code.unionByName(doc_chunks_for(docs, requests, limit // 2))
+        both = code.unionByName(doc_chunks_for(docs, requests, limit // 2 or DOC_LIMIT))
     ranked = rank_and_dedup(both).withColumn("tokens", token_estimate("content"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = (ranked.join(budgets.select("query_id", "token_budget"), "query_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -24,23 +22,6 @@ def build_session(app: str = "contextmill", cpus: str = "*", memory: str = "16g"
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    path = configured or tempfile.mkdtemp(prefix="contextmill-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used between rounds of an iterative job."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread_small(scan: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy row work on a scan with fewer splits than cores.
 

@@ -21,7 +21,10 @@ def document_type(value: ColumnLike, render_js: bool = False) -> Column:
 
 
 def http_get(url: str) -> str:
+    """Body of an http or https URL; others are refused, so that sources cannot name local files."""
     from urllib.request import urlopen
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError(f"not a web address: {url}")
     with urlopen(url, timeout=30) as response:
         return response.read().decode("utf-8", "replace")
 
@@ -35,7 +38,7 @@ def fetch_bodies(sources: DataFrame, fetch: Fetch = http_get) -> DataFrame:
             for url in batch["url"]:
                 try:
                     bodies.append(fetch(url))
-                except OSError:
+                except (OSError, ValueError):
                     bodies.append(None)
             yield batch.assign(body=bodies)
 

@@ -14,7 +14,7 @@ from ..schemas import PARTITIONS, schema_of
 @dataclass
 class Store:
     """Tables under one root folder. Nothing is updated in place: rows are appended, and the current
-    state is a view over them; compaction rewrites whole partitions."""
+    state is a view over them."""
 
     spark: SparkSession
     root: str
@@ -26,7 +26,9 @@ class Store:
         schema = schema_of(table)
         try:
             return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else would hide rows
+                raise
             return self.spark.createDataFrame([], schema)
 
     def append(self, table: str, rows: DataFrame) -> None:

@@ -80,3 +80,19 @@ def test_scope(spark):
     assert refs(memory.in_scope()) == {"g", "s", "o", "p"}
     assert refs(memory.in_scope("", "s1")) == {"g", "s"} and refs(memory.in_scope("", "s1", "/p")) == {"g", "s", "p"}
     assert refs(memory.in_scope("project", "s1", "/p")) == {"p"}
+
+
+def test_recall_by_vector(spark):
+    """The vector stage answers where words and phrases find nothing; only entries in question compete."""
+    from pyspark.sql import functions as F
+
+    base = dict(kind="fact", scope="global", session_id=None, project_path=None, owner_id=None, subject="s", predicate="is", object="o", rule="", source="",
+                access_count=0)
+    rows = spark.range(1).select(*[F.lit(v).cast("long" if k == "access_count" else "string").alias(k) for k, v in base.items()])
+    entries = rows.crossJoin(spark.createDataFrame([("mem_a",), ("mem_b",), ("mem_c",)], "ref string")).withColumns(
+        {"created_at": F.lit("2024-01-01").cast("timestamp_ntz"), "valid_from": F.lit("2024-01-01").cast("timestamp_ntz"), "valid_until": F.lit(None).cast("timestamp_ntz")})
+    entries = entries.withColumn("object", F.concat(F.lit("about "), "ref"))
+    vectors = spark.createDataFrame([("mem_a", [1.0, 0.0]), ("mem_b", [0.0, 1.0]), ("gone", [1.0, 0.1])], "vec_ref string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "zzz", [1.0, 0.2])], "query_id long, text string, vector array<float>")
+    got = memory.recall(entries, asked, limit=2, budget=1000, vectors=vectors, dims=2).collect()
+    assert {r["ref"] for r in got} == {"mem_a", "mem_b"}

@@ -133,3 +133,20 @@ def test_scripts(spark):
     for r in scripts.hints(asks).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["script_id"])
     assert got == {0: ["exports-only"], 2: ["compact-symbol-list", "dedupe-by-file"]}
+
+
+def test_relative_time_and_web_addresses(spark):
+    from pyspark.sql import functions as F
+    import pytest
+
+    from contextmill.functions.scalars import relative_time
+    from contextmill.sources.documents import fetch_bodies, http_get
+
+    ages = [5, 30, 90, 7200, 3 * 86400, 8 * 86400]
+    df = spark.createDataFrame([(a,) for a in ages], "age long").withColumn("now", F.expr("timestamp_seconds(1700000000)"))
+    got = [r[0] for r in df.select(relative_time(F.expr("timestamp_seconds(1700000000 - age)"), "now")).collect()]
+    assert got == ["just now", "30s ago", "1m ago", "2h ago", "3d ago", "Nov 6 22:13"]
+    with pytest.raises(ValueError):
+        http_get("file:///etc/hostname")
+    rows = fetch_bodies(spark.createDataFrame([("1", "html", "no address"), ("2", "html", "file:///x")], "id string, type string, url string")).collect()
+    assert [r["body"] for r in rows] == [None, None]
