@@ -8,9 +8,10 @@ some window of 100 bytes. Equal 100-byte strings hold equal anchors at the same
 1. Anchors, one for about 35 bytes, are bucketed by their 32 bytes and refined by the identifier of all bytes within
    100-byte reach, and sorted over the cluster by (bucket, refinement, document, place). A range sort splits buckets of
    any size. An anchor that is not the first of its refined bucket has all strings around it repeated.
-2. The first of a refined bucket can share shorter strings with other refinements of the same bucket. Only the
-   100-byte strings of such anchors are compared one by one, grouped by identifier; a map task passes on one row for
-   each, however often it holds it.
+2. The first of a refined bucket can share shorter strings with other refinements of the same bucket. For four ways to lay a
+   string around the anchor, the 83 bytes that these have in common are compared first. Only 100-byte strings of ways that
+   are shared are compared one by one, grouped by identifier; a map task passes on one row for each, however often it
+   holds it.
 3. Strings that repeat inside one document are found where the document is read.
 
 Documents without any shared bucket are finished where they are scanned; of the others the text travels compressed.
@@ -35,24 +36,25 @@ CATALOGUE = Catalogue()
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 #: Bytes of text worked on at once; longer documents are worked on alone.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 17
 #: A document key takes 16 bytes; up to this many are broadcast to pick shared documents in the scan, more are joined by shuffle.
 MAX_BROADCAST_KEYS = 2_000_000
+#: Ways to lay a string around its anchor: the bytes before it number STEP * way up to STEP * (way + 1).
+QUARTERS, STEP = 4, REACH // 4
 TAG_BITS, PLACE_BITS = 23, 40
+#: Anchors of one bucket held in memory at once.
+MAX_HELD = 200_000
 LEVELS = (1, 2, 4, 8, 16, 32, 64)
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_R1, _R2, _R3 = np.uint64(31), np.uint64(33), np.uint64(29)
-_TOP = np.uint64(2**64 - 1)
+_SHIFT = np.uint64(29)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _A
-    y = b >> _R1
-    y |= b << _R2
+    x, y = a * _A, b * _B
+    x += y
+    np.right_shift(x, _SHIFT, out=y)
     x ^= y
-    x *= _B
-    x ^= x >> _R3
     return x
 
 
@@ -72,8 +74,8 @@ class Block:
         self.sizes = np.array([len(t) for t in texts])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        data = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
-        self.n = len(data) - LENGTH
+        data = np.frombuffer(b"".join(texts) + bytes(2 * LENGTH), np.uint8)
+        self.n = len(data) - 2 * LENGTH
         self.ids = {1: _TABLE[data]}
         for size in LEVELS[1:]:
             half = self.ids[size // 2]
@@ -114,16 +116,29 @@ class Block:
         first, last = self.around(self.anchors, self.owner)
         return _mix(self.identifier(first, last - first), (self.anchors - first).astype(np.uint64))
 
+    def sides(self, anchors: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """16 bits for each of QUARTERS ways to lay a 100-byte string around an anchor: of the identifier of what all strings of that way
+        have in common, or of the anchor's own place where the document ends before."""
+        size, out = GRAM + REACH - STEP, np.zeros(len(anchors), np.uint64)
+        own = _mix(anchors.astype(np.uint64), self.starts[owner].astype(np.uint64) + self.ids[64][anchors])
+        for k in range(QUARTERS):
+            at = anchors - k * STEP
+            inside = (at >= self.starts[owner]) & (at + size <= self.ends[owner])
+            bits = np.where(inside, self.identifier(np.where(inside, at, 0), np.full(len(at), size)), own) >> np.uint64(48)
+            out |= bits << np.uint64(16 * k)
+        return out
+
     def strings(self, at: np.ndarray) -> np.ndarray:
         return self.identifier(at, np.full(len(at), LENGTH))
 
-    def strings_of(self, anchors: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the 100-byte strings whose least 32 bytes are at one of the anchors; place of that anchor."""
+    def strings_of(self, anchors: np.ndarray, ways: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the 100-byte strings whose least 32 bytes are at one of the anchors, laid in one of its ways (bits); place of that anchor."""
         first, last = self.around(anchors, owner)
         count = last - first - LENGTH + 1
         at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
         anchor = np.repeat(anchors, count)
-        own = self.least[at] == self.ids[GRAM][anchor]
+        way = np.minimum((anchor - at) // STEP, QUARTERS - 1)
+        own = (self.least[at] == self.ids[GRAM][anchor]) & (np.repeat(ways, count) >> way & 1).astype(bool)
         return at[own], anchor[own]
 
 
@@ -162,7 +177,8 @@ def _tag(text: Column) -> Column:
 
 
 def anchors_of(docs: DataFrame, kind: str) -> DataFrame:
-    """(bucket, refined, doc_id, place): every anchor but repeats inside its document. place holds the tag above the offset."""
+    """(bucket, refined, sides, doc_id, place): every anchor but repeats inside its document. place holds the tag above the offset;
+    sides tells for each way to lay a string around the anchor what its strings have in common."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column(1).to_numpy().astype(np.int64)
@@ -173,63 +189,78 @@ def anchors_of(docs: DataFrame, kind: str) -> DataFrame:
                 one = _firsts(b.anchors, refined, bucket, b.owner)
                 owner = b.owner[one]
                 place = (tags[start + owner] << PLACE_BITS) | (b.anchors[one] - b.starts[owner])
-                yield pa.RecordBatch.from_arrays([_signed(bucket[one]), _signed(refined[one]), batch.column(0).take(pa.array(start + owner)), pa.array(place)],
-                                                 names=["bucket", "refined", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([_signed(bucket[one]), _signed(refined[one]), _signed(b.sides(b.anchors[one], owner)),
+                                                  batch.column(0).take(pa.array(start + owner)), pa.array(place)], names=["bucket", "refined", "sides", "doc_id", "place"])
+
+    return docs.mapInArrow(find, f"bucket long, refined long, sides long, doc_id {kind}, place long")
+
+
+def _shared(bucket: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows have another row of the same bucket and side."""
+    order = np.lexsort((side, bucket))
+    same = (bucket[order][1:] == bucket[order][:-1]) & (side[order][1:] == side[order][:-1])
+    out = np.zeros(len(bucket), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
 
-    return docs.mapInArrow(find, f"bucket long, refined long, doc_id {kind}, place long")
+def _judge(rows: pa.Table, sure: bool) -> pa.RecordBatch:
+    """Anchors of buckets that need a mark. Where it isn't sure that the buckets are complete, the first of every refinement is open."""
+    bucket, refined, sides = (rows.column(i).to_numpy() for i in range(3))
+    ids, place = rows.column(3).combine_chunks(), rows.column(4).to_numpy()
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (refined[1:] != refined[:-1])
+    first = np.flatnonzero(new)
+    ways = np.full(len(first), (1 << QUARTERS) - 1)
+    if sure:
+        ways = sum(_shared(bucket[first], sides[first] >> 16 * k & 0xFFFF).astype(np.int64) << k for k in range(QUARTERS))
+        first, ways = first[ways > 0], ways[ways > 0]
+    later = np.flatnonzero(~new)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[later]
+    # a repeated input row is no later one
+    twin = place[later] == place[head]
+    if twin.any():
+        maybe = np.flatnonzero(twin)
+        a, b = ids.take(pa.array(later[maybe])).to_pylist(), ids.take(pa.array(head[maybe])).to_pylist()
+        twin[maybe] = [x == y for x, y in zip(a, b, strict=True)]
+    later = later[~twin]
+    at = np.concatenate([first, later])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(place[at]), pa.array(np.append(ways, np.zeros(len(later), np.int64)))],
+                                      names=["doc_id", "place", "ways"])
 
 
 def judged(anchors: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, place, whole): anchors whose strings are all repeated (whole), or have to be compared.
+    """(doc_id, place, ways): anchors whose strings are all repeated (no ways), and such with strings to compare, by the ways they are laid.
 
-    Looks at neighbours in the global order. The first and last bucket of a partition may go on elsewhere: first
-    anchors of their refinements are compared in any case.
+    Strings of one way share 83 bytes around the anchor. They are compared only if another refinement of the anchor's
+    bucket has the same 83 bytes. Buckets are read in order. The first and the last of a partition may go on elsewhere,
+    and a bucket of more than MAX_HELD rows is read in pieces: of those, the first of every refinement seen is compared in
+    any case.
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_bucket = last_refined = first_bucket = head = waiting = None
+        held, pieces = None, True  # the first bucket may have begun elsewhere
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, refined, place = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            ids = batch.column(2)
-            if first_bucket is None:
-                first_bucket = bucket[0]
-            new_bucket, new = np.ones(len(bucket), bool), np.ones(len(bucket), bool)
-            new_bucket[1:] = bucket[1:] != bucket[:-1]
-            new[1:] = new_bucket[1:] | (refined[1:] != refined[:-1])
-            if last_bucket is not None:
-                new_bucket[0] = bucket[0] != last_bucket
-                new[0] = new_bucket[0] or refined[0] != last_refined
-            begins = np.flatnonzero(new)
-            out, whole = [], []
-            if len(begins):
-                # a refinement shares its bucket with the one before or the one after
-                shared = ~new_bucket[begins] | (bucket[begins] == first_bucket)
-                shared[:-1] |= ~new_bucket[begins[1:]]
-                if waiting is not None and not new_bucket[begins[0]]:
-                    yield waiting
-                waiting = None
-                out, whole = begins[shared], [False] * shared.sum()
-                if not shared[-1]:
-                    at = begins[-1]
-                    waiting = pa.RecordBatch.from_arrays([ids.slice(at, 1), pa.array(place[at:at + 1]), pa.array([False])], names=["doc_id", "place", "whole"])
-            # rows after the first of their refinement; a repeated input row is no later one
-            heads = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            later = np.flatnonzero(~new)
-            listed = ids.to_pylist()
-            later = [i for i in later if (listed[i], place[i]) != ((listed[heads[i]], place[heads[i]]) if heads[i] >= 0 else head)]
-            if heads[-1] >= 0:
-                head = (listed[heads[-1]], place[heads[-1]])
-            last_bucket, last_refined = bucket[-1], refined[-1]
-            at = np.concatenate([np.asarray(out, np.int64), np.asarray(later, np.int64)])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(place[at]), pa.array([*whole, *[True] * len(later)], pa.bool_())],
-                                                 names=["doc_id", "place", "whole"])
-        if waiting is not None:
-            yield waiting
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            bucket = held.column(0).to_numpy()
+            change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            if len(change) and pieces:
+                yield _judge(held.slice(0, change[0]), False)
+                held, change, pieces = held.slice(change[0]), change[1:] - change[0], False
+            if len(change):
+                yield _judge(held.slice(0, change[-1]), True)
+                held = held.slice(change[-1])
+            if held.num_rows > MAX_HELD:
+                yield _judge(held, False)
+                held, pieces = held.slice(held.num_rows - 1), True
+        if held is not None:
+            yield _judge(held, False)
 
     order = ["bucket", "refined", "doc_id", "place"]
-    return anchors.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(judge, f"doc_id {kind}, place long, whole boolean")
+    return anchors.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(judge, f"doc_id {kind}, place long, ways long")
 
 
 def compared(docs: DataFrame, kind: str) -> DataFrame:
@@ -242,16 +273,17 @@ def compared(docs: DataFrame, kind: str) -> DataFrame:
             texts = [unpack.decompress(z) for z in batch.column(2).to_pylist()]
             marks = batch.column(3)
             for start, b in _blocks(texts):
-                anchors, owner = [], []
+                anchors, ways, owner = [], [], []
                 for i in range(len(b.sizes)):
                     m = marks[start + i].values.to_numpy()
                     m = m[m >= 0]
-                    anchors.append(m + b.starts[i])
+                    anchors.append((m >> QUARTERS) + b.starts[i])
+                    ways.append(m & (1 << QUARTERS) - 1)
                     owner.append(np.full(len(m), i))
-                anchors, owner = np.concatenate(anchors), np.concatenate(owner)
+                anchors, ways, owner = np.concatenate(anchors), np.concatenate(ways), np.concatenate(owner)
                 if not len(anchors):
                     continue
-                at, anchor = b.strings_of(anchors, owner)
+                at, anchor = b.strings_of(anchors, ways, owner)
                 one, two = b.strings(at), _mix(b.ids[GRAM][anchor], (anchor - at).astype(np.uint64))
                 owner = np.searchsorted(b.ends, at, side="right")
                 keep = _firsts(at, one, two, owner)
@@ -341,8 +373,8 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
                          *(docs.schema[c] for c in rest)])
 
     tag, offset = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
-    # whole anchors are stored as negative numbers
-    mark = F.when(F.col("whole"), -1 - offset).otherwise(offset)
+    # anchors whose strings are all repeated are stored as negative numbers
+    mark = F.when(F.col("ways") == 0, -1 - offset).otherwise(F.shiftleft(offset, QUARTERS) + F.col("ways"))
     marks = cut(judged(anchors_of(docs, kind), kind).select("doc_id", tag.alias("tag"), mark.alias("mark"))
                 .groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks")))
     near = (lambda df: F.broadcast(df)) if marks.count() <= max_broadcast_keys else (lambda df: df)
