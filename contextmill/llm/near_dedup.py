@@ -7,8 +7,10 @@ first point of every component is the signature; two texts agree in a component
 weighted Jaccard similarity. Processes are followed only until every component of the text has an earlier point.
 
 Texts with equal multisets are merged first. Signatures are cut into bands; texts with an equal band share a bucket. In a
-bucket, members are compared with leaders, not with each other: first one leader, later twice as many each round, most
-linked first, and only where members of the bucket still lie in different groups. Each pair named is verified on the whole
+bucket, members are compared with leaders, not with each other: first one leader, later sixteen times as many each round,
+most linked first, and only where members of the bucket still lie in different groups. Members of buckets
+left after the first round get sketches, one bit of each of 1024 more components; pairs whose sketches differ five standard
+deviations more than a similarity of 0.8 lets expect are dropped inside the join, each other pair is verified on the whole
 multisets. A bucket is done when its members are connected or all have led, so no pair is left out for size; large
 groups of copies take one comparison per member.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..plans.catalogue import Catalogue
 from .common import cut, table
@@ -29,7 +31,13 @@ CATALOGUE = Catalogue()
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
+#: Components, of one bit each, of the sketch that pairs are screened by after the first round.
+SKETCH_BITS = 1024
 BLOCK_BYTES = 1 << 20
+#: So many times more leaders lead a bucket in each round.
+GROWTH = 16
+#: Shingles of texts that a task keeps while it verifies pairs.
+HELD_SHINGLES = 4_000_000
 #: A key or bucket row takes at most 48 bytes; up to this many are broadcast, more are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -93,7 +101,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 def bag_minhash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, components: int = COMPONENTS) -> np.ndarray:
     """First points (n, components) of the processes that belong to each of n texts; infinite for texts without shingles."""
     h = np.full((n, components), np.inf)
-    flat = h.reshape(-1)
+    flat, every = h.reshape(-1), 1 + components // 256
     ids, of, limit, low, rate = [shingle], [owner], [weight], [np.zeros(len(weight), np.int64)], [np.ones(len(weight))]
     level, base = 1, 1
     while (more := np.flatnonzero(weight > base)).size:
@@ -104,12 +112,16 @@ def bag_minhash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: i
         rate.append(np.full(len(more), float(base)))
         level, base = level + 1, base * 2
     ids, of, limit, low, rate = map(np.concatenate, (ids, of, limit, low, rate))
-    time, point = np.zeros(len(ids)), np.zeros(1, np.uint64)
+    time, point, turn, latest = np.zeros(len(ids)), np.zeros(1, np.uint64), 0, None
     while len(ids):
         point += _A
         r = _scramble(ids + point)
         time = time - np.log(((r >> _S11).astype(np.float64) + 0.5) * 2.0**-53) / (rate * components)
-        live = time < h.max(axis=1)[of]
+        # an older, later limit only lets more points through
+        if turn % every == 0:
+            latest = h.max(axis=1)
+        turn += 1
+        live = time < latest[of]
         ids, of, limit, low, rate, time, r = (x[live] for x in (ids, of, limit, low, rate, time, r))
         mark = _scramble(r ^ _D)
         component = ((mark >> _S32) * np.uint64(components) >> _S32).astype(np.int64)
@@ -127,6 +139,20 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """One bit of every component, packed into whole numbers."""
+    bits = (_scramble(h.view(np.uint64)) & np.uint64(1)).reshape(len(h), -1, 64)
+    return np.bitwise_or.reduce(bits << np.arange(64, dtype=np.uint64), axis=2)
+
+
+def promising(a: str, b: str) -> Column:
+    """Whether two sketches may belong to texts of SIMILARITY: they differ in at most five standard deviations more bits than such do on average."""
+    share = (1 - SIMILARITY) / 2
+    most = int(SKETCH_BITS * share + 5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+    differ = sum((F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, SKETCH_BITS // 64 + 1)), F.lit(0))
+    return F.coalesce(differ <= most, F.lit(True))
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     first, size = 0, 0
     for i, text in enumerate(texts):
@@ -138,8 +164,26 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).view(np.int64).reshape(-1)))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(rep, sketch) of (doc_id, text); null for an id with several rows, which is then not screened."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for start, part in _blocks(data):
+                h = bag_minhash(*shingles(part), len(part), SKETCH_BITS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), _lists(sketch_of(h))], names=["rep", "sketch"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    drawn = texts.select("doc_id", "text").mapInArrow(draw, f"rep {kind}, sketch array<long>")
+    return drawn.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("sketch")).alias("sketch"))
+
+
 def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, total, d1, d2, bands): number of shingles, a 128-bit digest of the multiset and the band keys; no bands without words."""
+    """(doc_id, total, d1, d2, bands): number of shingles, a 128-bit digest of the multiset and the band keys."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +198,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sums = np.zeros(n, np.uint64)
                     np.add.at(sums, of, _scramble(shingle * salt + count.astype(np.uint64)))
                     digests.append(pa.array(sums.view(np.int64)))
-                keys = band_keys(bag_minhash(of, shingle, count, n)).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+                keys = _lists(band_keys(bag_minhash(of, shingle, count, n)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(total), *digests, keys], names=["doc_id", "total", "d1", "d2", "bands"])
 
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -184,14 +227,20 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = W
     right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, last, leader = zstandard.ZstdDecompressor(), None, None
-        bag = lambda packed: shingles([unpack.decompress(packed)], words)[1:]
+        unpack, bags, held = zstandard.ZstdDecompressor(), {}, 0
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                if (packed := batch.column(3)[i].as_py()) != last:
-                    last, leader = packed, bag(packed)
-                (x, n), (y, m) = bag(batch.column(2)[i].as_py()), leader
+                pair = []
+                for column in (2, 3):
+                    packed = batch.column(column)[i].as_py()
+                    if (found := bags.get(packed)) is None:
+                        if held > HELD_SHINGLES:
+                            bags, held = {}, 0
+                        found = bags[packed] = shingles([unpack.decompress(packed)], words)[1:]
+                        held += len(found[0]) + 100
+                    pair.append(found)
+                (x, n), (y, m) = pair
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = np.flatnonzero(y[at] == x) if len(y) else at[:0]
@@ -217,6 +266,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups after links (a, b) between nodes were added: only the groups that they connect are worked on."""
+    of = lambda node, name: groups.select(F.col("node").alias(node), F.col("group").alias(name))
+    between = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(
+        "a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
+    between = cut(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    if between.limit(1).count() == 0:
+        return groups
+    moved = components(between)
+    fresh = moved.join(groups.select("node"), "node", "left_anti")
+    renamed = groups.join(moved.select(F.col("node").alias("group"), F.col("group").alias("to")), "group", "left").select("node", F.coalesce("to", "group").alias("group"))
+    return cut(renamed.unionByName(fresh))
+
+
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of, total): one row per document row; class_id is the least id of the group.
 
@@ -239,26 +302,37 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a_b = [F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")]
     tested = cut(members.where(alike).select(*a_b).distinct())
     edges = cut(verify(tested, texts, similarity))
-    open_rows = cut(members.select("key", "rep", "total", "luck"))
-    share = 1
+    groups = components(edges)
+    open_rows, share = members.select("key", "rep", "total", "luck"), 1
     while True:
-        groups = components(edges)
         labelled = open_rows.join(groups, open_rows["rep"] == groups["node"], "left").select("key", "rep", "total", "luck", F.coalesce("group", "rep").alias("group"))
         apart = labelled.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
         labelled = cut(labelled.join(apart, "key"))
         if labelled.limit(1).count() == 0:
             break
-        share *= 2
+        if share == 1:
+            # what only members of undecided buckets need: their sketches and all their band keys, which take eight times a key row
+            reps = cut(labelled.select("rep").distinct())
+            n_reps = reps.count()
+            drawn = sketches(texts.join(near(reps, n_reps), texts["doc_id"] == reps["rep"], "left_semi"))
+            bands = nodes.join(near(reps, n_reps), "rep", "left_semi").groupBy("rep").agg(F.when(F.count("*") == 1, F.first("bands")).alias("bands"))
+            extra = near(cut(drawn.join(bands, "rep")), 8 * n_reps)
+        share *= GROWTH
         degrees = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         ranked = labelled.join(degrees, "rep", "left").withColumn(
             "rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc_nulls_last("degree"), "luck", "rep")))
         led = cut(ranked.where(F.col("rank") <= share).select("key", F.col("rep").alias("leader"), F.col("total").alias("size"), F.col("group").alias("home")))
-        fresh = (labelled.join(led, "key").where((F.col("group") != F.col("home")) & alike).select(*a_b).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        fresh = cut(fresh)
-        tested = tested.unionByName(fresh)
-        edges = edges.unionByName(cut(verify(fresh, texts, similarity)))
-        open_rows = cut(labelled.drop("group").join(led.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti"))
+        # a pair is named in the first bucket that it shares
+        shared = F.filter(F.zip_with("bands", "lead_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        once = F.coalesce(F.get(shared, F.lit(0)) == F.col("key"), F.lit(True))
+        leading = led.join(extra.toDF("leader", "lead", "lead_bands"), "leader")
+        fresh = cut(labelled.join(extra, "rep").join(leading, "key").where((F.col("group") != F.col("home")) & alike & promising("sketch", "lead") & once).select(*a_b).distinct().join(tested, ["a", "b"], "left_anti"))
+        if fresh.limit(1).count():
+            tested = tested.unionByName(fresh)
+            linked = cut(verify(fresh, texts, similarity))
+            edges = edges.unionByName(linked)
+            groups = merged(groups, linked)
+        open_rows = labelled.drop("group").join(led.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
     of_text = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("d1", "d2", F.col("rep").alias("copy_of"), F.coalesce("group", "rep").alias("group"))
     keyed = signed.select("doc_id", "total", F.when(F.col("total") > 0, F.col("d1")).alias("d1"), F.when(F.col("total") > 0, F.col("d2")).alias("d2"))
     none, some = keyed.where("d1 IS NULL"), keyed.where("d1 IS NOT NULL")
