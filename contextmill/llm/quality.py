@@ -31,6 +31,8 @@ MAX_LAG = 20
 MAX_TRAINING_ROWS = 4_000
 MAX_TRAINING_HALVES = 48
 EPOCHS, BATCH, RATE = 14, 64, 4e-3
+#: Small samples are gone through more often, up to so many steps.
+MIN_STEPS = 500
 #: Half chunks convolved at once.
 BLOCK = 4096
 
@@ -138,6 +140,7 @@ class ByteConvNet:
     def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
         """Adam with a falling rate."""
         r, t = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-MIN_STEPS // -(-len(texts) // BATCH)))
         m, v = ({k: np.zeros_like(a, dtype=np.float32) for k, a in self.p.items()} for _ in range(2))
         steps = max(1, epochs * -(-len(texts) // BATCH))
         for _ in range(epochs):
