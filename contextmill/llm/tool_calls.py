@@ -43,26 +43,53 @@ def problems_of(tool: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.array_sort(F.when(known & arguments.isNull(), F.array(F.lit("not an object"))).otherwise(checks))
 
 
-def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): calls on a cycle, or behind one, have a null level. needs has (conv_id, call_id, needed)."""
-    waits = cut(needs.join(calls.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi")
-                .join(calls.select(*KEY), KEY, "left_semi").distinct())
-    free = calls.select(*KEY).join(waits, KEY, "left_anti").select(*KEY, F.lit(0).alias("level"))
-    done = [cut(free)]
-    level = 0
+def _jumps(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, far): from calls with one need (conv_id, call_id, anchor) to the first call up the chain that has not
+    exactly one, and how far it is. Distances double each round; calls on or behind a cycle of such calls are left out."""
+    jumps = cut(single.withColumn("far", F.lit(1).cast("long")))
+    before = -1
     while True:
-        met = done[-1].select("conv_id", F.col("call_id").alias("needed"))
-        candidates = waits.join(met, ["conv_id", "needed"], "left_semi").select(*KEY).distinct()
-        waits = cut(waits.join(met, ["conv_id", "needed"], "left_anti"))
-        level += 1
-        ready = cut(candidates.join(waits, KEY, "left_anti").select(*KEY, F.lit(level).alias("level")))
-        if ready.limit(1).count() == 0:
+        # (calls still on their way, all steps taken): on a cycle steps go on for ever, but the number on their way stands still
+        ahead = jumps.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("far").alias("more"))
+        moved = jumps.join(ahead.hint("merge"), ["conv_id", "anchor"], "left")
+        jumps = cut(moved.select(*KEY, F.coalesce("further", "anchor").alias("anchor"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("more").isNotNull().alias("way")))
+        on_way = jumps.where("way").count()
+        if on_way in (0, before):
+            return jumps.where("NOT way").drop("way")
+        before, jumps = on_way, jumps.drop("way")
+
+
+def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): calls on a cycle, or behind one, have a null level. needs has (conv_id, call_id, needed).
+
+    Chains of calls with one need each are jumped over in as many rounds as their length has binary digits; what is left, calls with
+    several needs, is peeled round by round.
+    """
+    calls = calls.select(*KEY)
+    wanted = needs.join(calls.select("conv_id", F.col("call_id").alias("needed")).hint("merge"), ["conv_id", "needed"], "left_semi").groupBy(*KEY).agg(F.collect_set("needed").alias("open"))
+    state = cut(calls.join(wanted.hint("merge"), KEY, "left").select(*KEY, F.coalesce("open", F.array().cast("array<string>")).alias("open")))
+    jumps = _jumps(state.where(F.size("open") == 1).select(*KEY, F.get("open", F.lit(0)).alias("anchor")))
+    known = state.where(F.size("open") == 0).select(*KEY, F.lit(0).cast("long").alias("level"))
+    # each need of a joint, a call with several, as the joint or root up its chain and the distance there; its own chain counts one more
+    joints = state.where(F.size("open") > 1).select(*KEY, F.explode("open").alias("needed"))
+    via = jumps.select("conv_id", F.col("call_id").alias("needed"), "anchor", "far")
+    ends = state.where(F.size("open") != 1).select("conv_id", F.col("call_id").alias("needed"), F.lit(True).alias("end"))
+    waits = cut(joints.join(via.hint("merge"), ["conv_id", "needed"], "left").join(ends.hint("merge"), ["conv_id", "needed"], "left").select(
+        *KEY, F.coalesce("anchor", F.when(F.col("end"), F.col("needed"))).alias("anchor"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("long").alias("met")))
+    fresh = known
+    while not waits.isEmpty():
+        heard = fresh.select("conv_id", F.col("call_id").alias("anchor"), "level")
+        waits = cut(waits.join(heard.hint("merge"), ["conv_id", "anchor"], "left").select(*KEY, "anchor", "far", F.coalesce("met", F.col("level") + F.col("far")).alias("met")))
+        per = waits.groupBy(*KEY).agg(F.count("*").alias("n"), F.count("met").alias("m"), F.max("met").alias("level"))
+        fresh = cut(per.where("n = m").select(*KEY, "level"))
+        if fresh.isEmpty():
             break
-        done.append(ready)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.unionByName(waits.select(*KEY).distinct().select(*KEY, F.lit(None).cast("int").alias("level")))
+        known = known.unionByName(fresh)
+        waits = waits.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti")
+    up = known.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    chained = jumps.join(up.hint("merge"), ["conv_id", "anchor"]).select(*KEY, (F.col("level") + F.col("far")).alias("level"))
+    found = known.unionByName(chained)
+    return calls.join(found.hint("merge"), KEY, "left").select(*KEY, F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Schemas) -> DataFrame:
@@ -76,23 +103,25 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, sche
     give empty results. Keys are sorted at the top level of the object and of the arguments.
     """
     by_key = W.partitionBy(*KEY)
-    asked = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.expr("cast(try_parse_json(arguments) AS string)").alias("_ok"))
-    asked = asked.withColumn("args", F.expr("try_cast(try_parse_json(arguments) AS map<string, variant>)")).drop("_ok")
-    asked = asked.withColumn("nth", F.row_number().over(by_key.orderBy("turn", "tool", "arguments")))
-    asked = asked.withColumn("nth", F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), 1).otherwise(F.col("nth")))
+    asked = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.row_number().over(by_key.orderBy("turn", "tool", "arguments")).alias("nth"))
+    asked = asked.withColumn("args", F.expr("try_cast(try_parse_json(arguments) AS map<string, variant>)"))
+    sorted_args = F.map_from_entries(F.transform(F.array_sort(F.map_keys("args")), lambda k: F.struct(k, F.element_at(F.col("args"), k))))
+    # parsed and checked once; what follows moves plain text
+    asked = cut(asked.select(
+        "conv_id", "turn", "call_id", "tool", F.to_json(sorted_args).alias("args"), problems_of(F.col("tool"), F.col("args"), schemas).alias("problems"),
+        F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), 1).otherwise(F.col("nth")).alias("nth")))
     first = asked.where("nth = 1")
     answers = results.select("conv_id", F.col("turn").alias("answered"), "call_id", "content").withColumn(
         "rank", F.row_number().over(by_key.orderBy("answered", "content")))
     named = first.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(*KEY)
     placed = first.join(answers.where("rank = 1").drop("rank"), KEY, "left").join(levels(named, needs.where("call_id IS NOT NULL AND needed IS NOT NULL")), KEY, "left")
     state = F.when(F.col("level").isNull() & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull(), "cycle").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
-    sorted_args = F.map_from_entries(F.transform(F.array_sort(F.map_keys("args")), lambda k: F.struct(k, F.element_at(F.col("args"), k))))
-    shape = F.struct(sorted_args.alias("arguments"), F.col("call_id").alias("id"), F.col("content").alias("result"), F.col("tool").alias("tool"))
-    out = ["conv_id", "turn", "call_id", "tool", "level", "status", "problems", "json"]
-    problems = problems_of(F.col("tool"), F.col("args"), schemas).alias("problems")
-    told = placed.select("conv_id", "turn", "call_id", "tool", "level", state.alias("status"), problems, F.to_json(shape).alias("json")).select(*out)
+    rest = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"), F.col("tool").alias("tool")))
+    line = F.when(F.col("args").isNull(), rest).when(rest == "{}", F.concat(F.lit('{"arguments":'), "args", F.lit("}"))).otherwise(
+        F.concat(F.lit('{"arguments":'), "args", F.lit(","), F.substr(rest, F.lit(2))))
+    told = placed.select("conv_id", "turn", "call_id", "tool", "level", state.alias("status"), "problems", line.alias("json"))
     again = asked.where("nth > 1").withColumn("content", F.lit(None).cast("string")).select(
-        "conv_id", "turn", "call_id", "tool", F.lit(None).cast("int").alias("level"), F.lit("repeated").alias("status"), problems, F.to_json(shape).alias("json"))
+        "conv_id", "turn", "call_id", "tool", F.lit(None).cast("int").alias("level"), F.lit("repeated").alias("status"), "problems", line.alias("json"))
     lost = answers.join(named.withColumn("rank", F.lit(1)), [*KEY, "rank"], "left_anti")
     orphans = lost.select("conv_id", F.col("answered").alias("turn"), "call_id", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("int").alias("level"),
                           F.lit("orphan").alias("status"), F.array().cast("array<string>").alias("problems"),

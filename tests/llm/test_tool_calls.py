@@ -47,3 +47,23 @@ def test_conversations_with_odd_rows(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = entry.queries()["op6_tool_calls"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_levels_of_random_graphs(spark):
+    import random
+
+    r = random.Random(5)
+    needs, want = [], {}
+    for conv in range(12):
+        size = 25
+        edges = {i: {j for j in range(i) if r.random() < (0.06 if conv % 2 else 0.02) or j == i - 1 and r.random() < 0.8} for i in range(size)}
+        if conv == 3:
+            edges[4].add(9)
+        level = {}
+        for _ in range(size):
+            level.update({i: max((level[j] + 1 for j in e), default=0) for i, e in edges.items() if i not in level and all(j in level for j in e)})
+        want |= {(conv, f"c{i}"): level.get(i) for i in range(size)}
+        needs += [(conv, f"c{i}", f"c{j}") for i, e in edges.items() for j in e]
+    calls = spark.createDataFrame(list(want), "conv_id long, call_id string")
+    got = levels(calls, spark.createDataFrame(needs, "conv_id long, call_id string, needed string")).collect()
+    assert {(x.conv_id, x.call_id): x.level for x in got} == want and len(got) == len(want)
