@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...functions.globs import DEFAULT_IGNORES, any_glob, excluded_project, walkable
 from ...functions.languages import language_of
@@ -231,11 +231,15 @@ def file_languages(spark: SparkSession, sf: str) -> DataFrame:
 QUOTES = '"' * 3
 
 
-def _python_files(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread_small(table(spark, sf, "documents"))
+def _escaped(line: Column) -> Column:
+    """Text for a place between double quotes: backslashes and quotes get a backslash in Python and YAML alike."""
+    return F.regexp_replace(line, r'(["\\])', r"\\$1")
+
+
+def _python_files(docs: DataFrame, written=lambda line: line) -> DataFrame:
     block = F.transform(F.split("text", "\n"), lambda line, i: F.concat(
         F.when(i % 2 == 1, F.lit("@cached\n")).otherwise(F.lit("")), F.lit("def fn_"), (i + 1).cast("string"),
-        F.lit(f"(arg):\n    {QUOTES}"), line, F.lit(f"{QUOTES}\n    return arg\n")))
+        F.lit(f"(arg):\n    {QUOTES}"), written(line), F.lit(f"{QUOTES}\n    return arg\n")))
     content = F.concat(F.lit("import "), "source", F.lit(", sys\nfrom ."), "lang", F.lit(" import x\n\n"), F.array_join(block, "\n"))
     return docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"),
                        F.lit("/gen").alias("project_path"), content.alias("content"))
@@ -250,16 +254,35 @@ SELECT '/gen/doc_' || doc_id || '.py' AS file, 'fn_' || n AS name, 'function' AS
        CASE WHEN deco = 1 THEN '@cached' ELSE 'def fn_' || n || '(arg):' || chr(10) || '    ' || repeat(chr(34), 3) || line || repeat(chr(34), 3) END AS skeleton
 FROM s WHERE line NOT LIKE '%"%'""")
 def symbols_python(spark: SparkSession, sf: str) -> DataFrame:
-    found = extraction.extract_symbols(_python_files(spark, sf))
-    # a quote inside the text would end the docstring early
+    found = extraction.extract_symbols(_python_files(spread_small(table(spark, sf, "documents"))))
+    # lines with a quote are left out as in the SQL: unescaped, it would end the docstring early; symbols_python_whole has them
     return found.where(F.size(F.split("source", '"')) == 7).select(
         "file", "name", "kind", "start_line", "end_line", "fqn", "skeleton")
 
 
+@register("symbols_python_whole", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+b AS (SELECT *, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS deco FROM l),
+s AS (SELECT *, 4 + coalesce(sum(4 + deco) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_line FROM b)
+SELECT '/gen/doc_' || doc_id || '.py' AS file, 'fn_' || n AS name, 'function' AS kind, start_line, start_line + 2 + deco AS end_line,
+       'doc_' || doc_id || '.py.fn_' || n AS fqn,
+       CASE WHEN deco = 1 THEN '@cached' ELSE 'def fn_' || n || '(arg):' || chr(10) || '    ' || repeat(chr(34), 3)
+         || replace(replace(line, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || repeat(chr(34), 3) END AS skeleton
+FROM s""")
+def symbols_python_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return python_symbols(spread_small(table(spark, sf, "documents")))
+
+
+def python_symbols(docs: DataFrame) -> DataFrame:
+    """One function for every line of documents, quotes and backslashes escaped."""
+    return extraction.extract_symbols(_python_files(docs, _escaped)).select(
+        "file", "name", "kind", "start_line", "end_line", "fqn", "skeleton")
+
+
 @register("import_edges", """
 SELECT '/gen/doc_' || doc_id || '.py' AS source_file, unnest([source, 'sys', '.' || lang]) AS target, 'import' AS kind FROM documents""")
 def import_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.extract_imports(_python_files(spark, sf)).select("source_file", "target", "kind")
+    return extraction.extract_imports(_python_files(spread_small(table(spark, sf, "documents")))).select("source_file", "target", "kind")
 
 
 @register("yaml_symbols", r"""
@@ -271,14 +294,17 @@ plays AS (SELECT DISTINCT doc_id, 'doc ' || doc_id AS name, 'play' AS kind, 1 AS
 SELECT '/gen/doc_' || doc_id || '.yml' AS file, name, kind, start_line FROM tasks UNION ALL
 SELECT '/gen/doc_' || doc_id || '.yml', name, kind, start_line FROM plays""")
 def yaml_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread_small(table(spark, sf, "documents"))
-    task = F.transform(F.split("text", "\n"), lambda line, i: F.when(
-        i % 2 == 1, F.concat(F.lit("    - name: line "), (i + 1).cast("string"), F.lit("\n      debug:")))
-        .otherwise(F.lit("    - debug:\n        msg: x")))
+    return extraction.extract_symbols(_yaml_files(spread_small(table(spark, sf, "documents")))).select("file", "name", "kind", "start_line")
+
+
+def _yaml_files(docs: DataFrame) -> DataFrame:
+    """A play per document with a task per line, named or not, whose message is the line."""
+    task = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.when(
+        i % 2 == 1, F.concat(F.lit("    - name: line "), (i + 1).cast("string"), F.lit('\n      debug: {msg: "'), _escaped(line), F.lit('"}')))
+        .otherwise(F.concat(F.lit('    - debug:\n        msg: "'), _escaped(line), F.lit('"')))))
     content = F.concat(F.lit("- name: doc "), F.col("doc_id").cast("string"), F.lit("\n  hosts: all\n  tasks:\n"), F.array_join(task, "\n"))
-    files = docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".yml")).alias("file"),
-                        F.lit("/gen").alias("project_path"), content.alias("content"))
-    return extraction.extract_symbols(files).select("file", "name", "kind", "start_line")
+    return docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit(".yml")).alias("file"),
+                       F.lit("/gen").alias("project_path"), content.alias("content"))
 
 
 @register("fish_symbols", r"""

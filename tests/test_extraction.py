@@ -1,11 +1,15 @@
 """Symbols, imports, skeletons, chunks and log lines on literal inputs."""
 
+import ast
+import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from contextmill.operators import chunking, upkeep, usage
 from contextmill.operators.symbols import complexity, extract_imports, extract_symbols
+from contextmill.plans.catalogue import index
 
 FILES = {
     "/p/a.py": 'import os, sys as y\nfrom .m import z\n\n@dec\n@dec2(1)\ndef f(a,\n      b):\n    """Doc."""\n    if a:\n        return 1\n\n# c\nclass C:\n    x = 1\n    def g(self, q: int):\n        pass\n\n    def h(self): return 2\nx = 3\nasync def k():\n    """Multi\n    line\n    """\n    return 1\n',
@@ -160,3 +164,18 @@ def test_retention(spark):
     kept = lambda **k: sorted(r["path"] for r in upkeep.retention(files, now, **k).where("NOT drop").collect())
     assert kept(max_age_days=5) == ["b", "c", "d"] and kept(max_age_days=5, max_total=60) == ["c", "d"]
     assert kept(max_total=140) == ["a", "b", "c", "d"] and kept(max_total=139) == ["b", "c", "d"] and kept() == ["a", "b", "c", "d"]
+
+
+def test_generated_files_hold_whole_texts(spark):
+    text = 'say "no"\nand "yes"\nback \\ slash "\n- hosts: b\n'
+    docs = spark.createDataFrame([(1, text, "en", "web")], "doc_id long, text string, lang string, source string")
+    rows = index.python_symbols(docs).orderBy("start_line").collect()
+    assert [(r["name"], r["start_line"], r["end_line"]) for r in rows] == [("fn_1", 4, 6), ("fn_2", 8, 11), ("fn_3", 13, 15), ("fn_4", 17, 20), ("fn_5", 22, 24)]
+    content = index._python_files(docs, index._escaped).first()["content"].replace("from .en import x", "")
+    assert [ast.get_docstring(f, clean=False) for f in ast.parse(content).body if isinstance(f, ast.FunctionDef)] == text.split("\n")
+    # the lines reach the YAML parser, quoted, and leave names and places alone
+    files = index._yaml_files(docs)
+    content = files.first()["content"]
+    assert [json.loads(m) for m in re.findall(r'msg: (".*?")\}?$', content, re.M)] == text.split("\n")
+    got = {(r["kind"], r["name"], r["start_line"]) for r in extract_symbols(files).collect()}
+    assert got == {("play", "doc 1", 1), ("task", "tasks[0]", 4), ("task", "line 2", 6), ("task", "tasks[2]", 8), ("task", "line 4", 10), ("task", "tasks[4]", 12)}
