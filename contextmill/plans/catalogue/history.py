@@ -168,6 +168,24 @@ def notes_search(spark: SparkSession, sf: str) -> DataFrame:
     return notes.search_notes(note_table(spark, sf), asked, 5)
 
 
+@register("notes_search_whole", f"""
+WITH {NOTES_SQL},
+asked AS (SELECT item_id AS query_id, text,
+                 CASE WHEN item_id < 10 THEN '' ELSE 'c' || item_id END AS session_id FROM benchmark),
+{request_terms_sql('asked', 'query_id')},
+words AS (SELECT ref, session_id, created_at, unnest(list_distinct(list_filter(regexp_split_to_array(lower(label || ' ' || content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))) AS term FROM notes),
+hit AS (SELECT DISTINCT q.query_id, w.ref, w.created_at FROM words w JOIN qterms q ON starts_with(w.term, q.prefix) JOIN asked a ON a.query_id = q.query_id
+        WHERE a.session_id IN ('', w.session_id)),
+lk AS (SELECT a.query_id, n.ref, n.created_at FROM notes n JOIN asked a ON a.session_id IN ('', n.session_id)
+       WHERE (contains(lower(n.label), lower(a.text)) OR contains(lower(n.content), lower(a.text))) AND a.query_id NOT IN (SELECT query_id FROM hit)),
+s AS (SELECT *, 1.0::DOUBLE AS score FROM hit UNION ALL SELECT *, 0.5 FROM lk)
+SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, ref DESC) AS rank FROM s QUALIFY rank <= 5""")
+def notes_search_whole(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("query_id")
+    asked = texts(spark, sf).withColumn("session_id", F.when(i < 10, "").otherwise(F.concat(F.lit("c"), i.cast("string"))))
+    return notes.search_notes(note_table(spark, sf), asked, 5)
+
+
 @register("notes_quota", f"""
 WITH {NOTES_SQL} SELECT session_id, count(*) AS notes_count, sum(token_est)::BIGINT AS tokens_stored, count(*) || '/50' AS notes_quota,
   sum(token_est) || '/32000' AS tokens_quota FROM notes GROUP BY ALL""")
