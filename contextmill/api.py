@@ -119,7 +119,7 @@ class ContextEngine:
     def capsules(self, requests: DataFrame, project_path: str, wanted: filters.SearchFilters | None = None, limit: int = 30) -> DataFrame:
         syms = self.scoped_symbols(project_path, wanted)
         return capsule_plan.capsule(syms, self._vectors_of(syms), requests, self.store.read("sessions"), self.store.summaries(),
-                                    limit, self.dims)
+                                    limit, self.dims, fallback=True)
 
     def log_returned(self, packed: DataFrame, session_id: str) -> None:
         """Remembers what a session was sent; the only write of a search, left to the caller."""
@@ -155,11 +155,11 @@ class ContextEngine:
             share = max(token_budget // retrieve_plan.MEMORY_SHARE, retrieve_plan.MIN_MEMORY_BUDGET)
             recalled = memory.recall_text(self.recall_memory(query, session_id, project_path, token_budget=share))
         return retrieve_plan.retrieve(syms, self._vectors_of(syms), self.store.doc_content(), one, self.store.read("sessions"),
-                                      limit, self.dims, include_docs, include_source, format, recalled)
+                                      limit, self.dims, include_docs, include_source, format, recalled, fallback=True)
 
     def hybrid_metrics(self, requests: DataFrame, project_path: str, limit: int = 30) -> DataFrame:
         syms = self.scoped_symbols(project_path)
-        found = capsule_plan.hybrid_candidates(syms, self._vectors_of(syms), requests, limit, self.dims)
+        found = capsule_plan.hybrid_candidates(syms, self._vectors_of(syms), requests, limit, self.dims, fallback=True)
         return fusion.stage_counts(requests, found, limit)
 
     def get_file_context(self, file: str, project_path: str, mode: str = "skeleton", session_id: str = "", token_budget: int = 0) -> DataFrame:

@@ -24,9 +24,9 @@ def memory_budget(token_budget: Column) -> Column:
 
 
 def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
-                limit: int, include_source: bool, dims: int) -> tuple[DataFrame, DataFrame]:
+                limit: int, include_source: bool, dims: int, fallback: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, skipped): content of the best hits, and the hits the session already has."""
-    ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims)
+    ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims, fallback)
     wide = symbols.select("id", "name", "kind", "file", "start_line", "code", "source", "skeleton")
     hits = (ranked.where(F.col("rank") <= limit).join(wide, "id")
             .join(requests.select("query_id", "session_id", "mode", "root"), "query_id"))
@@ -99,7 +99,8 @@ def assemble(chunks: DataFrame, layout: str = "markdown") -> DataFrame:
 
 def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame,
              returned: DataFrame, limit: int = RETRIEVE_LIMIT, dims: int = 768, include_docs: bool = True,
-             include_source: bool = False, layout: str = "markdown", memory: DataFrame | None = None) -> DataFrame:
+             include_source: bool = False, layout: str = "markdown", memory: DataFrame | None = None,
+             fallback: bool = False) -> DataFrame:
     """One row per request: context text and stage statistics.
 
     memory, if given, has (query_id, memory_text, memory_tokens, memory_lines); its tokens reduce the
@@ -114,7 +115,7 @@ def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests:
     else:
         budgets = budgets.select("*", F.lit(None).cast("string").alias("memory_text"),
                                  F.lit(0).alias("memory_tokens"), F.lit(0).alias("memory_lines"))
-    code, skipped = code_chunks(symbols, vectors, requests, returned, limit, include_source, dims)
+    code, skipped = code_chunks(symbols, vectors, requests, returned, limit, include_source, dims, fallback)
     both = code
     if include_docs:
         both = code.unionByName(doc_chunks_for(docs, requests, limit // 2 or DOC_LIMIT))

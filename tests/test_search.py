@@ -150,3 +150,15 @@ def test_relative_time_and_web_addresses(spark):
         http_get("file:///etc/hostname")
     rows = fetch_bodies(spark.createDataFrame([("1", "html", "no address"), ("2", "html", "file:///x")], "id string, type string, url string")).collect()
     assert [r["body"] for r in rows] == [None, None]
+
+
+def test_request_without_prefix_hit_falls_back_to_substrings(spark):
+    from contextmill.plans import capsule
+
+    rows = [(1, "login_user", "function", "/p/a.py", "a.py.login_user", "def login_user():"), (2, "logout", "function", "/p/b.py", "b.py.logout", "def logout():")]
+    syms = spark.createDataFrame(rows, "id long, name string, kind string, file string, fqn string, code string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, "ogin", None), (2, "logout", None), (3, "nowhere", None)], "query_id long, text string, vector array<float>")
+    found = capsule.hybrid_search(syms, vectors, asked, 30, 4, fallback=True)
+    # a request with a prefix hit keeps its prefix hits only
+    assert {(r["query_id"], r["id"], r["score"] > 0) for r in found.collect()} == {(1, 1, True), (2, 2, True)}
