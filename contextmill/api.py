@@ -77,8 +77,9 @@ class ContextEngine:
 
     # --- index ---
 
-    def index_files(self, path: str, project_path: str, include_logs: bool = False) -> None:
-        index_batch(self.store, source_files(self.spark, path, project_path, include_logs=include_logs), self.now())
+    def index_files(self, path: str, project_path: str, include_logs: bool = False, max_log_bytes: int | None = None) -> None:
+        found = source_files(self.spark, path, project_path, include_logs=include_logs, max_log_bytes=max_log_bytes)
+        index_batch(self.store, found, self.now(), include_logs)
 
     def embed_missing(self, files: int | None = None) -> None:
         embed_backlog(self.store, self.make_embedder, files)

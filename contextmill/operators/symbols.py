@@ -18,7 +18,7 @@ from ..functions.text import lines as lines_of
 from .rowwise import pinned
 from .skeletons import skeleton
 
-PLAINTEXT_MAX_BYTES = 2 << 20
+PLAINTEXT_BYTES = 2 << 20
 _EXPORT = r"^(?:export\s+(?:default\s+)?)?"
 _ID = r"([A-Za-z_$][\w$]*)"
 
@@ -236,8 +236,25 @@ def _yaml(lines: Column) -> Column:
     return F.when(F.col("y_list"), F.concat(F.transform(items, item), tasks)).otherwise(mapping)
 
 
-def extract_symbols(files: DataFrame, include_logs: bool = False) -> DataFrame:
-    """Rows of the symbol table from files (file, project_path, content), without ids."""
+def _plain_pieces(lines: Column, size: int) -> Column:
+    """(first, last) of runs of whole lines, each of at most size bytes or one line; together they are all lines."""
+    def step(acc: Column, line: Column) -> Column:
+        bytes_, at = F.octet_length(line) + 1, acc["at"]
+        full = (acc["used"] > 0) & (acc["used"] + bytes_ > size)
+        return F.struct((at + 1).alias("at"), F.when(full, bytes_).otherwise(acc["used"] + bytes_).alias("used"),
+                        F.when(full, F.array_append(acc["starts"], at)).otherwise(acc["starts"]).alias("starts"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.array(F.lit(0)).alias("starts"))
+    starts = F.aggregate(lines, zero, step, lambda a: a["starts"])
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - 1).alias("last")))
+
+
+def extract_symbols(files: DataFrame, include_logs: bool = False, plaintext_bytes: int = PLAINTEXT_BYTES) -> DataFrame:
+    """Rows of the symbol table from files (file, project_path, content), without ids.
+
+    A log is one row, or several of at most plaintext_bytes each (or one longer line) where it is larger.
+    """
     text = files.select("file", "project_path", "content", language_of("file", include_logs).alias("language"))
     text = pinned(text.where(F.col("language") != ""), lines=lines_of("content")).drop("content")
     lines, yaml = F.col("lines"), F.col("language") == "yaml"
@@ -251,8 +268,8 @@ def extract_symbols(files: DataFrame, include_logs: bool = False) -> DataFrame:
         by_language = by_language.when(F.col("language") == language, _declarations(lines, F.col("starts"), language))
     by_language = by_language.when(F.col("language") == "hcl", _hcl(lines, F.col("starts"))).when(yaml, _yaml(lines))
     if include_logs:
-        whole = F.array(F.struct(basename("file").alias("name"), F.lit("plaintext").alias("kind"), F.lit(0).alias("first"),
-                                 (F.size("lines") - 1).alias("last")))
+        whole = F.transform(_plain_pieces(lines, plaintext_bytes), lambda p: F.struct(
+            basename("file").alias("name"), F.lit("plaintext").alias("kind"), p["first"].alias("first"), p["last"].alias("last")))
         by_language = by_language.when(F.col("language") == "plaintext", whole)
     # every symbol takes its own lines along, so that the exploded rows do not repeat the whole file
     taken = F.transform(F.col("hits"), lambda h: F.struct(
@@ -263,10 +280,9 @@ def extract_symbols(files: DataFrame, include_logs: bool = False) -> DataFrame:
     rows = found.select("file", "project_path", "language", "s.*").select(
         "*", trim_space(F.get("source_lines", F.lit(0))).alias("first_line"), F.array_join("source_lines", "\n").alias("source"))
     plain = F.col("kind") == "plaintext"
-    head = F.substring(F.col("source").cast("binary"), 1, PLAINTEXT_MAX_BYTES).cast("string")
     return rows.select(
         "name", "kind", "file", "start_line", "end_line",
-        F.when(plain, head).otherwise(F.col("first_line")).alias("code"),
+        F.when(plain, F.col("source")).otherwise(F.col("first_line")).alias("code"),
         F.when(plain, F.concat("file", F.lit("#plaintext"))).otherwise(F.concat_ws(".", basename("file"), "name")).alias("fqn"),
         "project_path",
         F.when(plain, F.col("first_line")).otherwise(skeleton(F.col("language"), F.col("kind"), F.col("source_lines"))).alias("skeleton"),

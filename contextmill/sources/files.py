@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.globs import DEFAULT_IGNORES, any_glob, walkable
 from ..functions.languages import language_of
 from ..functions.scalars import relative_path
-from ..operators.symbols import PLAINTEXT_MAX_BYTES
 from ..operators.usage import log_fields
 
 MAX_TAIL = 500
@@ -22,11 +21,11 @@ def plain_path(path: Column) -> Column:
 
 
 def source_files(spark: SparkSession, root: str, project_path: str, ignores: Iterable[str] = DEFAULT_IGNORES,
-                 include_logs: bool = False, linked_children: Iterable[str] = ()) -> DataFrame:
+                 include_logs: bool = False, linked_children: Iterable[str] = (), max_log_bytes: int | None = None) -> DataFrame:
     """(file, project_path, content, mtime, size) of the files to index under root.
 
     Skipped directories, ignored paths, linked children and other file types are filtered on the path,
-    before any content is read into a later stage. Log files keep their first two megabytes.
+    before any content is read into a later stage. Log files are kept whole unless max_log_bytes cuts them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     found = raw.withColumn("file", plain_path(F.col("path")))
@@ -35,7 +34,9 @@ def source_files(spark: SparkSession, root: str, project_path: str, ignores: Ite
     for child in linked_children:
         keep = keep & ~F.startswith("file", F.lit(child.rstrip("/") + "/"))
     logs = language_of("file", True) == "plaintext"
-    content = F.when(logs, F.substring("content", 1, PLAINTEXT_MAX_BYTES)).otherwise(F.col("content"))
+    content = F.col("content")
+    if max_log_bytes is not None:
+        content = F.when(logs, F.substring("content", 1, max_log_bytes)).otherwise(content)
     return found.where(keep).select(
         "file", F.lit(project_path).alias("project_path"), content.cast("string").alias("content"),
         F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), F.col("length").alias("size"))

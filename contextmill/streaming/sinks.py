@@ -21,7 +21,7 @@ def append_sink(rows: DataFrame, store: Store, table: str, checkpoint: str, inte
             .option("checkpointLocation", checkpoint).trigger(processingTime=interval))
 
 
-def index_batch(store: Store, files: DataFrame, now: Column) -> None:
+def index_batch(store: Store, files: DataFrame, now: Column, include_logs: bool = False) -> None:
     """Indexes one batch of files (file, project_path, content): symbols, edges, manifest.
 
     All rows carry the batch's version, and the manifest is written last, so readers switch to the new
@@ -29,7 +29,7 @@ def index_batch(store: Store, files: DataFrame, now: Column) -> None:
     """
     files = files.persist()
     ident = F.xxhash64("project_path", "file", "name", "kind", "start_line")
-    store.append("symbols", extract_symbols(files).withColumn("id", ident).withColumn("version", now))
+    store.append("symbols", extract_symbols(files, include_logs).withColumn("id", ident).withColumn("version", now))
     store.append("edges", extract_imports(files).withColumn("version", now))
     store.append("indexed_files", files.select("file", "project_path", now.alias("indexed_at")))
     files.unpersist()

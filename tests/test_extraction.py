@@ -7,9 +7,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from contextmill.api import ContextEngine
 from contextmill.operators import chunking, upkeep, usage
 from contextmill.operators.symbols import complexity, extract_imports, extract_symbols
 from contextmill.plans.catalogue import index
+from contextmill.sources.files import source_files
+from contextmill.sources.store import Store
 
 FILES = {
     "/p/a.py": 'import os, sys as y\nfrom .m import z\n\n@dec\n@dec2(1)\ndef f(a,\n      b):\n    """Doc."""\n    if a:\n        return 1\n\n# c\nclass C:\n    x = 1\n    def g(self, q: int):\n        pass\n\n    def h(self): return 2\nx = 3\nasync def k():\n    """Multi\n    line\n    """\n    return 1\n',
@@ -179,3 +182,21 @@ def test_generated_files_hold_whole_texts(spark):
     assert [json.loads(m) for m in re.findall(r'msg: (".*?")\}?$', content, re.M)] == text.split("\n")
     got = {(r["kind"], r["name"], r["start_line"]) for r in extract_symbols(files).collect()}
     assert got == {("play", "doc 1", 1), ("task", "tasks[0]", 4), ("task", "line 2", 6), ("task", "tasks[2]", 8), ("task", "line 4", 10), ("task", "tasks[4]", 12)}
+
+
+def test_long_logs_are_kept_whole(spark, tmp_path):
+    text = "".join(f"line {i} {'x' * 90}\n" for i in range(25_000)) + "the end"
+    root = tmp_path / "logs"
+    root.mkdir()
+    (root / "a.log").write_text(text)
+    found = source_files(spark, str(root), "/p", include_logs=True)
+    rows = extract_symbols(found, include_logs=True).orderBy("start_line").select("start_line", "end_line", "code").collect()
+    assert len(rows) == 2 and "\n".join(r["code"] for r in rows) == text
+    assert max(len(r["code"]) for r in rows) <= 2 << 20 and rows[0]["start_line"] == 1
+    assert rows[1]["start_line"] == rows[0]["end_line"] + 1 and rows[1]["end_line"] == 25_001
+    cut = source_files(spark, str(root), "/p", include_logs=True, max_log_bytes=1000).first()["content"]
+    assert cut == text[:1000]
+    # and the engine's index holds every piece
+    engine = ContextEngine(spark, Store(spark, str(tmp_path / "store")))
+    engine.index_files(str(root), str(root), include_logs=True)
+    assert engine.store.symbols().where("kind = 'plaintext'").agg(F.sum(F.length("code"))).first()[0] == len(text) - 1
