@@ -16,6 +16,7 @@ from .plans import capsule as capsule_plan, retrieve as retrieve_plan
 from .sources import documents as doc_sources
 from .sources.embedders import Embedder, HashingEmbedder, embed_column
 from .sources.files import source_files
+from .session import pin_small
 from .sources.store import Store
 from .streaming.sinks import embed_backlog, index_batch
 
@@ -69,6 +70,20 @@ class ContextEngine:
         rows = filters.in_scope(self.store.symbols(), self.store.read("project_links"), project_path)
         return rows if wanted is None else rows.where(wanted.predicate(project_path))
 
+    def _code_hits(self, requests: DataFrame, project_path: str, symbols: DataFrame, wanted: filters.SearchFilters | None) -> DataFrame:
+        """Text hits of the stored index within a scope; with filters, among the symbols they admit."""
+        scopes = filters.scope_names(self.store.read("project_links"), project_path)
+        allowed = None if wanted is None else symbols.select(F.col("id").alias("doc"))
+        return self.store.text("code").search(requests.select("query_id", "text"), lexical.CANDIDATES, scopes, allowed)
+
+    def _doc_hits(self, requests: DataFrame, limit: int) -> DataFrame:
+        """Text hits among documentation chunks; requests without any get chunks that contain their whole text."""
+        found = pin_small(self.store.text("docs").search(requests.select("query_id", "text"), limit))
+        unanswered = requests.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        phrase = lexical.phrase_search(self.store.doc_content(), unanswered, "chunk_id", [F.col("title"), F.col("content")],
+                                       [F.desc("updated_at"), F.col("chunk_id")], limit)
+        return found.unionByName(phrase)
+
     def _vectors_of(self, symbols: DataFrame) -> DataFrame:
         """Code vectors of the given symbols, joined by content hash."""
         code = self.store.read("vectors").where(F.col("doc_type") == "code").select(
@@ -105,7 +120,15 @@ class ContextEngine:
 
     def drop_files(self, files: DataFrame) -> None:
         """Removes files (file, project_path) from the index: a newer manifest version without rows."""
-        self.store.append("indexed_files", files.select("file", "project_path", self.now().alias("indexed_at")))
+        gone = files.select("file", "project_path").distinct().persist()
+        self.store.append("indexed_files", gone.select("file", "project_path", self.now().alias("indexed_at")))
+        self.store.refresh_text("code", gone.select(F.col("project_path").alias("scope"), F.col("file").alias("unit")))
+        gone.unpersist()
+
+    def compact_text(self) -> None:
+        """Rewrites the segments of both text indexes as one each; searches that run meanwhile keep the version they began with."""
+        for collection in ("code", "docs"):
+            self.store.text(collection).compact()
 
     def reset_project(self, project_path: str) -> None:
         self.drop_files(self.store.files().where(F.col("project_path") == project_path))
@@ -120,7 +143,7 @@ class ContextEngine:
     def capsules(self, requests: DataFrame, project_path: str, wanted: filters.SearchFilters | None = None, limit: int = 30) -> DataFrame:
         syms = self.scoped_symbols(project_path, wanted)
         return capsule_plan.capsule(syms, self._vectors_of(syms), requests, self.store.read("sessions"), self.store.summaries(),
-                                    limit, self.dims, fallback=True)
+                                    limit, self.dims, fallback=True, text_hits=self._code_hits(requests, project_path, syms, wanted))
 
     def log_returned(self, packed: DataFrame, session_id: str) -> None:
         """Remembers what a session was sent; the only write of a search, left to the caller."""
@@ -141,26 +164,27 @@ class ContextEngine:
 
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
         chunks, one = self.store.doc_content(), self.request(text=query)
-        text = lexical.bm25_search(chunks, one, "chunk_id", F.concat_ws(" ", "title", "content"), 2 * limit)
-        phrase = lexical.phrase_search(chunks, one, "chunk_id", [F.col("title"), F.col("content")], [F.desc("updated_at"), F.col("chunk_id")], 2 * limit)
-        first = lexical.first_non_empty(text, phrase).drop("stage")
-        return first.where(F.col("rank") <= limit).join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id").orderBy("rank")
+        return self._doc_hits(one, 2 * limit).where(F.col("rank") <= limit).join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id").orderBy("rank")
 
     def retrieve(self, query: str, project_path: str, limit: int = 10, token_budget: int = 4000, include_docs: bool = True,
                  include_source: bool = False, mode: str = "skeleton", session_id: str = "", include_memory: bool = False,
                  format: str = "markdown", **args: Any) -> DataFrame:
-        syms = self.scoped_symbols(project_path, filters.SearchFilters.parse(args))
+        wanted = filters.SearchFilters.parse(args)
+        syms = self.scoped_symbols(project_path, wanted)
         one = self.request(text=query, session_id=session_id, mode=mode, token_budget=token_budget, root=project_path)
         recalled = None
         if include_memory and session_id:
             share = max(token_budget // retrieve_plan.MEMORY_SHARE, retrieve_plan.MIN_MEMORY_BUDGET)
             recalled = memory.recall_text(self.recall_memory(query, session_id, project_path, token_budget=share))
         return retrieve_plan.retrieve(syms, self._vectors_of(syms), self.store.doc_content(), one, self.store.read("sessions"),
-                                      limit, self.dims, include_docs, include_source, format, recalled, fallback=True)
+                                      limit, self.dims, include_docs, include_source, format, recalled, fallback=True,
+                                      text_hits=self._code_hits(one, project_path, syms, wanted),
+                                      doc_hits=self._doc_hits(one, limit // 2 or retrieve_plan.DOC_LIMIT) if include_docs else None)
 
     def hybrid_metrics(self, requests: DataFrame, project_path: str, limit: int = 30) -> DataFrame:
         syms = self.scoped_symbols(project_path)
-        found = capsule_plan.hybrid_candidates(syms, self._vectors_of(syms), requests, limit, self.dims, fallback=True)
+        found = capsule_plan.hybrid_candidates(syms, self._vectors_of(syms), requests, limit, self.dims, fallback=True,
+                                               text_hits=self._code_hits(requests, project_path, syms, None))
         return fusion.stage_counts(requests, found, limit)
 
     def get_file_context(self, file: str, project_path: str, mode: str = "skeleton", session_id: str = "", token_budget: int = 0) -> DataFrame:
@@ -309,10 +333,17 @@ class ContextEngine:
         """Removes a source; its chunks are no longer found."""
         gone = self.list_doc_sources().where(F.col("id") == source_id)
         self.store.append("doc_sources", gone.withColumn("url", F.lit("")).withColumn("created_at", self.now()))
+        self._refresh_docs(self.spark.createDataFrame([(source_id,)], "unit string"))
+
+    def _refresh_docs(self, units: DataFrame) -> None:
+        self.store.refresh_text("docs", units.select(F.lit("").alias("scope"), "unit"))
 
     def update_doc_source(self, bodies: DataFrame) -> None:
         """Chunks and stores fetched bodies (id, type, url, body); see documents.fetch_bodies."""
+        bodies = bodies.persist()
         self.store.append("doc_content", doc_sources.chunk_bodies(bodies).withColumn("updated_at", self.now()))
+        self._refresh_docs(bodies.select(F.col("id").alias("unit")))
+        bodies.unpersist()
 
     def fetch_doc(self, name: str, type: str, url: str, version: str = "", force_refresh: bool = False,
                   fetch: doc_sources.Fetch = doc_sources.http_get) -> DataFrame:

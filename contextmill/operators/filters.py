@@ -62,8 +62,13 @@ def scope_paths(links: DataFrame, roots: DataFrame) -> DataFrame:
 def in_scope(rows: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """Rows of one root project and its linked children. The children of one project are few and are looked
     up first: as literals they prune the partitions of the scan, so other projects are not read."""
+    return rows.where(F.col("project_path").isin(*scope_names(links, root)))
+
+
+def scope_names(links: DataFrame, root: str) -> list[str]:
+    """A project and its linked children."""
     children = links.where(F.col("parent_path") == root).select("child_path").distinct().collect()
-    return rows.where(F.col("project_path").isin(root, *(r["child_path"] for r in children)))
+    return [root, *(r["child_path"] for r in children)]
 
 
 def auto_links(projects: DataFrame) -> DataFrame:

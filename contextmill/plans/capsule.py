@@ -24,17 +24,20 @@ def symbol_key() -> Column:
 
 
 def hybrid_candidates(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
-                      dims: int, fallback: bool = False) -> DataFrame:
+                      dims: int, fallback: bool = False, text_hits: DataFrame | None = None) -> DataFrame:
     """Keyed candidates (query_id, id, key, score, rank, leg) of the text and the vector leg.
 
     symbols: id, name, kind, file, fqn, code. vectors: vec_id (= symbol id), embedding.
-    requests: query_id, text, vector. With fallback, the text leg of a request without any prefix hit
-    is the symbols that contain one of its terms.
+    requests: query_id, text, vector. text_hits (query_id, doc_id, score, rank) come from a stored index; without them the
+    symbols are searched themselves. With fallback, the text leg of a request without any prefix hit is the symbols
+    that contain one of its terms; only such requests are looked up that way.
     """
-    text = lexical.bm25_search(symbols, requests, "id", symbol_text())
+    text = lexical.bm25_search(symbols, requests, "id", symbol_text()) if text_hits is None else text_hits
     if fallback:
-        inside = lexical.substring_search(symbols, requests, "id", F.col("name"), [F.col("name"), F.col("fqn"), F.col("code")])
-        text = lexical.first_non_empty(text, inside).drop("stage")
+        text = pin_small(text)
+        unanswered = requests.join(text.select("query_id").distinct(), "query_id", "left_anti")
+        inside = lexical.substring_search(symbols, unanswered, "id", F.col("name"), [F.col("name"), F.col("fqn"), F.col("code")])
+        text = text.unionByName(inside)
     text = text.withColumnRenamed("doc_id", "id")
     near = knn.knn(vectors, requests, 2 * limit, dims)
     vector = near.withColumnRenamed("vec_id", "id").withColumnRenamed("similarity", "score")
@@ -42,9 +45,9 @@ def hybrid_candidates(symbols: DataFrame, vectors: DataFrame, requests: DataFram
 
 
 def hybrid_search(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
-                  dims: int, fallback: bool = False) -> DataFrame:
+                  dims: int, fallback: bool = False, text_hits: DataFrame | None = None) -> DataFrame:
     """(query_id, key, id, leg, similarity, score, rank): the fused ranking per request."""
-    return fusion.hybrid(hybrid_candidates(symbols, vectors, requests, limit, dims, fallback), limit)
+    return fusion.hybrid(hybrid_candidates(symbols, vectors, requests, limit, dims, fallback, text_hits), limit)
 
 
 def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, returned: DataFrame,
@@ -59,13 +62,14 @@ def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, ret
 
 
 def capsule(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
-            summaries: DataFrame, limit: int = CAPSULE_LIMIT, dims: int = 768, fallback: bool = False) -> DataFrame:
+            summaries: DataFrame, limit: int = CAPSULE_LIMIT, dims: int = 768, fallback: bool = False,
+            text_hits: DataFrame | None = None) -> DataFrame:
     """One row per considered hit with representation, payload and size (see packing.pack).
 
     Fusion always sees the candidates of CAPSULE_LIMIT hits, so a smaller limit only cuts the ranking.
     """
     requests = pin_small(requests)
-    ranked = hybrid_search(symbols, vectors, requests, max(limit, CAPSULE_LIMIT), dims, fallback).where(F.col("rank") <= limit)
+    ranked = hybrid_search(symbols, vectors, requests, max(limit, CAPSULE_LIMIT), dims, fallback, text_hits).where(F.col("rank") <= limit)
     hits = prepare_hits(ranked, symbols, requests, returned, summaries)
     # a hit known from the vector leg only carries its similarity and content hash in the row
     number = F.col("similarity").cast(SIMILARITY_TYPE).cast("string")

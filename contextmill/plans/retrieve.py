@@ -24,9 +24,10 @@ def memory_budget(token_budget: Column) -> Column:
 
 
 def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, returned: DataFrame,
-                limit: int, include_source: bool, dims: int, fallback: bool = False) -> tuple[DataFrame, DataFrame]:
+                limit: int, include_source: bool, dims: int, fallback: bool = False,
+                text_hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, skipped): content of the best hits, and the hits the session already has."""
-    ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims, fallback)
+    ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims, fallback, text_hits)
     wide = symbols.select("id", "name", "kind", "file", "start_line", "code", "source", "skeleton")
     hits = (ranked.where(F.col("rank") <= limit).join(wide, "id")
             .join(requests.select("query_id", "session_id", "mode", "root"), "query_id"))
@@ -49,9 +50,10 @@ def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, ret
     return chunks, skipped
 
 
-def doc_chunks_for(chunks: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
-    """Best document chunks per request by text, with the raw text score."""
-    ranked = lexical.bm25_search(chunks, requests, "chunk_id", F.concat_ws(" ", "title", "content"), limit)
+def doc_chunks_for(chunks: DataFrame, requests: DataFrame, limit: int, doc_hits: DataFrame | None = None) -> DataFrame:
+    """Best document chunks per request: by the given hits (query_id, doc_id, score, rank), else by text with its raw score."""
+    ranked = lexical.bm25_search(chunks, requests, "chunk_id", F.concat_ws(" ", "title", "content"), limit) if doc_hits is None else doc_hits
+    ranked = ranked.where(F.col("rank") <= limit)
     rows = ranked.join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id")
     score = F.when(F.col("score") > 0, F.col("score")).otherwise(F.lit(DOC_FALLBACK_SCORE))
     return rows.select("query_id", F.lit("doc").alias("type"), F.col("title").alias("name"),
@@ -100,8 +102,8 @@ def assemble(chunks: DataFrame, layout: str = "markdown") -> DataFrame:
 def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests: DataFrame,
              returned: DataFrame, limit: int = RETRIEVE_LIMIT, dims: int = 768, include_docs: bool = True,
              include_source: bool = False, layout: str = "markdown", memory: DataFrame | None = None,
-             fallback: bool = False) -> DataFrame:
-    """One row per request: context text and stage statistics.
+             fallback: bool = False, text_hits: DataFrame | None = None, doc_hits: DataFrame | None = None) -> DataFrame:
+    """One row per request: context text and stage statistics. text_hits and doc_hits come from stored indexes.
 
     memory, if given, has (query_id, memory_text, memory_tokens, memory_lines); its tokens reduce the
     budget, of which MIN_REMAINING always stay.
@@ -115,10 +117,10 @@ def retrieve(symbols: DataFrame, vectors: DataFrame, docs: DataFrame, requests:
     else:
         budgets = budgets.select("*", F.lit(None).cast("string").alias("memory_text"),
                                  F.lit(0).alias("memory_tokens"), F.lit(0).alias("memory_lines"))
-    code, skipped = code_chunks(symbols, vectors, requests, returned, limit, include_source, dims, fallback)
+    code, skipped = code_chunks(symbols, vectors, requests, returned, limit, include_source, dims, fallback, text_hits)
     both = code
     if include_docs:
-        both = code.unionByName(doc_chunks_for(docs, requests, limit // 2 or DOC_LIMIT))
+        both = code.unionByName(doc_chunks_for(docs, requests, limit // 2 or DOC_LIMIT, doc_hits))
     ranked = rank_and_dedup(both).withColumn("tokens", token_estimate("content"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = (ranked.join(budgets.select("query_id", "token_budget"), "query_id")

@@ -9,6 +9,13 @@ from pyspark.errors import AnalysisException
 
 from ..operators.upkeep import latest_by_key, without
 from ..schemas import PARTITIONS, schema_of
+from .text_index import TextSegments
+
+# Collections with a text index: their table, what is replaced as a whole, the id and its type, the searched columns.
+TEXTS = {
+    "code": ("symbols", ("project_path", "file", "version"), "id", "long", ("name", "fqn", "code")),
+    "docs": ("doc_content", ("", "source_id", "updated_at"), "chunk_id", "string", ("title", "content")),
+}
 
 
 @dataclass
@@ -83,6 +90,31 @@ class Store:
     def settings(self) -> DataFrame:
         return latest_by_key(self.read("settings"), ["key"], ["updated_at"])
 
+    # --- text index ---
+
+    def text(self, collection: str) -> TextSegments:
+        return TextSegments(self.spark, f"{self.root}/text/{collection}", TEXTS[collection][3])
+
+    def _as_documents(self, collection: str, rows: DataFrame) -> DataFrame:
+        _, (scope, unit, version), key, _, fields = TEXTS[collection]
+        return rows.select((F.col(scope) if scope else F.lit("")).alias("scope"), F.col(unit).alias("unit"), F.col(version).alias("version"),
+                           F.col(key).alias("doc"), F.concat_ws(" ", *fields).alias("text"))
+
+    def refresh_text(self, collection: str, touched: DataFrame | None = None) -> None:
+        """Brings the index in step with the table: current versions it lacks are added, versions it holds that are no longer
+        current are ended. touched (scope, unit) limits the comparison to what a batch wrote; without it everything is
+        compared, which repairs an index after a lost batch and builds one from nothing."""
+        index = self.text(collection)
+        held = index.units()
+        every = self._as_documents(collection, self.read(TEXTS[collection][0]))
+        current = self._as_documents(collection, self.symbols() if collection == "code" else self.doc_content())
+        if touched is not None:
+            keys = touched.select("scope", "unit").distinct()
+            held, every, current = (df.join(keys, ["scope", "unit"], "left_semi") for df in (held, every, current))
+        versions = ["scope", "unit", "version"]
+        ended = held.join(current.select(*versions), versions, "left_anti")
+        index.apply(current, every.join(ended, versions, "left_semi"))
+
     # --- bundles ---
 
     def export_bundle(self, project_path: str, target: str) -> None:
@@ -94,3 +126,4 @@ class Store:
     def import_bundle(self, source: str) -> None:
         for name in ("symbols", "edges", "summaries", "vectors", "indexed_files"):
             self.append(name, self.spark.read.schema(schema_of(name)).parquet(f"{source}/{name}"))
+        self.refresh_text("code")

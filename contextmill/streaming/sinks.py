@@ -22,7 +22,7 @@ def append_sink(rows: DataFrame, store: Store, table: str, checkpoint: str, inte
 
 
 def index_batch(store: Store, files: DataFrame, now: Column, include_logs: bool = False) -> None:
-    """Indexes one batch of files (file, project_path, content): symbols, edges, manifest.
+    """Indexes one batch of files (file, project_path, content): symbols, edges, manifest, postings.
 
     All rows carry the batch's version, and the manifest is written last, so readers switch to the new
     rows of a file at once and a retried batch leaves at most rows that no manifest row points to.
@@ -32,6 +32,7 @@ def index_batch(store: Store, files: DataFrame, now: Column, include_logs: bool
     store.append("symbols", extract_symbols(files, include_logs).withColumn("id", ident).withColumn("version", now))
     store.append("edges", extract_imports(files).withColumn("version", now))
     store.append("indexed_files", files.select("file", "project_path", now.alias("indexed_at")))
+    store.refresh_text("code", files.select(F.col("project_path").alias("scope"), F.col("file").alias("unit")))
     files.unpersist()
 
 
