@@ -228,7 +228,7 @@ class ContextEngine:
 
     def store_context(self, new_notes: DataFrame, extract_memory: bool = False) -> DataFrame:
         """Admits notes (session_id, content, pos and optionally label, project_path, tags, kind, metadata_json) under
-        the session caps, given what the sessions hold; returns every note with admitted and refused_by."""
+        the caps of sessions and of all together, given what is held; returns every note with admitted and refused_by."""
         optional = {"label": "", "project_path": "", "tags": "", "kind": "", "metadata_json": ""}
         rows = new_notes.withColumns({c: F.lit(v) for c, v in optional.items() if c not in new_notes.columns})
         rows = rows.withColumn("content", F.trim("content")).where("content <> '' AND trim(session_id) <> ''")
@@ -240,7 +240,7 @@ class ContextEngine:
                                  "ref": stable_ref("ctx_", "session_id", "pos", "content")})
         held = self.store.notes().select("ref", "session_id", F.lit(-1).cast("long").alias("pos"), "token_est", F.lit(True).alias("held"))
         arriving = rows.select("ref", "session_id", F.col("pos").cast("long").alias("pos"), "token_est", F.lit(False).alias("held"))
-        decided = notes.admit(held.unionByName(arriving), self.limits).where("NOT held").select("ref", "admitted", "refused_by")
+        decided = notes.admit_globally(held.unionByName(arriving), self.limits).where("NOT held").select("ref", "admitted", "refused_by")
         out = rows.join(decided, "ref")
         kept = out.where("admitted")
         self.store.append("context_notes", kept.withColumn("created_at", self.now()))

@@ -220,6 +220,24 @@ def notes_admission(spark: SparkSession, sf: str) -> DataFrame:
     return notes.admit(note_table(spark, sf), LIMITS).select("ref", "session_id", "admitted", "refused_by")
 
 
+@register("notes_admission_global", f"""
+WITH RECURSIVE {NOTES_SQL},
+o AS (SELECT ref, session_id, token_est::BIGINT AS size, row_number() OVER (ORDER BY pos, session_id, ref) AS n FROM notes),
+f AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS ref, NULL::VARCHAR AS session_id, NULL::VARCHAR AS why, 0::BIGINT AS cnt, 0::BIGINT AS used,
+             MAP {{'': {{'c': 0::BIGINT, 't': 0::BIGINT}}}} AS s
+      UNION ALL
+      SELECT n, ref, session_id, why, cnt + (why IS NULL)::INT, used + CASE WHEN why IS NULL THEN size ELSE 0 END,
+             CASE WHEN why IS NULL THEN map_concat(s, MAP {{session_id: {{'c': c + 1, 't': t + size}}}}) ELSE s END
+      FROM (SELECT *, CASE WHEN size > 600 THEN 'single_note_tokens' WHEN c >= 6 THEN 'session_notes' WHEN t + size > 600 THEN 'session_tokens'
+                           WHEN cnt >= 300 THEN 'global_notes' WHEN used + size > 12000 THEN 'global_tokens' END AS why
+            FROM (SELECT o.*, f.cnt, f.used, f.s, coalesce(f.s[o.session_id].c, 0) AS c, coalesce(f.s[o.session_id].t, 0) AS t FROM f JOIN o ON o.n = f.n + 1)))
+SELECT ref, session_id, why IS NULL AS admitted, why AS refused_by FROM f WHERE n > 0""")
+def notes_admission_global(spark: SparkSession, sf: str) -> DataFrame:
+    arriving = note_table(spark, sf).withColumn("pos", F.col("pos").cast("long")).withColumn("held", F.lit(False))
+    caps = notes.Limits(LIMITS.session_notes, LIMITS.session_tokens, 300, 12_000)
+    return notes.admit_globally(arriving, caps).select("ref", "session_id", "admitted", "refused_by")
+
+
 # --- sequences ---------------------------------------------------------------------------------
 
 @register("session_dedup", """

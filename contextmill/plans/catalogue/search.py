@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ...functions.scalars import content_hash
 from ...operators import fusion, knn, lexical, packing
 from ...operators.filters import SearchFilters
-from ...session import pin_small, spread_small
+from ...session import pin_small, scratch_dir, spread_small
+from ...sources.text_index import TextSegments
 from .. import capsule as plan
 from . import Catalogue
 from .views import (SYMBOLS_SQL, bm25_sql, knn_sql, request_terms_sql, requests, symbols, table, texts)
@@ -26,6 +27,30 @@ def bm25_batch_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25_search(spread_small(docs), texts(spark, sf), "doc_id", F.col("text"))
 
 
+@register("bm25_index_topk", f"""
+WITH {request_terms_sql()}, {bm25_sql('documents', 'doc_id', 'text')}
+SELECT query_id, doc_id, score, rank FROM bm25""")
+def bm25_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The answers of bm25_batch_topk from a stored index with a history: drafts of a tenth of the documents and copies under
+    negative ids come with the first of two batches; later the drafts get their texts, and the copies are deleted."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    index = TextSegments(spark, scratch_dir(spark, "bm25-index"))
+
+    def batch(rows: DataFrame, version: str) -> DataFrame:
+        return rows.select(F.lit("corpus").alias("scope"), F.concat(F.lit("unit"), F.col("doc").cast("string")).alias("unit"),
+                           F.lit(version).cast("timestamp_ntz").alias("version"), "doc", "text")
+
+    part = F.pmod("doc", F.lit(10))
+    drafted = docs.where(part == 0)
+    drafts = batch(drafted.withColumn("text", F.concat_ws(" ", "source", "lang", "source")), "2024-01-01")
+    copies = batch(docs.where(part == 3).withColumn("doc", -F.col("doc") - 1), "2024-01-01")
+    index.apply(drafts.unionByName(copies).unionByName(batch(docs.where((part > 0) & (part < 5)), "2024-01-01")))
+    index.apply(batch(docs.where(part >= 5), "2024-01-02"))
+    index.apply(batch(drafted, "2024-01-03"), drafts)
+    index.apply(None, copies)
+    return index.search(texts(spark, sf), lexical.CANDIDATES)
+
+
 @register("bm25_prefix_topk", f"""
 WITH one AS (SELECT 0 AS query_id, 'th ion* er, the' AS text),
 {request_terms_sql('one', 'query_id')}, {bm25_sql('documents', 'doc_id', 'text')}

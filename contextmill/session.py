@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -46,3 +49,13 @@ def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
     if found.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session may do without."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="contextmill-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -85,8 +85,9 @@ class TextSegments:
         added = None if added is None else added.join(held, pb.VERSION, "left_anti")
         removed = None if removed is None else removed.join(held, pb.VERSION, "left_semi")
         empty = self.spark.createDataFrame([], f"{pb.UNIT_TYPES}, doc {self.doc_type}, toks array<string>")
-        new = empty if added is None else pb.tokenised(added)
-        old = empty if removed is None else pb.tokenised(removed)
+        # a batch is tokenised once for all parts of its segment
+        new = (empty if added is None else pb.tokenised(added)).persist()
+        old = (empty if removed is None else pb.tokenised(removed)).persist()
         self._write(segment, "dead", old.select(*pb.VERSION).distinct())
         self._write(segment, "prefixes", pb.prefix_deltas(new).unionByName(pb.prefix_deltas(old, -1)).groupBy("scope", "prefix").agg(
             F.sum("df").alias("df")).where("df <> 0").sort("scope", "prefix"))
@@ -94,6 +95,8 @@ class TextSegments:
         self._write(segment, "units", new.select(*pb.VERSION).distinct())
         size = new.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("a")).first()
         self._write_blocks(segment, pb.posting_rows(new), size["n"], size["a"] or 1.0)
+        new.unpersist()
+        old.unpersist()
         self._commit(segment, [])
         return segment
 
