@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.scalars import (blank_to_null, content_hash, normalize_outcome, normalize_reason, relative_path,
                                 stable_ref, token_estimate)
-from .operators import filters, fusion, graph, knn, lexical, memory, notes, packing, scripts, symbols as extraction, upkeep, usage
+from .operators import entities, filters, fusion, graph, knn, lexical, memory, notes, packing, scripts, symbols as extraction, upkeep, usage
 from .plans import capsule as capsule_plan, retrieve as retrieve_plan
 from .sources import documents as doc_sources
 from .sources.embedders import Embedder, HashingEmbedder, embed_column
@@ -77,12 +77,16 @@ class ContextEngine:
         return self.store.text("code").search(requests.select("query_id", "text"), lexical.CANDIDATES, scopes, allowed)
 
     def _doc_hits(self, requests: DataFrame, limit: int) -> DataFrame:
-        """Text hits among documentation chunks; requests without any get chunks that contain their whole text."""
-        found = pin_small(self.store.text("docs").search(requests.select("query_id", "text"), limit))
+        """Documentation chunks by text, or where nothing matches by the whole text as a phrase, fused with those by vector."""
+        found = pin_small(self.store.text("docs").search(requests.select("query_id", "text"), 2 * limit))
         unanswered = requests.join(found.select("query_id").distinct(), "query_id", "left_anti")
-        phrase = lexical.phrase_search(self.store.doc_content(), unanswered, "chunk_id", [F.col("title"), F.col("content")],
-                                       [F.desc("updated_at"), F.col("chunk_id")], limit)
-        return found.unionByName(phrase)
+        chunks = self.store.doc_content()
+        phrase = lexical.phrase_search(chunks, unanswered, "chunk_id", [F.col("title"), F.col("content")],
+                                       [F.desc("updated_at"), F.col("chunk_id")], 2 * limit)
+        text = found.unionByName(phrase).withColumnRenamed("doc_id", "id")
+        vectors = self._entity_vectors("doc", chunks.select(F.col("chunk_id").alias("ident"), "content_hash"))
+        near = entities.nearest(vectors, requests, 2 * limit, self.dims)
+        return entities.fused(text, near, limit).withColumnRenamed("id", "doc_id")
 
     def _vectors_of(self, symbols: DataFrame) -> DataFrame:
         """Code vectors of the given symbols, joined by content hash."""
@@ -96,8 +100,21 @@ class ContextEngine:
         found = source_files(self.spark, path, project_path, include_logs=include_logs, max_log_bytes=max_log_bytes)
         index_batch(self.store, found, self.now(), include_logs)
 
-    def embed_missing(self, files: int | None = None) -> None:
-        embed_backlog(self.store, self.make_embedder, files)
+    def embed_missing(self, files: int | None = None, kinds: tuple[str, ...] = ("code", "doc", "note", "memory")) -> None:
+        """Embeds what has no current vector; `files` bounds the code of one pass."""
+        if "code" in kinds:
+            embed_backlog(self.store, self.make_embedder, files)
+        for kind in kinds:
+            if kind != "code":
+                backlog = entities.missing(kind, self._embeddable(kind), self.store.read("vectors"))
+                self.store.append("vectors", entities.vector_rows(kind, backlog, lambda text: embed_column(self.make_embedder, text)))
+
+    def _embeddable(self, kind: str) -> DataFrame:
+        rows = {"doc": self.store.doc_content, "note": self.store.notes, "memory": lambda: self.memory_entries().where(memory.is_open())}[kind]()
+        return entities.embeddable(kind, rows)
+
+    def _entity_vectors(self, kind: str, live: DataFrame) -> DataFrame:
+        return entities.current_vectors(kind, self.store.read("vectors"), live)
 
     def reconcile(self, path: str, project_path: str) -> DataFrame:
         """(file, status) of a tree against the index; index the new and modified, drop the deleted."""
@@ -164,7 +181,7 @@ class ContextEngine:
 
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
         chunks, one = self.store.doc_content(), self.request(text=query)
-        return self._doc_hits(one, 2 * limit).where(F.col("rank") <= limit).join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id").orderBy("rank")
+        return self._doc_hits(one, limit).join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id").orderBy("rank")
 
     def retrieve(self, query: str, project_path: str, limit: int = 10, token_budget: int = 4000, include_docs: bool = True,
                  include_source: bool = False, mode: str = "skeleton", session_id: str = "", include_memory: bool = False,
@@ -265,7 +282,10 @@ class ContextEngine:
     def search_context(self, query: str, session_id: str = "", project_path: str = "", limit: int = notes.SEARCH_LIMIT) -> DataFrame:
         live = self.store.notes()
         live = live.where(F.col("project_path") == project_path) if project_path else live
-        return notes.search_notes(live, self.request(text=query, session_id=session_id), limit).join(live, "ref")
+        one = self.request(text=query, session_id=session_id)
+        vectors = self._entity_vectors("note", live.select(F.col("ref").alias("ident"), "content_hash", "session_id"))
+        near = entities.nearest_in_session(vectors, one, 2 * limit, self.dims)
+        return notes.search_notes(live, one, limit, near.withColumnRenamed("id", "ref")).join(live, "ref")
 
     def flush_context(self, session_id: str = "", refs: list[str] | None = None, project_path: str = "", everything: bool = False) -> DataFrame:
         """Deletes notes; returns (flushed_refs, virtual_tokens_freed)."""
@@ -307,8 +327,11 @@ class ContextEngine:
     def recall_memory(self, query: str = "", session_id: str = "", project_path: str = "", scope: str = "", kinds: list[str] | None = None,
                       as_of: str = "", limit: int = memory.RECALL_LIMIT, token_budget: int = memory.RECALL_BUDGET) -> DataFrame:
         valid = memory.valid_at(F.lit(as_of).cast("timestamp_ntz")) if as_of else memory.is_open()
-        return memory.recall(self.memory_entries(), self.request(text=query), valid, memory.in_scope(scope, session_id, project_path),
-                             kinds, limit, token_budget)
+        known = self.memory_entries()
+        vectors = self._entity_vectors("memory", known.select(F.col("ref").alias("ident"), F.col("ref").alias("content_hash"))).select(
+            F.col("ident").alias("vec_ref"), "embedding")
+        return memory.recall(known, self.request(text=query), valid, memory.in_scope(scope, session_id, project_path),
+                             kinds, limit, token_budget, vectors, self.dims)
 
     def forget_memory(self, **selection: Any) -> DataFrame:
         """Ends entries; returns (invalidated_refs, virtual_tokens_freed)."""

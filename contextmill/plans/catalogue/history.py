@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.scalars import micros, stable_ref, token_estimate
-from ...operators import changes, memory, notes, ordered, usage
+from ...operators import changes, entities, memory, notes, ordered, usage
 from . import Catalogue
-from .views import bm25_sql, request_terms_sql, table, texts  # noqa: F401
+from .views import bm25_sql, request_terms_sql, requests, table, texts  # noqa: F401
 
 CATALOGUE = Catalogue()
 register = CATALOGUE.register
@@ -101,6 +101,35 @@ def memory_recall_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("valid_until")
 
 
+@register("memory_vector_recall", f"""
+WITH {FACTS_SQL},
+live AS (SELECT *, hour(valid_from) AS access_count FROM mem WHERE valid_until IS NULL
+         AND (scope = 'global' OR (scope = 'session' AND session_id = 's7') OR (scope = 'project' AND project_path = '/p0'))),
+asked AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey < 18 THEN 'zq' || n_nationkey || 'x' ELSE 'user' || n_nationkey END AS text FROM nation),
+w AS (SELECT query_id, ref FROM live, asked WHERE len(list_filter(regexp_split_to_array(lower({_LINE}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND starts_with(t, text))) > 0),
+l AS (SELECT query_id, ref FROM live, asked WHERE (contains(subject, text) OR contains(predicate, text) OR contains(object, text)) AND query_id NOT IN (SELECT query_id FROM w)),
+near AS (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref) AS place
+         FROM (SELECT query_id, ref, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity
+               FROM asked JOIN embeddings q ON q.vec_id = query_id, live JOIN embeddings e ON e.vec_id = live.event_id % 500)
+         QUALIFY place <= 10),
+v AS (SELECT query_id, ref FROM near WHERE query_id NOT IN (SELECT query_id FROM w) AND query_id NOT IN (SELECT query_id FROM l)),
+r AS (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC, valid_from DESC, ref) AS rank, {_LINE} AS line
+      FROM (FROM w UNION ALL FROM l UNION ALL FROM v) JOIN live USING (ref) QUALIFY rank <= 5),
+c AS (SELECT *, strlen(line) // 4 AS tokens, sum(strlen(line) // 4) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS cum_tokens FROM r)
+SELECT query_id, rank, ref, line, tokens, cum_tokens FROM c WHERE cum_tokens <= 40 OR rank = 1""")
+def memory_vector_recall(spark: SparkSession, sf: str) -> DataFrame:
+    n, vecs = F.col("n_nationkey"), table(spark, sf, "embeddings")
+    text = F.when(n < 18, F.concat(F.lit("zq"), n.cast("string"), F.lit("x"))).otherwise(F.concat(F.lit("user"), n.cast("string")))
+    asked = table(spark, sf, "nation").select(n.cast("long").alias("query_id"), text.alias("text"))
+    asked = asked.join(vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    known = entries(spark, sf)
+    numbered = known.select(F.col("ref").alias("ident"), F.col("ref").alias("content_hash"), F.pmod(F.substr("ref", F.lit(5)).cast("long"), F.lit(500)).alias("vec_id"))
+    stored = numbered.join(vecs, "vec_id").select("content_hash", "embedding", F.lit("memory").alias("doc_type"), entities.entity_key("memory", F.col("ident")).alias("source_file"))
+    vectors = entities.current_vectors("memory", stored, numbered.select("ident", "content_hash")).select(F.col("ident").alias("vec_ref"), "embedding")
+    out = memory.recall(known, asked, scope=memory.in_scope("", "s7", "/p0"), limit=5, budget=40, vectors=vectors, dims=64)
+    return out.drop("valid_until")
+
+
 @register("memory_inventory", f"""
 WITH {FACTS_SQL}, clock AS (SELECT max(ts) AS now FROM events)
 SELECT count(*) FILTER (valid_until IS NULL) AS active_facts, 0 AS active_procedures,
@@ -186,6 +215,33 @@ def notes_search_whole(spark: SparkSession, sf: str) -> DataFrame:
     return notes.search_notes(note_table(spark, sf), asked, 5)
 
 
+@register("note_hybrid", f"""
+WITH {NOTES_SQL},
+asked AS (SELECT item_id AS query_id, text, CASE WHEN item_id < 10 THEN '' ELSE 'c' || item_id END AS session_id FROM benchmark),
+{request_terms_sql('asked', 'query_id')},
+words AS (SELECT ref, session_id, created_at, unnest(list_distinct(list_filter(regexp_split_to_array(lower(label || ' ' || content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))) AS term FROM notes),
+hit AS (SELECT DISTINCT q.query_id, w.ref, w.created_at FROM words w JOIN qterms q ON starts_with(w.term, q.prefix) JOIN asked a ON a.query_id = q.query_id
+        WHERE a.session_id IN ('', w.session_id)),
+lk AS (SELECT a.query_id, n.ref, n.created_at FROM notes n JOIN asked a ON a.session_id IN ('', n.session_id)
+       WHERE (contains(lower(n.label), lower(a.text)) OR contains(lower(n.content), lower(a.text))) AND a.query_id NOT IN (SELECT query_id FROM hit)),
+txt AS (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, ref DESC) AS rank FROM (FROM hit UNION ALL FROM lk) QUALIFY rank <= 10),
+vec AS (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref) AS rank
+        FROM (SELECT a.query_id, n.ref, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity
+              FROM asked a JOIN embeddings q ON q.vec_id = a.query_id JOIN notes n ON a.session_id IN ('', n.session_id)
+              JOIN embeddings e ON e.vec_id = (substr(n.session_id, 2)::BIGINT * 7 + n.created_at) % 500) QUALIFY rank <= 10),
+f AS (SELECT query_id, ref, round(sum(1.0 / (60 + rank)), 12) AS score FROM (FROM txt UNION ALL FROM vec) GROUP BY ALL)
+SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM f QUALIFY rank <= 5""")
+def note_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    known, vecs, i = note_table(spark, sf), table(spark, sf, "embeddings"), F.col("query_id")
+    asked = requests(spark, sf).withColumn("session_id", F.when(i < 10, "").otherwise(F.concat(F.lit("c"), i.cast("string"))))
+    live = known.select(F.col("ref").alias("ident"), F.col("ref").alias("content_hash"), "session_id",
+                        F.pmod(F.substr("session_id", F.lit(2)).cast("long") * 7 + F.col("created_at"), F.lit(500)).alias("vec_id"))
+    stored = live.join(vecs, "vec_id").select("content_hash", "embedding", F.lit("note").alias("doc_type"), entities.entity_key("note", F.col("ident")).alias("source_file"))
+    vectors = entities.current_vectors("note", stored, live.drop("vec_id"))
+    near = entities.nearest_in_session(vectors, asked, 10, 64).withColumnRenamed("id", "ref")
+    return notes.search_notes(known, asked, 5, near)
+
+
 @register("notes_quota", f"""
 WITH {NOTES_SQL} SELECT session_id, count(*) AS notes_count, sum(token_est)::BIGINT AS tokens_stored, count(*) || '/50' AS notes_quota,
   sum(token_est) || '/32000' AS tokens_quota FROM notes GROUP BY ALL""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.scalars import content_hash
-from ...operators import fusion, knn, lexical, packing
+from ...operators import entities, fusion, knn, lexical, packing
 from ...operators.filters import SearchFilters
 from ...session import pin_small, scratch_dir, spread_small
 from ...sources.text_index import TextSegments
@@ -258,6 +258,27 @@ def capsule_savings(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_savings(packed, plan.file_tokens(inputs["symbols"]))
 
 
+@register("doc_hybrid", f"""
+WITH {request_terms_sql()}, {bm25_sql('documents', 'doc_id', 'text', 20)}, {knn_sql(20, "e.vec_id IN (SELECT doc_id FROM documents)", order="'doc:corpus:' || vec_id")},
+votes AS (SELECT query_id, doc_id AS id, rank FROM bm25 WHERE query_id IN (SELECT query_id FROM near) UNION ALL SELECT query_id, vec_id, rank FROM near),
+fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM votes GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'doc:corpus:' || id) AS rank FROM fused QUALIFY rank <= 10)
+SELECT query_id, id, score, rank FROM ranked
+UNION ALL SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM near)""")
+def doc_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    key = F.concat(F.lit("doc:corpus:"), F.col("doc_id").cast("string"))
+    live = docs.select(key.alias("ident"), F.lit("v1").alias("content_hash"))
+    vectors = table(spark, sf, "embeddings").select(F.lit("v1").alias("content_hash"), "embedding", F.lit("doc").alias("doc_type"), entities.entity_key(
+        "doc", F.concat(F.lit("doc:corpus:"), F.col("vec_id").cast("string"))).alias("source_file"))
+    req = pin_small(requests(spark, sf))
+    text = lexical.bm25_search(spread_small(docs), req, "doc_id", F.col("text"), 20)
+    text = text.select("query_id", F.concat(F.lit("doc:corpus:"), F.col("doc_id").cast("string")).alias("id"), "score", "rank")
+    near = entities.nearest(entities.current_vectors("doc", vectors, live), req, 20, DIMS)
+    out = entities.fused(text, near, 10)
+    return out.select("query_id", F.element_at(F.split("id", ":"), 3).cast("long").alias("id"), "score", "rank")
+
+
 @register("search_filters", rf"""
 WITH {SYMBOLS_SQL}
 SELECT id, file, kind FROM symbols

@@ -117,12 +117,12 @@ def bm25_sql(source: str, id_col: str, text: str, limit: int = 100, out: str = "
          FROM {out}_all QUALIFY rank <= {limit})"""
 
 
-def knn_sql(k: int, where: str = "true", out: str = "near") -> str:
+def knn_sql(k: int, where: str = "true", out: str = "near", order: str = "vec_id") -> str:
     """CTE near(query_id, vec_id, similarity, rank) for benchmark requests."""
     return rf"""
 {out} AS (
   SELECT query_id, vec_id, similarity,
-         row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
+         row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, {order}) AS rank
   FROM (SELECT b.item_id AS query_id, e.vec_id,
                round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity
         FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e WHERE {where})
