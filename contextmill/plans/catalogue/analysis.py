@@ -13,52 +13,6 @@ from .views import SYMBOLS_SQL, TOKENS_SQL, symbols, table
 CATALOGUE = Catalogue()
 register = CATALOGUE.register
 
-PAGE_SYMBOLS_SQL = """
-psym AS (SELECT page_id, '/web/' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS file,
-                regexp_extract(html, 'href="/([^"]*)"', 1) AS name, 'function' AS kind, page_id::INT AS start_line FROM pages)"""
-ASKED_SQL = f"asked AS (SELECT item_id AS query_id, {TOKENS_SQL.format('text')}[1] AS symbol FROM benchmark)"
-
-
-def page_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
-        page_file().alias("file"), F.regexp_extract("html", 'href="/([^"]*)"', 1).alias("name"),
-        F.lit("function").alias("kind"), F.col("page_id").cast("int").alias("start_line"))
-
-
-def asked_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.get(tokens("text"), F.lit(0)).alias("symbol"))
-
-
-_IMPACT = f"""
-WITH {EDGES_SQL}, {PAGE_SYMBOLS_SQL}, {ASKED_SQL},
-pat AS (SELECT query_id, symbol AS pattern FROM asked WHERE symbol <> '' UNION
-        SELECT query_id, lower(regexp_extract(file, '[^/]*$')) FROM asked JOIN psym ON lower(name) = symbol),
-hit AS (SELECT query_id, source_file, min(target) AS target FROM edges JOIN pat ON pattern <> '' AND contains(lower(target), pattern) GROUP BY ALL)"""
-
-
-@register("impact_contains", f"{_IMPACT} SELECT query_id, source_file, target, 'import' AS kind FROM hit")
-def impact_contains(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.impact(page_edges(spark, sf), page_symbols(spark, sf), asked_symbols(spark, sf))
-
-
-@register("impact_summary", f"""{_IMPACT},
-d AS (SELECT query_id, count(*) AS defined_in FROM asked JOIN (SELECT DISTINCT lower(name) AS nm, file FROM psym) ON nm = symbol GROUP BY ALL),
-t AS (SELECT query_id, count(DISTINCT source_file) AS total_files FROM hit GROUP BY ALL)
-SELECT query_id, symbol, coalesce(defined_in, 0) AS defined_in, coalesce(total_files, 0) AS total_files
-FROM asked LEFT JOIN d USING (query_id) LEFT JOIN t USING (query_id)""")
-def impact_summary(spark: SparkSession, sf: str) -> DataFrame:
-    syms, asked = page_symbols(spark, sf), asked_symbols(spark, sf)
-    return graph.impact_summary(graph.impact(page_edges(spark, sf), syms, asked), syms, asked)
-
-
-@register("impact_basename", f"""
-WITH {EDGES_SQL}, {PAGE_SYMBOLS_SQL}, {ASKED_SQL},
-pat AS (SELECT query_id, symbol AS pattern FROM asked WHERE symbol <> '' UNION
-        SELECT query_id, lower(regexp_extract(file, '[^/]*$')) FROM asked JOIN psym ON lower(name) = symbol)
-SELECT query_id, source_file, min(target) AS target, 'import' AS kind FROM edges JOIN pat ON pattern = regexp_extract(lower(target), '[^/]*$') GROUP BY ALL""")
-def impact_basename(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.impact(page_edges(spark, sf), page_symbols(spark, sf), asked_symbols(spark, sf), exact=True)
-
 
 @register("dead_symbols", f"""
 WITH {SYMBOLS_SQL} SELECT name, file, kind FROM symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (
@@ -71,51 +25,29 @@ def dead_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return graph.unused_symbols(syms, calls)
 
 
-_MAP = f"""
-WITH {PAGE_SYMBOLS_SQL},
-m AS (SELECT *, substr(file, 6) AS rel FROM psym),
-p AS (SELECT *, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS directory, regexp_extract(rel, '[^/]*$') AS file_name FROM m)"""
-
-
-@register("project_map_depth1", f"{_MAP} SELECT DISTINCT directory FROM p")
-def project_map_depth1(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(page_symbols(spark, sf), "/web", 1)
-
-
-@register("project_map_depth2", f"{_MAP} SELECT directory, file_name, count(*) AS symbols FROM p GROUP BY ALL")
-def project_map_depth2(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(page_symbols(spark, sf), "/web", 2)
-
-
-@register("project_map_depth3", f"""{_MAP}
-SELECT directory, file_name, row_number() OVER (PARTITION BY directory, file ORDER BY start_line, name, kind) AS seq, name, kind FROM p""")
-def project_map_depth3(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(page_symbols(spark, sf), "/web", 3)
-
+# --- every link of a page and every word of a request ------------------------------------------
 
-# --- the same over every link of a page and every word of a request ----------------------------
-
-# one symbol per link; a page without links keeps one without a name, as above
-ALL_PAGE_SYMBOLS_SQL = """
+# one symbol per link; a page without links keeps one without a name
+PAGE_SYMBOLS_SQL = """
 hrefs AS (SELECT page_id, '/web/' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS file,
                  regexp_extract_all(html, 'href="/([^"]*)"', 1) AS names FROM pages),
 psym AS (SELECT page_id, file, unnest(CASE WHEN len(names) = 0 THEN [''] ELSE names END) AS name, 'function' AS kind, page_id::INT AS start_line FROM hrefs)"""
-ALL_ASKED_SQL = f"""
+ASKED_SQL = f"""
 asked AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS_SQL.format('text')})) AS symbol FROM benchmark)"""
 
 
-def all_page_symbols(pages: DataFrame) -> DataFrame:
+def page_symbols(pages: DataFrame) -> DataFrame:
     names = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
     return pages.select(page_file().alias("file"), F.explode_outer(names).alias("name"), "page_id").select(
         "file", F.coalesce("name", F.lit("")).alias("name"), F.lit("function").alias("kind"), F.col("page_id").cast("int").alias("start_line"))
 
 
-def all_asked_symbols(items: DataFrame) -> DataFrame:
+def asked_symbols(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("symbol"))
 
 
-def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return all_page_symbols(table(spark, sf, "pages")), all_asked_symbols(table(spark, sf, "benchmark"))
+def _links_and_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return page_symbols(table(spark, sf, "pages")), asked_symbols(table(spark, sf, "benchmark"))
 
 
 def _per_word(asked: DataFrame) -> DataFrame:
@@ -123,26 +55,26 @@ def _per_word(asked: DataFrame) -> DataFrame:
     return asked.select("symbol").distinct().select(F.col("symbol").alias("query_id"), "symbol")
 
 
-_IMPACT_WHOLE = f"""
-WITH {EDGES_SQL}, {ALL_PAGE_SYMBOLS_SQL}, {ALL_ASKED_SQL},
+_IMPACT = f"""
+WITH {EDGES_SQL}, {PAGE_SYMBOLS_SQL}, {ASKED_SQL},
 sym AS (SELECT DISTINCT lower(name) AS nm, file FROM psym),
 pat AS (SELECT query_id, symbol AS pattern FROM asked UNION
         SELECT query_id, lower(regexp_extract(file, '[^/]*$')) FROM asked JOIN sym ON nm = symbol),
 tgt AS (SELECT DISTINCT lower(target) AS text FROM edges), dpat AS (SELECT DISTINCT pattern FROM pat WHERE pattern <> '')"""
 
 
-@register("impact_contains_whole", f"""{_IMPACT_WHOLE},
+@register("impact_contains", f"""{_IMPACT},
 pair AS (SELECT text, pattern FROM tgt JOIN dpat ON contains(text, pattern)),
 reached AS (SELECT DISTINCT query_id, text FROM pair JOIN pat USING (pattern))
 SELECT query_id, source_file, min(target) AS target, 'import' AS kind FROM edges JOIN reached ON lower(target) = text GROUP BY ALL""")
-def impact_contains_whole(spark: SparkSession, sf: str) -> DataFrame:
-    syms, asked = _whole(spark, sf)
+def impact_contains(spark: SparkSession, sf: str) -> DataFrame:
+    syms, asked = _links_and_words(spark, sf)
     return graph.impact(page_edges(spark, sf), syms, asked)
 
 
 # counted per word, so that each has its own totals
-@register("impact_summary_whole", f"""
-WITH {EDGES_SQL}, {ALL_PAGE_SYMBOLS_SQL}, {ALL_ASKED_SQL}, words AS (SELECT DISTINCT symbol FROM asked),
+@register("impact_summary", f"""
+WITH {EDGES_SQL}, {PAGE_SYMBOLS_SQL}, {ASKED_SQL}, words AS (SELECT DISTINCT symbol FROM asked),
 sym AS (SELECT DISTINCT lower(name) AS nm, file FROM psym),
 pat AS (SELECT symbol, symbol AS pattern FROM words UNION
         SELECT symbol, lower(regexp_extract(file, '[^/]*$')) FROM words JOIN sym ON nm = symbol),
@@ -151,36 +83,39 @@ reached AS (SELECT DISTINCT symbol, text FROM (SELECT text, pattern FROM tgt JOI
 t AS (SELECT symbol, count(DISTINCT source_file) AS total_files FROM edges JOIN reached ON lower(target) = text GROUP BY ALL),
 d AS (SELECT symbol, count(*) AS defined_in FROM words JOIN sym ON nm = symbol GROUP BY ALL)
 SELECT symbol, coalesce(defined_in, 0) AS defined_in, coalesce(total_files, 0) AS total_files FROM words LEFT JOIN d USING (symbol) LEFT JOIN t USING (symbol)""")
-def impact_summary_whole(spark: SparkSession, sf: str) -> DataFrame:
-    syms, asked = _whole(spark, sf)
+def impact_summary(spark: SparkSession, sf: str) -> DataFrame:
+    syms, asked = _links_and_words(spark, sf)
     words = _per_word(asked)
     return graph.impact_summary(graph.impact(page_edges(spark, sf), syms, words), syms, words).drop("query_id")
 
 
-@register("impact_basename_whole", f"""{_IMPACT_WHOLE}
+@register("impact_basename", f"""{_IMPACT}
 SELECT query_id, source_file, min(target) AS target, 'import' AS kind FROM edges JOIN pat ON pattern = regexp_extract(lower(target), '[^/]*$') GROUP BY ALL""")
-def impact_basename_whole(spark: SparkSession, sf: str) -> DataFrame:
-    syms, asked = _whole(spark, sf)
+def impact_basename(spark: SparkSession, sf: str) -> DataFrame:
+    syms, asked = _links_and_words(spark, sf)
     return graph.impact(page_edges(spark, sf), syms, asked, exact=True)
 
 
-_MAP_WHOLE = _MAP.replace(PAGE_SYMBOLS_SQL, ALL_PAGE_SYMBOLS_SQL)
+_MAP = f"""
+WITH {PAGE_SYMBOLS_SQL},
+m AS (SELECT *, substr(file, 6) AS rel FROM psym),
+p AS (SELECT *, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS directory, regexp_extract(rel, '[^/]*$') AS file_name FROM m)"""
 
 
-@register("project_map_depth1_whole", f"{_MAP_WHOLE} SELECT DISTINCT directory FROM p")
-def project_map_depth1_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(_whole(spark, sf)[0], "/web", 1)
+@register("project_map_depth1", f"{_MAP} SELECT DISTINCT directory FROM p")
+def project_map_depth1(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.project_map(_links_and_words(spark, sf)[0], "/web", 1)
 
 
-@register("project_map_depth2_whole", f"{_MAP_WHOLE} SELECT directory, file_name, count(*) AS symbols FROM p GROUP BY ALL")
-def project_map_depth2_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(_whole(spark, sf)[0], "/web", 2)
+@register("project_map_depth2", f"{_MAP} SELECT directory, file_name, count(*) AS symbols FROM p GROUP BY ALL")
+def project_map_depth2(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.project_map(_links_and_words(spark, sf)[0], "/web", 2)
 
 
-@register("project_map_depth3_whole", f"""{_MAP_WHOLE}
+@register("project_map_depth3", f"""{_MAP}
 SELECT directory, file_name, row_number() OVER (PARTITION BY directory, file ORDER BY start_line, name, kind) AS seq, name, kind FROM p""")
-def project_map_depth3_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.project_map(_whole(spark, sf)[0], "/web", 3)
+def project_map_depth3(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.project_map(_links_and_words(spark, sf)[0], "/web", 3)
 
 
 # --- scripts over result rows ------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Queries over every link of a page and every word of a request, where others take the first."""
+"""Queries over every link of a page and every word of a request."""
 
 import pytest
 
@@ -7,8 +7,8 @@ from contextmill.operators import graph
 from contextmill.plans.catalogue import analysis
 from tests.oracle import compare, connect
 
-NAMES = ["impact_contains_whole", "impact_summary_whole", "impact_basename_whole", "project_map_depth1_whole",
-         "project_map_depth2_whole", "project_map_depth3_whole", "notes_search_whole"]
+NAMES = ["impact_contains", "impact_summary", "impact_basename", "project_map_depth1",
+         "project_map_depth2", "project_map_depth3", "notes_search"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -21,7 +21,7 @@ def test_every_link_and_word_counts(spark):
     html = '<a href="/first">x</a><a href="/second">y</a>'
     pages = spark.createDataFrame([(1, "https://h.org/d/p", html), (2, "https://h.org/q", "<p>none</p>")], "page_id long, url string, html string")
     items = spark.createDataFrame([(7, "Nothing but Second"), (8, "")], "item_id long, text string")
-    syms, asked = analysis.all_page_symbols(pages), analysis.all_asked_symbols(items)
+    syms, asked = analysis.page_symbols(pages), analysis.asked_symbols(items)
     assert {tuple(r) for r in syms.select("file", "name").collect()} == {("/web/h.org/d/p", "first"), ("/web/h.org/d/p", "second"), ("/web/h.org/q", "")}
     assert {tuple(r) for r in asked.collect()} == {(7, "nothing"), (7, "but"), (7, "second")}
     edges = spark.createDataFrame([("/web/a", "/second", "import"), ("/web/b", "/d/p", "import")], "source_file string, target string, kind string")
