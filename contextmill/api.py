@@ -3,6 +3,8 @@ requests are DataFrames, the single-request methods wrap them."""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.scalars import (blank_to_null, content_hash, normalize_outcome, normalize_reason, relative_path,
                                 stable_ref, token_estimate)
-from .operators import entities, filters, fusion, graph, knn, lexical, memory, notes, packing, scripts, symbols as extraction, upkeep, usage
+from .operators import backlog, entities, filters, fusion, graph, knn, lexical, memory, notes, packing, scripts, symbols as extraction, upkeep, usage
 from .plans import capsule as capsule_plan, retrieve as retrieve_plan
 from .sources import documents as doc_sources
-from .sources.embedders import Embedder, HashingEmbedder, embed_column
+from .sources.embedders import Embedder, HashingEmbedder, embed_column, embedding_texts
 from .sources.files import source_files
 from .session import pin_small
 from .sources.store import Store
@@ -109,6 +111,78 @@ class ContextEngine:
                 backlog = entities.missing(kind, self._embeddable(kind), self.store.read("vectors"))
                 self.store.append("vectors", entities.vector_rows(kind, backlog, lambda text: embed_column(self.make_embedder, text)))
 
+    # --- embedding in passes: what failed is tried again later, a search can ask for its scope first ---
+
+    def _units(self, kind: str) -> DataFrame:
+        """(kind, unit, project_path, changed_at): what should have vectors."""
+        if kind == "code":
+            live = self.store.symbols().select("file", "project_path", "version").distinct()
+            return live.select(F.lit(kind).alias("kind"), F.col("file").alias("unit"), "project_path", F.col("version").alias("changed_at"))
+        rows, at = {"doc": (self.store.doc_content, "updated_at"), "note": (self.store.notes, "created_at"),
+                    "memory": (lambda: self.memory_entries().where(memory.is_open()), "created_at")}[kind]
+        project = F.lit("") if kind == "doc" else F.coalesce("project_path", F.lit(""))
+        return rows().select(F.lit(kind).alias("kind"), F.col("chunk_id" if kind == "doc" else "ref").alias("unit"), project.alias("project_path"), F.col(at).alias("changed_at"))
+
+    def embed_status(self, kind: str, rules: backlog.Retries = backlog.Retries()) -> DataFrame:
+        """The backlog of a kind: see operators.backlog."""
+        vectors, units = self.store.read("vectors"), self._units(kind)
+        if kind == "code":
+            lacking = upkeep.missing_vectors(self.store.symbols(), vectors).select(F.col("file").alias("unit"), "project_path")
+            missing = units.join(lacking, ["unit", "project_path"], "left_semi")
+        else:
+            lacking = entities.missing(kind, self._embeddable(kind), vectors).select(F.col("ident").alias("unit"))
+            missing = units.join(lacking, "unit", "left_semi")
+        return backlog.backlog(missing, self.store.read("embed_requests"), self.store.read("embed_attempts"), self.now(), rules)
+
+    def embed_pass(self, kind: str, units: int | None = None, project_path: str | None = None, rules: backlog.Retries = backlog.Retries()) -> int:
+        """One pass over the ready units of a kind, best lane first; returns how many it took. Every unit leaves an attempt in
+        the log; texts that an embedder refuses do not hold up the others."""
+        todo = self.embed_status(kind, rules)
+        todo = todo if project_path is None else todo.where(F.col("project_path") == project_path)
+        # what a pass takes is written down first: the backlog changes with everything the pass appends
+        ident = uuid.uuid4().hex
+        self.store.append("embed_passes", backlog.take(todo, units).withColumn("pass_id", F.lit(ident)))
+        chosen = self.store.read("embed_passes").where(F.col("pass_id") == ident).select(*backlog.UNIT)
+        keys = chosen.withColumnRenamed("unit", "file" if kind == "code" else "ident").drop("kind")
+        if kind == "code":
+            pending = self.store.symbols().join(keys, ["file", "project_path"], "left_semi")
+            texts = embedding_texts(pending)
+            owners = pending.select("project_path", F.col("file").alias("unit"), F.col("embed_hash").alias("content_hash")).distinct()
+        else:
+            texts = self._embeddable(kind).join(keys.select("ident"), "ident", "left_semi")
+            owners = texts.select(F.coalesce("project_path", F.lit("")).alias("project_path"), F.col("ident").alias("unit"), "content_hash")
+        tried = texts.withColumn("tried", backlog.try_embed(self.make_embedder, F.col("text"))).persist()
+        good = tried.where("tried.error IS NULL").withColumn("embedding", F.col("tried.embedding"))
+        if kind == "code":
+            self.store.append("vectors", good.withColumn("doc_type", F.lit("code")))
+        else:
+            self.store.append("vectors", good.select("content_hash", "embedding", F.lit(kind).alias("doc_type"), F.lit(kind).alias("kind"), "project_path",
+                                                     entities.entity_key(kind, F.col("ident")).alias("source_file")))
+        errors = tried.where("tried.error IS NOT NULL").groupBy("content_hash").agg(F.min("tried.error").alias("error"))
+        failed = owners.join(errors, "content_hash").groupBy("unit", "project_path").agg(F.min("error").alias("error"))
+        rows = chosen.withColumn("project_path", F.coalesce("project_path", F.lit(""))).join(failed, ["unit", "project_path"], "left")
+        self.store.append("embed_attempts", rows.withColumn("ok", F.col("error").isNull()).withColumn("attempted_at", self.now()))
+        tried.unpersist()
+        return chosen.count()
+
+    def request_embedding(self, kind: str, project_path: str, unit: str = "", lane: int = backlog.HIGH) -> None:
+        """Raises a unit, or all of a project, for a limited time."""
+        row = self.spark.createDataFrame([(kind, unit, project_path, lane)], "kind string, unit string, project_path string, lane int")
+        self.store.append("embed_requests", row.withColumn("requested_at", self.now()))
+
+    def ensure_fresh(self, project_path: str, max_seconds: float = 120.0, units_per_pass: int = 1000, kind: str = "code",
+                     rules: backlog.Retries = backlog.Retries()) -> DataFrame:
+        """Embeds what a scope is missing before a search, for a bounded time; returns its freshness (operators.backlog). Units
+        that wait for their next try are not waited for."""
+        scopes = filters.scope_names(self.store.read("project_links"), project_path)
+        until = time.monotonic() + max_seconds
+        for scope in scopes:
+            self.request_embedding(kind, scope)
+            while time.monotonic() < until and self.embed_pass(kind, units_per_pass, scope, rules) == units_per_pass:
+                pass  # a pass that took fewer took all that was ready
+        inside = F.col("project_path").isin(*scopes)
+        return backlog.freshness(self._units(kind).where(inside), self.embed_status(kind, rules).where(inside))
+
     def _embeddable(self, kind: str) -> DataFrame:
         rows = {"doc": self.store.doc_content, "note": self.store.notes, "memory": lambda: self.memory_entries().where(memory.is_open())}[kind]()
         return entities.embeddable(kind, rows)

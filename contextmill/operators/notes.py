@@ -126,7 +126,6 @@ def admit_globally(notes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     room, order = limits.session_tokens, "__order"
     held = notes.where("held").select("ref", "session_id", "token_est")
     arriving = running_sum(notes.where("NOT held"), [], F.col("pos"), [F.col("pos"), F.col("session_id"), F.col("ref")], F.lit(1).cast("long"), order)
-    arriving = arriving.persist()
     stored = held.agg(F.count("*").alias("n"), F.coalesce(F.sum("token_est"), F.lit(0)).alias("t")).first()
     count, used, taken, after, left = stored["n"], stored["t"], [], 0, room
     spark, shape = notes.sparkSession, "ref string, session_id string, pos long, token_est long"

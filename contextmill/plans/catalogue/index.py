@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...functions.globs import DEFAULT_IGNORES, any_glob, excluded_project, walkable
 from ...functions.languages import language_of
-from ...functions.scalars import embed_hash
+from ...functions.scalars import embed_hash, micros
 from ...functions.text import line_range
-from ...operators import filters, upkeep, usage
+from ...operators import backlog, filters, upkeep, usage
 from ...operators import symbols as extraction
 from ...operators.chunking import url_path
 from ...session import spread_small
@@ -309,3 +309,53 @@ WITH {SYMBOLS_SQL}, c AS (SELECT name, file, kind, 1 + len(regexp_extract_all(so
 SELECT * FROM c WHERE complexity >= 2 ORDER BY complexity DESC, file, name LIMIT 20""")
 def analyze_complexity(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.analyze_complexity(symbols(spark, sf), 2, 20)
+
+
+# --- backlog of embeddings ---------------------------------------------------------------------
+
+_BACKLOG_SQL = """
+WITH clock AS (SELECT max(ts) AS now FROM events),
+units AS (SELECT 'code' AS kind, 'doc' || doc_id AS unit, source AS project_path, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS changed_at, doc_id FROM documents),
+missing AS (SELECT kind, unit, project_path, changed_at FROM units WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) OR doc_id % 3 = 0),
+requests AS (SELECT 'doc' || doc_id AS unit, project_path, 0 AS lane, now - to_seconds(doc_id % 300) AS requested_at FROM labels JOIN units USING (doc_id), clock WHERE quality = 1
+    UNION ALL SELECT '', source, 1, now - to_seconds(100) FROM (SELECT min(source) AS source FROM documents), clock),
+attempts AS (SELECT u.unit, u.project_path, event_type = 'purchase' AS ok, ts AS attempted_at FROM events e JOIN units u ON u.doc_id = e.user_id),
+settled AS (SELECT unit, project_path, max(attempted_at) AS settled_at FROM attempts WHERE ok GROUP BY ALL),
+failed AS (SELECT a.unit, a.project_path, count(*) AS failures, max(attempted_at) AS failed_at FROM attempts a JOIN missing m USING (unit, project_path)
+           LEFT JOIN settled s USING (unit, project_path) WHERE NOT ok AND attempted_at >= greatest(coalesce(settled_at, changed_at), changed_at) GROUP BY ALL),
+lanes AS (SELECT unit, project_path, min(lane) AS lane FROM requests, clock WHERE requested_at > now - INTERVAL 120 SECOND GROUP BY ALL),
+todo AS (SELECT m.kind, m.unit, m.project_path, least(coalesce(u.lane, 2), coalesce(p.lane, 2)) AS lane, coalesce(failures, 0) AS failures,
+                CASE WHEN failures > 0 THEN failed_at + to_seconds(86400 * (1 << (least(failures, 4) - 1)::INT)) END AS next_at
+         FROM missing m LEFT JOIN failed f USING (unit, project_path) LEFT JOIN lanes u ON u.unit = m.unit AND u.project_path = m.project_path
+         LEFT JOIN lanes p ON p.unit = '' AND p.project_path = m.project_path),
+stated AS (SELECT todo.*, CASE WHEN failures >= 4 THEN 'dead' WHEN next_at > now THEN 'waiting' ELSE 'ready' END AS state FROM todo, clock)"""
+
+
+def _backlog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents stand for files: a third of them changed since, some were asked for, events of a number are attempts."""
+    docs, events = table(spark, sf, "documents"), table(spark, sf, "events")
+    now = events.agg(F.max("ts").alias("now")).scalar()
+    key = F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("unit")
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
+    units = docs.select(F.lit("code").alias("kind"), key, F.col("source").alias("project_path"), at.alias("changed_at"), "doc_id")
+    have = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")).where(F.col("doc_id") % 3 != 0)
+    back = lambda n: now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
+    asked = table(spark, sf, "labels").where("quality = 1").join(units, "doc_id").select("kind", "unit", "project_path", F.lit(0).alias("lane"), back(F.col("doc_id") % 300).alias("requested_at"))
+    whole = docs.agg(F.min("source").alias("project_path")).select(F.lit("code").alias("kind"), F.lit("").alias("unit"), "project_path", F.lit(1).alias("lane"), back(F.lit(100)).alias("requested_at"))
+    tried = events.join(units, events["user_id"] == units["doc_id"]).select("kind", "unit", "project_path", (F.col("event_type") == "purchase").alias("ok"), F.col("ts").alias("attempted_at"))
+    missing = units.join(have, "doc_id", "left_anti").drop("doc_id")
+    return units, backlog.backlog(missing, asked.unionByName(whole), tried, now, backlog.Retries(4, 86_400, 120))
+
+
+@register("embed_backlog", f"{_BACKLOG_SQL} SELECT unit, project_path, lane, failures, epoch_us(next_at) AS next_us, state FROM stated")
+def embed_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    return _backlog(spark, sf)[1].select("unit", "project_path", "lane", "failures", micros("next_at").alias("next_us"), "state")
+
+
+@register("scope_freshness", f"""{_BACKLOG_SQL},
+e AS (SELECT project_path, count(*) AS units FROM units GROUP BY ALL),
+l AS (SELECT project_path, count(*) AS missing, count_if(state = 'waiting') AS waiting, count_if(state = 'dead') AS dead FROM stated GROUP BY ALL)
+SELECT project_path, units, coalesce(missing, 0) AS missing, coalesce(waiting, 0) AS waiting, coalesce(dead, 0) AS dead, coalesce(missing, 0) = coalesce(dead, 0) AS fresh
+FROM e LEFT JOIN l USING (project_path)""")
+def scope_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    return backlog.freshness(*_backlog(spark, sf)).drop("kind")

@@ -34,6 +34,9 @@ DDL = {
     "context_note_access": "ref string, session_id string, project_path string, tool_name string, virtual_tokens int, "
                            "repair_reason string, accessed_at timestamp_ntz",
     "memory_access": "ref string, session_id string, project_path string, tool_name string, tokens_returned int, accessed_at timestamp_ntz",
+    "embed_requests": "kind string, unit string, project_path string, lane int, requested_at timestamp_ntz",
+    "embed_passes": "pass_id string, kind string, unit string, project_path string",
+    "embed_attempts": "kind string, unit string, project_path string, ok boolean, error string, attempted_at timestamp_ntz",
     "project_links": "parent_path string, child_path string, auto_linked boolean, created_at timestamp_ntz",
 }
 

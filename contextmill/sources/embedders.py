@@ -100,10 +100,15 @@ def embed_column(make: Callable[[], Embedder], text: Column) -> Column:
     return run(text)
 
 
-def embed_symbols(symbols: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
-    """Code vectors for symbols, keyed by content hash; equal texts are embedded once."""
+def embedding_texts(symbols: DataFrame) -> DataFrame:
+    """(content_hash, project_path, symbol_id, source_file, name, kind, text): one text for symbols of equal code."""
     text = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(": "), F.substring(F.col("source").cast("binary"), 1, 500).cast("string"))
     unique = symbols.where(F.coalesce("embed_hash", F.lit("")) != "").groupBy("embed_hash", "project_path").agg(
         F.min_by(F.struct(F.col("id").alias("symbol_id"), F.col("file").alias("source_file"), "name", "kind", text.alias("text")), "id").alias("s"))
-    rows = unique.select(F.col("embed_hash").alias("content_hash"), "project_path", "s.*")
+    return unique.select(F.col("embed_hash").alias("content_hash"), "project_path", "s.*")
+
+
+def embed_symbols(symbols: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
+    """Code vectors for symbols, keyed by content hash; equal texts are embedded once."""
+    rows = embedding_texts(symbols)
     return rows.withColumn("embedding", embed_column(make, F.col("text"))).withColumn("doc_type", F.lit("code")).drop("text")
