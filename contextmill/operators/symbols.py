@@ -2,10 +2,10 @@
 
 Only top-level declarations count, and those begin at column 0 in the usual layout of every supported
 language. They are recognised per line by declarative rules (language, pattern, kind) and closed by
-the next top-level statement, all with Spark's array functions: a file is one row and stays one row
-until its symbols are exploded. Known gaps against a full parser: declarations not at column 0,
-brackets inside strings or comments, text at column 0 inside multi-line strings, and only the first
-line of a grouped Go type declaration's keyword.
+their last bracket or the next top-level statement, both looked for in code alone: strings, comments and
+here-documents are blanked first (functions/lexing.py). All of it is written with Spark's array functions: a file
+is one row and stays one row until its symbols are exploded. Known gaps against a full parser: declarations
+not at column 0, and only the first line of a grouped Go type declaration's keyword.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.languages import language_of
+from ..functions.lexing import INSIDE, balance, code_only
 from ..functions.scalars import basename, embed_hash, trim_space
 from ..functions.text import lines as lines_of
 from .rowwise import pinned
-from .skeletons import skeleton
+from .skeletons import outer_lines, skeleton
 
 PLAINTEXT_BYTES = 2 << 20
 _EXPORT = r"^(?:export\s+(?:default\s+)?)?"
@@ -60,19 +61,16 @@ def _last_before(lines: Column, first: Column, stop: Column) -> Column:
     return first + F.coalesce(F.array_max(solid), F.lit(0))
 
 
-def _closing(lines: Column, first: Column, stop: Column) -> Column:
-    """Index of the line in [first, stop) where the brackets opened since first are closed again."""
-    def net(line: Column) -> Column:
-        closers = F.length(line) - F.length(F.translate(line, ")]}", ""))
-        return F.length(line) - F.length(F.translate(line, "([{", "")) - closers
-
+def _closing(code: Column, first: Column, stop: Column) -> Column:
+    """Index of the line in [first, stop) where the brackets opened since first are closed again and no literal goes on."""
     def step(acc: Column, line: Column) -> Column:
-        depth = acc["depth"] + net(line)
-        return F.when(acc["done"], acc).otherwise(F.struct(
-            depth.alias("depth"), (depth <= 0).alias("done"), (acc["n"] + 1).alias("n")))
+        depth = acc["depth"] + balance(line)
+        ended = (acc["depth"] <= 0) & (acc["n"] > 0) & ~F.startswith(line, F.lit(INSIDE))
+        return F.when(acc["done"] | ended, F.struct(acc["depth"], F.lit(True).alias("done"), acc["n"])).otherwise(F.struct(
+            depth.alias("depth"), F.lit(False).alias("done"), (acc["n"] + 1).alias("n")))
 
     zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(0).alias("n"))
-    return first + F.aggregate(F.slice(lines, first + 1, stop - first), zero, step, lambda a: a["n"]) - 1
+    return first + F.aggregate(F.slice(code, first + 1, stop - first), zero, step, lambda a: a["n"]) - 1
 
 
 STATEMENT = r"^[^\s#)\]}/]"
@@ -91,7 +89,7 @@ def _decorated_from(lines: Column, starts: Column) -> Column:
     return F.aggregate(starts, F.array().cast("array<int>"), step)
 
 
-def _declarations(lines: Column, starts: Column, language: str) -> Column:
+def _declarations(lines: Column, code: Column, starts: Column, language: str) -> Column:
     """Top-level declarations of one rule-based language; starts are the lines that begin a statement."""
     def rule(line: Column) -> tuple[Column, Column]:
         kind = name = None
@@ -105,7 +103,7 @@ def _declarations(lines: Column, starts: Column, language: str) -> Column:
     def declared(i: Column, k: Column) -> Column:
         kind, name = rule(F.get(lines, i))
         stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        last = _last_before(lines, i, stop) if language == "python" else _closing(lines, i, stop)
+        last = _last_before(lines, i, stop) if language == "python" else _closing(code, i, stop)
         first = i
         if language == "python":
             # decorators directly above belong to the declaration
@@ -116,7 +114,7 @@ def _declarations(lines: Column, starts: Column, language: str) -> Column:
     return _present(F.transform(starts, declared))
 
 
-def _hcl(lines: Column, starts: Column) -> Column:
+def _hcl(lines: Column, code: Column, starts: Column) -> Column:
     block = r'^([A-Za-z_][\w-]*)((?:\s+"[^"]*")*)\s*\{'
     attribute = r"^([A-Za-z_][\w-]*)\s*=(?!=)"
 
@@ -129,7 +127,7 @@ def _hcl(lines: Column, starts: Column) -> Column:
         name = F.when(is_block, F.when(labels != "", labels).otherwise(head)).otherwise(F.regexp_extract(line, attribute, 1))
         stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
         return F.when(kind.isNotNull(), F.struct(
-            name.alias("name"), kind.alias("kind"), i.cast("int").alias("first"), _closing(lines, i, stop).cast("int").alias("last")))
+            name.alias("name"), kind.alias("kind"), i.cast("int").alias("first"), _closing(code, i, stop).cast("int").alias("last")))
 
     return _present(F.transform(starts, declared))
 
@@ -256,17 +254,18 @@ def extract_symbols(files: DataFrame, include_logs: bool = False, plaintext_byte
     A log is one row, or several of at most plaintext_bytes each (or one longer line) where it is larger.
     """
     text = files.select("file", "project_path", "content", language_of("file", include_logs).alias("language"))
-    text = pinned(text.where(F.col("language") != ""), lines=lines_of("content")).drop("content")
-    lines, yaml = F.col("lines"), F.col("language") == "yaml"
+    text = pinned(text.where(F.col("language") != ""), lines=lines_of("content"),
+                  code_lines=lines_of(code_only(F.col("content"), F.col("language")))).drop("content")
+    lines, code, yaml = F.col("lines"), F.col("code_lines"), F.col("language") == "yaml"
     marks = {n: F.when(yaml, c) for n, c in _yaml_marks(lines).items()}
-    text = pinned(text, starts=F.when(F.col("language").isin(*RULES, "hcl"), _indices(lines, STATEMENT)), **marks)
+    text = pinned(text, starts=F.when(F.col("language").isin(*RULES, "hcl"), _indices(code, STATEMENT)), **marks)
     python = F.col("language") == "python"
     text = pinned(text, y_inside=F.when(yaml & F.col("y_playbook"), _yaml_tasks(lines)),
                   marked=F.when(python, _decorated_from(lines, F.col("starts"))))
     by_language = F.when(F.col("language") == "fish", _fish(lines))
     for language in RULES:
-        by_language = by_language.when(F.col("language") == language, _declarations(lines, F.col("starts"), language))
-    by_language = by_language.when(F.col("language") == "hcl", _hcl(lines, F.col("starts"))).when(yaml, _yaml(lines))
+        by_language = by_language.when(F.col("language") == language, _declarations(lines, code, F.col("starts"), language))
+    by_language = by_language.when(F.col("language") == "hcl", _hcl(lines, code, F.col("starts"))).when(yaml, _yaml(lines))
     if include_logs:
         whole = F.transform(_plain_pieces(lines, plaintext_bytes), lambda p: F.struct(
             basename("file").alias("name"), F.lit("plaintext").alias("kind"), p["first"].alias("first"), p["last"].alias("last")))
@@ -274,18 +273,22 @@ def extract_symbols(files: DataFrame, include_logs: bool = False, plaintext_byte
     # every symbol takes its own lines along, so that the exploded rows do not repeat the whole file
     taken = F.transform(F.col("hits"), lambda h: F.struct(
         h["name"].alias("name"), h["kind"].alias("kind"), (h["first"] + 1).alias("start_line"), (h["last"] + 1).alias("end_line"),
-        F.slice(lines, h["first"] + 1, h["last"] - h["first"] + 1).alias("source_lines")))
+        F.slice(lines, h["first"] + 1, h["last"] - h["first"] + 1).alias("source_lines"),
+        F.slice(code, h["first"] + 1, h["last"] - h["first"] + 1).alias("symbol_code")))
     text = pinned(text, hits=by_language).select("file", "project_path", "language", taken.alias("taken"))
     found = text.select("file", "project_path", "language", F.explode_outer("taken").alias("s")).where("s.name <> ''")
     rows = found.select("file", "project_path", "language", "s.*").select(
         "*", trim_space(F.get("source_lines", F.lit(0))).alias("first_line"), F.array_join("source_lines", "\n").alias("source"))
+    bracketed = F.col("language").isin("go", "javascript", "typescript", "tsx", "hcl")
+    rows = pinned(rows, outer=F.when(bracketed, outer_lines(F.col("symbol_code"))))
     plain = F.col("kind") == "plaintext"
+    outline = skeleton(F.col("language"), F.col("kind"), F.col("source_lines"), F.col("symbol_code"), F.col("outer"))
     return rows.select(
         "name", "kind", "file", "start_line", "end_line",
         F.when(plain, F.col("source")).otherwise(F.col("first_line")).alias("code"),
         F.when(plain, F.concat("file", F.lit("#plaintext"))).otherwise(F.concat_ws(".", basename("file"), "name")).alias("fqn"),
         "project_path",
-        F.when(plain, F.col("first_line")).otherwise(skeleton(F.col("language"), F.col("kind"), F.col("source_lines"))).alias("skeleton"),
+        F.when(plain, F.col("first_line")).otherwise(outline).alias("skeleton"),
         embed_hash("kind", "name", "source").alias("embed_hash"), "source")
 
 

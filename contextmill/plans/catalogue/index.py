@@ -292,6 +292,44 @@ def _yaml_files(docs: DataFrame) -> DataFrame:
                        F.lit("/gen").alias("project_path"), content.alias("content"))
 
 
+# one declaration of four lines per line of text, by language; brackets in its strings and comments do not count
+_BLOCKS = (
+    ("go", "type S_{n} struct {\n\tA string // } \"{line}\"\n\tB struct{ C int }\n}"),
+    ("ts", "export class K_{n} {\n  a = \"} {line}\";\n  b() { return \"{\"; }\n}"),
+    ("js", "function g_{n}(x) {\n  const a = \"} {line}\";\n  return /[{]/;\n}"),
+    ("sh", "f_{n}() {\n  echo \"} {line}\"\n  cat <<< \"{\" # {\n}"),
+    ("tf", "resource \"k\" \"{n}\" {\n  a = \"} {line}\"\n  b { c = \"{\" }\n}"),
+)
+
+
+@register("skeletons", r"""
+WITH l AS (SELECT doc_id, doc_id % 5 AS k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+q AS (SELECT *, '"} ' || replace(replace(line, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS s FROM l)
+SELECT '/gen/doc_' || doc_id || '.' || ['go', 'ts', 'js', 'sh', 'tf'][k + 1] AS file, ['S_', 'K_', 'g_', 'f_', 'k.'][k + 1] || n AS name,
+       ['struct', 'class', 'function', 'function', 'resource'][k + 1] AS kind, (4 * n - 3)::INT AS start_line, (4 * n)::INT AS end_line,
+       CASE k WHEN 0 THEN 'type S_' || n || ' struct {' || chr(10) || chr(9) || 'A string // } "' || s[4:] || chr(10) || '}'
+              WHEN 1 THEN 'export class K_' || n || ' {' || chr(10) || '  a = ' || s || ';' || chr(10) || '}'
+              WHEN 2 THEN 'function g_' || n || '(x)' WHEN 3 THEN 'f_' || n || '() {'
+              ELSE 'resource "k" "' || n || '" {' || chr(10) || '  a' || chr(10) || '}' END AS skeleton FROM q""")
+def skeletons(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_small(table(spark, sf, "documents"))
+
+    def written(template: str) -> Column:
+        before, rest = template.split("{n}")
+        middle, after = rest.split("{line}")
+        return F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(
+            F.lit(before), (i + 1).cast("string"), F.lit(middle), _escaped(line), F.lit(after))), "\n")
+
+    turn = F.pmod("doc_id", F.lit(len(_BLOCKS)))
+    ending = content = F.lit(None).cast("string")
+    for i, (suffix, template) in enumerate(_BLOCKS):
+        ending = F.when(turn == i, suffix).otherwise(ending)
+        content = F.when(turn == i, written(template)).otherwise(content)
+    files = docs.select(F.concat(F.lit("/gen/doc_"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("file"),
+                        F.lit("/gen").alias("project_path"), content.alias("content"))
+    return extraction.extract_symbols(files).select("file", "name", "kind", "start_line", "end_line", "skeleton")
+
+
 @register("fish_symbols", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 SELECT '/gen/doc_' || doc_id || '.fish' AS file, 'f_' || n AS name, (1 + (n - 1) * 5)::INT AS start_line, (5 + (n - 1) * 5)::INT AS end_line FROM l""")

@@ -200,3 +200,30 @@ def test_long_logs_are_kept_whole(spark, tmp_path):
     engine = ContextEngine(spark, Store(spark, str(tmp_path / "store")))
     engine.index_files(str(root), str(root), include_logs=True)
     assert engine.store.symbols().where("kind = 'plaintext'").agg(F.sum(F.length("code"))).first()[0] == len(text) - 1
+
+
+def test_strings_comments_and_here_documents_are_no_code(spark):
+    sources = {
+        "/p/a.go": 'package a\n\nvar q = `\nfunc hidden() {\n`\n\nfunc F(s string) { // {\n\tx := "}" + "\\"{" + string(\'{\')\n\t/* }\n\t} */\n\tuse(x)\n}\n\n'
+                   'type S struct {\n\tA func(int,\n\t\tint) // "\n\t// B: {\n\tC struct {\n\t\tD int\n\t}\n\tE string `json:"{"`\n}\n',
+        "/p/b.ts": 'const a = `\nclass Hidden {\n${1}`;\nexport class K {\n  s = "}";\n  // t = 1;\n  r = m(/[{"]/);\n  f(\n    a: number,\n  ): void;\n  g() { return "}"; }\n}\n'
+                   'interface P {\n  q: { r: string };\n  s: {\n    t: 1;\n  };\n  u: string;\n}\n',
+        "/p/c.sh": 'foo() {\n  cat <<EOF\n}\nbar() {\nEOF\n  echo "}\n}" # }\n  echo ${#x}\n}\nbaz() { :; }\n',
+        "/p/d.tf": 'resource "r" "n" {\n  t = <<EOT\n}\nmodule "x" {\nEOT\n  l = [\n    1,\n  ]\n  v = "${f("a")} {" # }\n  w = 2\n}\n',
+        "/p/e.py": 'X = """\ndef hidden():\n    pass\n"""\ndef f():\n    # """\n    return \'"""\'\ndef g():\n    """\nnot code\n    """\n    return 1\n'}
+    df = spark.createDataFrame([(f, "/p", c) for f, c in sources.items()], "file string, project_path string, content string")
+    rows = {(r["file"][3:], r["name"]): r for r in extract_symbols(df).collect()}
+    assert {k: (r["start_line"], r["end_line"]) for k, r in rows.items()} == {
+        ("a.go", "F"): (7, 12), ("a.go", "S"): (14, 22), ("b.ts", "a"): (1, 3), ("b.ts", "K"): (4, 12), ("b.ts", "P"): (13, 19),
+        ("c.sh", "foo"): (1, 9), ("c.sh", "baz"): (10, 10), ("d.tf", "r.n"): (1, 11), ("e.py", "f"): (5, 7), ("e.py", "g"): (8, 12)}
+    assert rows["a.go", "F"]["skeleton"] == "func F(s string)"
+    assert rows["a.go", "S"]["skeleton"] == 'type S struct {\n\tE string `json:"{"`\n}'
+    assert rows["b.ts", "K"]["skeleton"] == 'export class K {\n  s = "}";\n  r = m(/[{"]/);\n}'
+    assert rows["b.ts", "P"]["skeleton"] == "interface P {\n  q: { r: string };\n  u: string;\n}"
+    assert rows["d.tf", "r.n"]["skeleton"] == 'resource "r" "n" {\n  t\n  v\n  w\n}'
+
+
+def test_long_literals(spark):
+    body = "\n".join(f'\tx("{i} \\" }}")' for i in range(40_000))
+    df = spark.createDataFrame([("/p/a.go", "/p", "func F() {\n" + body + "\n}\nfunc G() {}\n")], "file string, project_path string, content string")
+    assert sorted((r["name"], r["start_line"], r["end_line"]) for r in extract_symbols(df).collect()) == [("F", 1, 40_002), ("G", 40_003, 40_003)]
