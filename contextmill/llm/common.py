@@ -20,9 +20,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a scratch folder where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a scratch folder where it is unset (tests).
+
+    On a cluster a folder of the driver alone would be of no use, so an unset one is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    if path is None and current is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if path is None:
         path = current or tempfile.mkdtemp(prefix="contextmill-llm-")
     if current is None:

@@ -5,12 +5,16 @@ search its tree, which gives every query a k-th score that no final answer can f
 the query to all other shards, in whose trees nodes are visited best-first by the largest inner product their
 tight box allows, until that falls below the k-th score. A shard reads its rows once, builds its tree and then
 streams queries past it, so memory is bounded by the shard; many queries of one shard are dealt over salted copies.
+
+Vectors with components so large that an inner product of two such could pass a long are kept apart and meet all rows in
+blocks, in integers of any size. Exact repeats of a row are one row of a tree with a number of copies.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,14 @@ SCALE = 1024
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 QUERIES_PER_SALT = 50_000
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, vec_id long, score long, copies long"
+WIDE_BLOCK = 512
 
 
 class KDTree:
     """Median splits along the widest side; every node has the tight box of its rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, copies: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
         exact = np.float64 if rows.shape[1] * float(np.abs(rows).max(initial=0)) ** 2 < 2**52 else np.int64
         order = np.lexsort((ids,))
         spans, children, lows, highs, todo = [], [], [], [], [(0, len(ids), -1, 0)]
@@ -51,16 +56,16 @@ class KDTree:
                 middle = (end - start) // 2
                 order[start:end] = order[start:end][np.argpartition(block[:, axis], middle)]
                 todo += [(start, start + middle, me, 0), (start + middle, end, me, 1)]
-        self.ids, self.rows, self.spans, self.children = ids[order], rows[order].astype(exact), spans, children
+        self.ids, self.copies, self.rows, self.spans, self.children = ids[order], copies[order], rows[order].astype(exact), spans, children
         self.low, self.high, self.kind = np.stack(lows).astype(exact), np.stack(highs).astype(exact), exact
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of at most k best rows per query that reach the query's floor; ties to smaller ids."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, ids, scores, copies) of at most k best different rows per query that reach the query's floor; ties to smaller ids."""
         queries = queries.astype(self.kind)
         bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         for i, query in enumerate(queries):
             bound, floor = bounds[i], floors[i]
-            best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
+            at, best = np.empty(0, np.int64), np.empty(0, np.int64)
             heap = [(-bound[0], 0)]
             while heap:
                 negative, node = heapq.heappop(heap)
@@ -76,27 +81,53 @@ class KDTree:
                 scores = self.rows[start:end] @ query
                 keep = (scores >= floor) & (self.ids[start:end] != own[i])
                 if keep.any():
-                    best_ids = np.concatenate([best_ids, self.ids[start:end][keep]])
+                    at = np.concatenate([at, start + np.flatnonzero(keep)])
                     best = np.concatenate([best, scores[keep].astype(np.int64)])
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[top], best[top]
+                    top = np.lexsort((self.ids[at], -best))[:k]
+                    at, best = at[top], best[top]
                     if len(best) == k:
                         floor = max(floor, best[-1])
-            yield i, best_ids, best
+            yield i, self.ids[at], best, self.copies[at]
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>, dims). Left out: null vectors and ids, empty vectors, such with null or non-finite components,
-    and such with components too large for an inner product to fit a long. Exact repeats of a row count once."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(vec_id, x array<double>, dims, copies, wide), a row per different (vec_id, x). Left out: null vectors and ids, empty
+    vectors, such with null or non-finite components. wide: a product with another such vector might not fit a long."""
     x = F.col("x")
-    usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(
-        F.col("vec_id").isNotNull() & (F.size(x) > 0)
-        & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * scale < F.sqrt(F.lit(2.0**62) / F.size(x)))))
-    return usable.select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"), F.size(x).alias("dims")).dropDuplicates(["vec_id", "v"])
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(
+        F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    wide = F.exists(x, lambda c: F.abs(c) * scale >= F.sqrt(F.lit(2.0**62) / F.size(x)))
+    return rows.groupBy("vec_id", "x").agg(F.count("*").alias("copies")).select("vec_id", "x", F.size(x).alias("dims"), "copies", wide.alias("wide"))
+
+
+def _whole(x: float, scale: int) -> int:
+    return math.floor(x * scale) if abs(x) < 2.0**900 else int(x) * scale
+
+
+def _wide_pairs(rows: DataFrame, n: int, n_wide: int, k: int, scale: int) -> DataFrame:
+    """Answers of pairs with a wide vector, at most k for each query and pair of blocks."""
+    i, j = max(1, math.ceil(n_wide / WIDE_BLOCK)), max(1, math.ceil(n / SHARD_ROWS))
+    block = F.xxhash64("vec_id", "x")
+    wide = rows.where("wide").select(F.pmod(block, F.lit(i)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(j - 1))).alias("j"), "vec_id", "x", "query", "copies")
+    every = rows.select(F.explode(F.sequence(F.lit(0), F.lit(i - 1))).alias("i"), F.pmod(block, F.lit(j)).alias("j"), "vec_id", "x", "query", "copies", "wide")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def best(asking: pd.DataFrame, held: pd.DataFrame) -> Iterator[tuple[int, int, int, int]]:
+            vectors = [[_whole(c, scale) for c in v] for v in held["x"]]
+            for q, v in zip(asking["vec_id"], asking["x"], strict=True):
+                query = [_whole(c, scale) for c in v]
+                scored = ((sum(map(operator.mul, query, other)), vec, n) for vec, other, n in zip(held["vec_id"], vectors, held["copies"], strict=True) if vec != q)
+                top = heapq.nsmallest(k, ((-s, vec, n) for s, vec, n in scored if -(2**63) <= s < 2**63))
+                yield from ((q, vec, -s, n) for s, vec, n in top)
+
+        found = [*best(right[right["query"]], left), *best(left[left["query"]], right[~right["wide"]])]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "copies"]).astype("int64")
+
+    return wide.groupBy("i", "j").cogroup(every.groupBy("i", "j")).applyInPandas(meet, FOUND)
 
 
 def exact_topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE,
@@ -104,20 +135,23 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): the k rows of largest inner product per query, ties to smaller ids.
 
     is_query is a condition on vec_id. A query never meets rows of its own id. Vectors of different length do not
-    meet. A query with fewer candidates than k gets them all; an empty table gives an empty result. If several
-    different vectors share an id, all are candidates; as queries, the id's best k distinct answers are kept.
+    meet. A query with fewer candidates than k gets them all; an empty table gives an empty result. Every row is a candidate:
+    one that is there twice comes back twice. Repeats of a query's row ask once; the answers of several different vectors under
+    one id are ranked together. A pair whose score does not fit a long has no answer.
     """
-    rows = scaled(vectors, id_col, vector_col, scale).withColumn("query", is_query)
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q")).collect()
-    found = None
+    rows = usable(vectors, id_col, vector_col, scale).withColumn("query", is_query)
+    whole = rows.where("NOT wide").select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"), "dims", "copies", "query")
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q"), F.sum(F.col("wide").cast("long")).alias("wide")).collect()
+    found = vectors.sparkSession.createDataFrame([], FOUND)
     for size in sizes:
-        one = _one_length(cut(rows.where(F.col("dims") == size["dims"])), size["dims"], size["n"], size["q"], k, shard_rows, queries_per_salt)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], FOUND)
-    distinct = found.groupBy("query_id", "vec_id", "score").agg(F.count("*").alias("_n")).drop("_n") if len(sizes) > 1 else found
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return distinct.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        dims = F.col("dims") == size["dims"]
+        if size["wide"]:
+            found = found.unionByName(_wide_pairs(rows.where(dims), size["n"], size["wide"], k, scale))
+        if size["n"] > size["wide"]:
+            found = found.unionByName(_one_length(cut(whole.where(dims)), size["dims"], size["n"], size["q"], k, shard_rows, queries_per_salt))
+    every = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("_copy"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "_copy")
+    return every.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def _one_length(rows: DataFrame, dims: int, n: int, n_queries: int, k: int, shard_rows: int, queries_per_salt: int) -> DataFrame:
@@ -127,9 +161,9 @@ def _one_length(rows: DataFrame, dims: int, n: int, n_queries: int, k: int, shar
     def at_home(rows: pd.DataFrame) -> pd.DataFrame:
         ids, matrix = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
         asked = rows["query"].to_numpy()
-        tree = KDTree(ids, matrix)
-        out = [(ids[asked][i], v, s) for i, vs, ss in tree.search(matrix[asked], ids[asked], k, np.full(asked.sum(), -np.inf)) for v, s in zip(vs, ss, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        tree = KDTree(ids, matrix, rows["copies"].to_numpy())
+        out = [(ids[asked][i], *hit) for i, *hits in tree.search(matrix[asked], ids[asked], k, np.full(asked.sum(), -np.inf)) for hit in zip(*hits, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "copies"]).astype("int64")
 
     first = cut(placed.groupBy("shard").applyInPandas(at_home, FOUND))
     if shards == 1:
@@ -139,12 +173,12 @@ def _one_length(rows: DataFrame, dims: int, n: int, n_queries: int, k: int, shar
     asking = placed.where("query").join(floors, placed["vec_id"] == floors["query_id"], "left").select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to"), "shard", "vec_id", "v", "low")
     asking = asking.where("to != shard").select(
-        F.col("to").alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "vec_id", "v", "low")
+        F.col("to").alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "vec_id", "v", "low", F.lit(1).cast("long").alias("copies"))
     held = placed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "vec_id", "v",
-                         F.lit(None).cast("long").alias("low"))
+                         F.lit(None).cast("long").alias("low"), "copies")
 
     def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, ids, blocks = None, None, [], []
+        at, tree, ids, blocks, copies = None, None, [], [], []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)])
             edges = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
@@ -155,20 +189,21 @@ def _one_length(rows: DataFrame, dims: int, n: int, n_queries: int, k: int, shar
                 part_ids, matrix = part.column(3).to_numpy(), _matrix(part.column(4), dims)
                 if kind == 0:
                     if at != (shard, salt):
-                        at, tree, ids, blocks = (shard, salt), None, [], []
+                        at, tree, ids, blocks, copies = (shard, salt), None, [], [], []
                     ids.append(part_ids)
+                    copies.append(part.column(6).to_numpy())
                     blocks.append(matrix)
                     continue
                 if at != (shard, salt):
                     continue  # a shard without rows
                 if tree is None:
-                    tree, ids, blocks = KDTree(np.concatenate(ids), np.concatenate(blocks)), [], []
+                    tree, ids, blocks = KDTree(np.concatenate(ids), np.concatenate(blocks), np.concatenate(copies)), [], []
                 low = part.column(5).to_pandas().astype("float64").fillna(-np.inf).to_numpy()
-                hits = [(part_ids[i], vs, ss) for i, vs, ss in tree.search(matrix, part_ids, k, low) if len(vs)]
+                hits = [(part_ids[i], *hit) for i, *hit in tree.search(matrix, part_ids, k, low) if len(hit[0])]
                 if hits:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([np.full(len(vs), q) for q, vs, _ in hits])), pa.array(np.concatenate([vs for _, vs, _ in hits])),
-                         pa.array(np.concatenate([ss for _, _, ss in hits]))], names=["query_id", "vec_id", "score"])
+                        [pa.array(np.concatenate([np.full(len(hit[1]), hit[0]) for hit in hits])),
+                         *(pa.array(np.concatenate([hit[n] for hit in hits])) for n in (1, 2, 3))], names=["query_id", "vec_id", "score", "copies"])
 
     other = (held.unionByName(asking).repartition(shards * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "vec_id")
              .mapInArrow(abroad, FOUND))
