@@ -208,6 +208,17 @@ class ContextEngine:
         if not child.startswith(parent.rstrip("/") + "/") or linked:
             raise ValueError("child must lie below parent, and parent must not be linked itself")
         self.store.append("project_links", self.spark.createDataFrame([(parent, child, False)], "parent_path string, child_path string, auto_linked boolean"))
+        self.store.purge_links(self.spark.createDataFrame([(parent, child)], "parent_path string, child_path string"))
+
+    def auto_link(self) -> DataFrame:
+        """Links indexed projects that lie below another one and are not linked yet; returns all links made this way."""
+        links = self.store.read("project_links")
+        found = filters.auto_links(self.store.files().select("project_path"))
+        new = found.join(links.select("parent_path", "child_path"), ["parent_path", "child_path"], "left_anti")
+        self.store.append("project_links", new.withColumns({"auto_linked": F.lit(True), "created_at": self.now()}))
+        made = self.store.read("project_links").where("auto_linked")
+        self.store.purge_links(made)
+        return made
 
     def drop_files(self, files: DataFrame) -> None:
         """Removes files (file, project_path) from the index: a newer manifest version without rows."""
@@ -222,7 +233,17 @@ class ContextEngine:
             self.store.text(collection).compact()
 
     def reset_project(self, project_path: str) -> None:
-        self.drop_files(self.store.files().where(F.col("project_path") == project_path))
+        """Removes all rows of a project, vectors and summaries too."""
+        self.store.purge([project_path])
+
+    def compact(self) -> None:
+        """Rewrites tables to their current rows, and the text indexes; whoever reads meanwhile keeps what they began with."""
+        self.store.compact()
+        self.compact_text()
+
+    def expire_queries(self, max_age_days: int = 90) -> bool:
+        """Removes calls older than the first day kept; False where the log was being written to."""
+        return self.store.expire("queries", ~upkeep.expired(self.store.read("queries"), self.now(), max_age_days))
 
     # --- search ---
 

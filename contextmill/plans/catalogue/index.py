@@ -11,7 +11,8 @@ from ...functions.text import line_range
 from ...operators import backlog, filters, upkeep, usage
 from ...operators import symbols as extraction
 from ...operators.chunking import url_path
-from ...session import spread_small
+from ...session import scratch_dir, spread_small
+from ...sources.store import Store
 from . import Catalogue
 from .usage import LOG_SQL, call_log
 from .views import SYMBOLS_SQL, symbols, table
@@ -183,6 +184,34 @@ def links_scope(spark: SparkSession, sf: str) -> DataFrame:
     return filters.auto_links(paths)
 
 
+@register("purge_links", f"""
+WITH {EDGES_SQL}, f AS (SELECT DISTINCT source_file AS file, regexp_extract(source_file, '^/web/[^/]*') AS site FROM edges),
+r AS (SELECT '/web' AS project_path, file, length(site) % 2 = 0 AS gone FROM f UNION SELECT site, file, false FROM f)
+SELECT project_path, file FROM r WHERE NOT gone""")
+def purge_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page is kept under /web and under its site; half of the sites (names of even length) are linked below /web."""
+    site = F.regexp_extract("source_file", "^/web/[^/]*", 0)
+    files = page_edges(spark, sf).select(F.col("source_file").alias("file"), site.alias("site")).distinct()
+    rows = files.select(F.explode(F.array(F.lit("/web"), "site")).alias("project_path"), "file").distinct()
+    links = files.where(F.length("site") % 2 == 0).select(F.lit("/web").alias("parent_path"), F.col("site").alias("child_path")).distinct()
+    return filters.purge_parent_duplicates(rows, links)
+
+
+@register("compacted_latest", """
+SELECT user_id::VARCHAR AS project_path, event_type AS name, max(event_id)::VARCHAR AS summary_text, ts AS created_at FROM events
+GROUP BY user_id, event_type, ts QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1""")
+def compacted_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of a stored log of events after two batches, a compaction between and one after them."""
+    store = Store(spark, scratch_dir(spark, "compacted"))
+    events = table(spark, sf, "events").groupBy("user_id", "event_type", "ts").agg(F.max("event_id").alias("event_id"))
+    rows = events.select(F.lit("calls").alias("file"), F.col("user_id").cast("string").alias("project_path"), F.col("event_type").alias("name"),
+                         F.col("event_id").cast("string").alias("summary_text"), F.col("ts").alias("created_at"), "event_id")
+    for batch in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        store.append("summaries", rows.where(batch))
+        store.compact(("summaries",))
+    return store.read("summaries").select("project_path", "name", "summary_text", "created_at")
+
+
 @register("owning_project", """
 WITH f AS (SELECT page_id, url, '/web/' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS file FROM pages),
 c AS (SELECT DISTINCT regexp_extract(file, '^/web/[^/]*') AS child FROM f UNION
