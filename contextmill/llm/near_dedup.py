@@ -7,12 +7,13 @@ first point of every component is the signature; two texts agree in a component
 weighted Jaccard similarity. Processes are followed only until every component of the text has an earlier point.
 
 Texts with equal multisets are merged first. Signatures are cut into bands; texts with an equal band share a bucket. In a
-bucket, members are compared with leaders, not with each other: first one leader, later sixteen times as many each round,
-most linked first, and only where members of the bucket still lie in different groups. Members of buckets
-left after the first round get sketches, one bit of each of 1024 more components; pairs whose sketches differ five standard
-deviations more than a similarity of 0.8 lets expect are dropped inside the join, each other pair is verified on the whole
-multisets. A bucket is done when its members are connected or all have led, so no pair is left out for size; large
-groups of copies take one comparison per member.
+bucket, members are compared with leaders, not with each other. A member's fame is the size of all its buckets: the text
+that others were copied from agrees with each of them more than they do among themselves, so it is the most famous one in
+every bucket it is in, leads it, and takes one comparison per copy. Where members of a bucket still lie in different groups
+afterwards, more lead, thirty-two times as many each round. Members of such buckets get sketches, one bit of each of 2048
+more components; pairs whose sketches differ five standard deviations more than a similarity of 0.8 lets expect are dropped
+inside the join, each other pair is verified on the whole multisets. A bucket is done when its members are connected or all
+have led, so no pair is left out for size.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 #: Components, of one bit each, of the sketch that pairs are screened by after the first round.
-SKETCH_BITS = 1024
-BLOCK_BYTES = 1 << 20
+SKETCH_BITS = 2048
+#: What a task hashes at once: so many bytes of texts, and so many components of their signatures or sketches.
+BLOCK_BYTES, BLOCK_COMPONENTS = 1 << 20, 1 << 20
 #: So many times more leaders lead a bucket in each round.
-GROWTH = 16
+GROWTH = 32
+#: Members of an undecided bucket that meet its leaders in one task.
+SLICE_ROWS = 1024
 #: Shingles of texts that a task keeps while it verifies pairs.
-HELD_SHINGLES = 4_000_000
+HELD_SHINGLES = 2_000_000
 #: A key or bucket row takes at most 48 bytes; up to this many are broadcast, more are joined by shuffle.
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 200_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _S30, _S27, _S31, _S11, _S32 = (np.uint64(x) for x in (30, 27, 31, 11, 32))
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -150,13 +154,13 @@ def promising(a: str, b: str) -> Column:
     share = (1 - SIMILARITY) / 2
     most = int(SKETCH_BITS * share + 5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
     differ = sum((F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, SKETCH_BITS // 64 + 1)), F.lit(0))
-    return F.coalesce(differ <= most, F.lit(True))
+    return differ <= most
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, size = 0, 0
+def _blocks(texts: list[bytes], components: int) -> Iterator[tuple[int, list[bytes]]]:
+    first, size, most = 0, 0, max(1, BLOCK_COMPONENTS // components)
     for i, text in enumerate(texts):
-        if size and size + len(text) > BLOCK_BYTES:
+        if size and size + len(text) > BLOCK_BYTES or i - first == most:
             yield first, texts[first:i]
             first, size = i, 0
         size += len(text)
@@ -168,18 +172,37 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).view(np.int64).reshape(-1)))
 
 
+def _digests(of: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> list[pa.Array]:
+    """Two sums of 64 bits over each text's multiset."""
+    out = []
+    for salt in (_B, _C):
+        sums = np.zeros(n, np.uint64)
+        np.add.at(sums, of, _scramble(shingle * salt + count.astype(np.uint64)))
+        out.append(pa.array(sums.view(np.int64)))
+    return out
+
+
+def _nodes(ids: pa.Array, digests: list[pa.Array]) -> pa.StructArray:
+    """A text is known by its id and multiset, so that different texts under one id stay apart."""
+    return pa.StructArray.from_arrays([ids, *digests], names=["id", "d1", "d2"])
+
+
+def node_type(texts: DataFrame) -> str:
+    return f"struct<id:{texts.schema['doc_id'].dataType.simpleString()},d1:long,d2:long>"
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """(rep, sketch) of (doc_id, text); null for an id with several rows, which is then not screened."""
+    """(rep, sketch) of (doc_id, text), once for each node."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for start, part in _blocks(data):
-                h = bag_minhash(*shingles(part), len(part), SKETCH_BITS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), _lists(sketch_of(h))], names=["rep", "sketch"])
+            for start, part in _blocks(data, SKETCH_BITS):
+                bags = shingles(part)
+                nodes = _nodes(batch.column(0).slice(start, len(part)), _digests(*bags, len(part)))
+                yield pa.RecordBatch.from_arrays([nodes, _lists(sketch_of(bag_minhash(*bags, len(part), SKETCH_BITS)))], names=["rep", "sketch"])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    drawn = texts.select("doc_id", "text").mapInArrow(draw, f"rep {kind}, sketch array<long>")
-    return drawn.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("sketch")).alias("sketch"))
+    drawn = texts.select("doc_id", "text").mapInArrow(draw, f"rep {node_type(texts)}, sketch array<long>")
+    return drawn.groupBy("rep").agg(F.min("sketch").alias("sketch"))
 
 
 def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,15 +212,11 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for start, texts in _blocks(data):
+            for start, texts in _blocks(data, COMPONENTS):
                 n = len(texts)
                 of, shingle, count = shingles(texts)
                 total = np.bincount(of, weights=count, minlength=n).astype(np.int64)
-                digests = []
-                for salt in (_B, _C):
-                    sums = np.zeros(n, np.uint64)
-                    np.add.at(sums, of, _scramble(shingle * salt + count.astype(np.uint64)))
-                    digests.append(pa.array(sums.view(np.int64)))
+                digests = _digests(of, shingle, count, n)
                 keys = _lists(band_keys(bag_minhash(of, shingle, count, n)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(total), *digests, keys], names=["doc_id", "total", "d1", "d2", "bands"])
 
@@ -211,20 +230,22 @@ def near(df: DataFrame, rows: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """(a, b) of those pairs whose multisets overlap enough. texts has (doc_id, text)."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    """(a, b) of those pairs of nodes whose multisets overlap enough. texts has (doc_id, text)."""
+    kind = node_type(texts)
+    wanted = cut(pairs.select(F.col("a.id").alias("doc_id")).unionByName(pairs.select(F.col("b.id").alias("doc_id"))).distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())],
-                                             names=["doc_id", "packed"])
+            data = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for start, part in _blocks(data, COMPONENTS):
+                nodes = _nodes(batch.column(0).slice(start, len(part)), _digests(*shingles(part, words), len(part)))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([squeeze.compress(t) for t in part], pa.binary())], names=["node", "packed"])
 
-    packed = (texts.join(near(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, f"doc_id {kind}, packed binary")
-              .groupBy("doc_id").agg(F.min("packed").alias("packed")))
-    left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
-    right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
+    packed = (texts.join(near(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, f"node {kind}, packed binary")
+              .groupBy("node").agg(F.min("packed").alias("packed")))
+    left = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    right = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, bags, held = zstandard.ZstdDecompressor(), {}, 0
@@ -280,84 +301,100 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return cut(renamed.unionByName(fresh))
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copy_of, total): one row per document row; class_id is the least id of the group.
-
-    copy_of is the least id with the same multiset. Texts without words (null, empty) are groups of their own. Rows with a null id
-    keep a null class and link nothing. Repeated rows give repeated rows; different texts under one id are grouped each
-    by its own shingles, and links are verified on one of them. Other columns are ignored; an empty table gives an empty result.
-    """
+def _labelled(documents: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(doc_id, class_id, copy_of, total, d1, d2) of every row; the digest is null for texts without words."""
     signed = cut(signatures(documents, id_col, text_col))
     same = signed.where((F.col("total") > 0) & F.col("doc_id").isNotNull())
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    nodes = cut(same.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("total").alias("total"), F.first("bands").alias("bands")))
-    rows = nodes.select("rep", "total", F.explode("bands").alias("key"), F.xxhash64("rep").alias("luck"))
-
-    # first round: one leader per bucket, found while counting its members
-    led = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("luck", "rep", "total")).alias("l")).where("n > 1")
+    nodes = cut(same.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("total").alias("total"), F.first("bands").alias("bands"))
+                .select(F.struct("id", "d1", "d2").alias("rep"), "total", "bands"))
+    rows = nodes.select("rep", "total", F.explode("bands").alias("key"))
+
+    # first round: one leader per bucket, the member of most fame
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    n_buckets = sizes.count()
+    held = cut(rows.join(near(sizes, n_buckets), "key"))
+    members = cut(held.drop("n").join(held.groupBy("rep").agg(F.sum("n").alias("fame")), "rep").withColumn("luck", F.xxhash64("rep")))
+    led = cut(members.groupBy("key").agg(F.min(F.struct(-F.col("fame"), "luck", "rep", "total")).alias("l"))
               .select("key", F.col("l.rep").alias("leader"), F.col("l.total").alias("size")))
-    members = rows.join(near(led, led.count()), "key").where("rep <> leader")
+    followers = members.join(near(led, n_buckets), "key").where("rep <> leader")
     # a multiset cannot overlap enough with one of another size
     alike = F.least("total", "size") >= F.lit(similarity) * F.greatest("total", "size") - 1e-9
     a_b = [F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")]
-    tested = cut(members.where(alike).select(*a_b).distinct())
-    edges = cut(verify(tested, texts, similarity))
-    groups = components(edges)
-    open_rows, share = members.select("key", "rep", "total", "luck"), 1
+    groups = components(cut(verify(cut(followers.where(alike).select(*a_b).distinct()), texts, similarity)))
+    open_rows, share = followers.select("key", "rep", "total", "fame", "luck"), 1
     while True:
-        labelled = open_rows.join(groups, open_rows["rep"] == groups["node"], "left").select("key", "rep", "total", "luck", F.coalesce("group", "rep").alias("group"))
-        apart = labelled.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+        labelled = open_rows.join(groups, open_rows["rep"] == groups["node"], "left").drop("node").withColumn("group", F.coalesce("group", "rep"))
+        apart = labelled.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("n")).where("x <> y")
+        apart = apart.select("key", (1 + F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
         labelled = cut(labelled.join(apart, "key"))
-        if labelled.limit(1).count() == 0:
+        if labelled.isEmpty():
             break
         if share == 1:
-            # what only members of undecided buckets need: their sketches and all their band keys, which take eight times a key row
+            # what only members of undecided buckets need: their sketches and all their band keys, which take ten times a key row
             reps = cut(labelled.select("rep").distinct())
             n_reps = reps.count()
-            drawn = sketches(texts.join(near(reps, n_reps), texts["doc_id"] == reps["rep"], "left_semi"))
-            bands = nodes.join(near(reps, n_reps), "rep", "left_semi").groupBy("rep").agg(F.when(F.count("*") == 1, F.first("bands")).alias("bands"))
-            extra = near(cut(drawn.join(bands, "rep")), 8 * n_reps)
+            drawn = sketches(texts.join(near(reps.select(F.col("rep.id").alias("doc_id")), n_reps), "doc_id", "left_semi"))
+            bands = nodes.join(near(reps, n_reps), "rep", "left_semi").select("rep", "bands")
+            extra = near(cut(drawn.join(bands, "rep")), 10 * n_reps)
         share *= GROWTH
-        degrees = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        ranked = labelled.join(degrees, "rep", "left").withColumn(
-            "rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc_nulls_last("degree"), "luck", "rep")))
-        led = cut(ranked.where(F.col("rank") <= share).select("key", F.col("rep").alias("leader"), F.col("total").alias("size"), F.col("group").alias("home")))
+        ranked = labelled.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("fame"), "luck", "rep")))
+        led = cut(ranked.where(F.col("rank") <= share).select("key", F.col("rep").alias("leader"), F.col("total").alias("size"), F.col("group").alias("home"), "slices"))
         # a pair is named in the first bucket that it shares
         shared = F.filter(F.zip_with("bands", "lead_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-        once = F.coalesce(F.get(shared, F.lit(0)) == F.col("key"), F.lit(True))
-        leading = led.join(extra.toDF("leader", "lead", "lead_bands"), "leader")
-        fresh = cut(labelled.join(extra, "rep").join(leading, "key").where((F.col("group") != F.col("home")) & alike & promising("sketch", "lead") & once).select(*a_b).distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.limit(1).count():
-            tested = tested.unionByName(fresh)
-            linked = cut(verify(fresh, texts, similarity))
-            edges = edges.unionByName(linked)
-            groups = merged(groups, linked)
-        open_rows = labelled.drop("group").join(led.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
-    of_text = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("d1", "d2", F.col("rep").alias("copy_of"), F.coalesce("group", "rep").alias("group"))
+        once = F.get(shared, F.lit(0)) == F.col("key")
+        # followers of a large bucket are dealt over slices, each of which all leaders visit
+        leading = led.join(extra.toDF("leader", "lead", "lead_bands"), "leader").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        following = labelled.join(extra, "rep").withColumn("slice", F.pmod("luck", "slices").cast("int"))
+        fresh = cut(following.join(leading, ["key", "slice"]).where((F.col("group") != F.col("home")) & alike & promising("sketch", "lead") & once)
+                    .select(*a_b).distinct())
+        if not fresh.isEmpty():
+            groups = merged(groups, cut(verify(fresh, texts, similarity)))
+        open_rows = labelled.drop("group", "slices").join(led.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
+    of_text = nodes.join(groups, nodes["rep"] == groups["node"], "left").select(
+        "rep.d1", "rep.d2", F.col("rep.id").alias("copy_of"), F.coalesce("group", "rep").getField("id").alias("group"))
     keyed = signed.select("doc_id", "total", F.when(F.col("total") > 0, F.col("d1")).alias("d1"), F.when(F.col("total") > 0, F.col("d2")).alias("d2"))
     none, some = keyed.where("d1 IS NULL"), keyed.where("d1 IS NOT NULL")
     own = F.when(F.col("doc_id").isNotNull(), F.col("group"))
-    return (some.join(of_text, ["d1", "d2"], "left").select("doc_id", own.alias("class_id"), "copy_of", "total")
-            .unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), "total")))
+    return (some.join(of_text, ["d1", "d2"], "left").select("doc_id", own.alias("class_id"), "copy_of", "total", "d1", "d2")
+            .unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), "total", "d1", "d2")))
+
+
+def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, copy_of, total): one row per document row; class_id is the least id of the group.
+
+    copy_of is the least id with the same multiset. Texts without words (null, empty) are groups of their own. Rows with a null id
+    keep a null class and link nothing. Repeated rows give repeated rows; different texts under one id are grouped each
+    by its own shingles. Other columns are ignored; an empty table gives an empty result.
+    """
+    return _labelled(documents, id_col, text_col, similarity).drop("d1", "d2")
 
 
 def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """documents without near copies: of each group the row of the least id stays.
 
-    Rows with a null id stay. Of several rows under one id that represent a group, the least row stays.
+    Rows with a null id stay. Several rows under one id are judged text by text: of rows with equal shingles the least one stays,
+    if its group has no lesser id; rows without words are one text of their id. Near copies of different shingles under the
+    one id that leads their group all stay.
     """
-    found = cut(near_groups(documents, id_col, text_col, similarity).groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("stays")).where("doc_id IS NOT NULL"))
-    out, repeated = found.where("stays = 0").select("doc_id"), found.where("stays = 1 AND n > 1").select("doc_id")
-    n_out, n_repeated = out.count(), repeated.count()
-    gone = out.unionByName(repeated).select(F.col("doc_id").alias("_gone"))
-    kept = documents.join(near(gone, n_out + n_repeated), F.col(id_col) == F.col("_gone"), "left_anti")
+    judged = cut(_labelled(documents, id_col, text_col, similarity).where("doc_id IS NOT NULL").groupBy("doc_id", "d1", "d2").agg(
+        F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("stays")))
+    found = cut(judged.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("stays = 0 OR n > 1"))
+    repeated = found.where("stays = 1").select(F.col("doc_id").alias("_again"))
+    n_found, n_repeated = found.count(), repeated.count()
+    kept = documents.join(near(found.select(F.col("doc_id").alias("_gone")), n_found), F.col(id_col) == F.col("_gone"), "left_anti")
     if n_repeated == 0:
         return kept
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    rows = documents.join(near(again, n_repeated), F.col(id_col) == F.col("_again"), "left_semi")
-    one = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*documents.columns)).alias("_row")).select("_row.*")
-    return kept.unionByName(one)
+    rows = documents.join(near(repeated, n_repeated), F.col(id_col) == F.col("_again"), "left_semi")
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = rows.select(F.col(id_col).alias("_id"), key.alias("_key"), F.struct(*documents.columns).alias("_row"))
+    texts = rows.select("_key", F.col(f"_row.{text_col}").alias("_text")).groupBy("_key").agg(F.min("_text").alias("_text"))
+    digest = [F.when(F.col("total") > 0, F.col(d)).alias(f"_{d}") for d in ("d1", "d2")]
+    digests = signatures(texts, "_key", "_text").select(F.col("doc_id").alias("_key"), *digest)
+    stay = judged.where("stays = 1").drop("n", "stays")
+    of_text = (F.col("_id") == stay["doc_id"]) & F.col("_d1").eqNullSafe(stay["d1"]) & F.col("_d2").eqNullSafe(stay["d2"])
+    least = rows.join(digests, "_key").join(stay, of_text, "left_semi").groupBy("_id", "_d1", "_d2").agg(F.min("_row").alias("_row"))
+    return kept.unionByName(least.select("_row.*"))
 
 
 @CATALOGUE.register("op7_near_dedup")

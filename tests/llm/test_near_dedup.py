@@ -81,6 +81,31 @@ def test_repeats_null_ids_and_dropping(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 7, 8, 9, None, None], key=repr)
     assert [r.doc_id for r in drop_near_copies(documents(spark, [a, a], ids=[4, 4])).collect()] == [4]
+    # one id, two texts: each stays or goes by its own group
+    two = drop_near_copies(documents(spark, [a, b, b.upper(), edited(a, 3, 1), "", None], ids=[4, 4, 4, 2, 4, 4])).collect()
+    assert sorted((r.doc_id, bag(r.text) == bag(b), bag(r.text) == bag("")) for r in two) == [(2, False, False), (4, False, True), (4, True, False)]
+
+
+def test_many_copies_of_one_base(spark):
+    base = prose(41, 150, 9000)
+    texts = [base] + [edited(base, 900 + i, 1 + i % 12) for i in range(2000)] + [prose(2000 + i, 60, 9000) for i in range(200)]
+    rows = list(enumerate(texts))
+    random.Random(4).shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()}
+    bags = [bag(t) for t in texts]
+    linked = [i for i in range(2001) if overlap(bags[0], bags[i]) >= 0.8 - 1e-9]
+    # whatever is near the base is in its group; of the rest, what is near one of those, checked on the closest ones
+    assert len(linked) > 300 and all(got[i] == 0 for i in linked)
+    apart = [i for i in range(2001) if got[i] != 0]
+    assert all(overlap(bags[i], bags[j]) < 0.8 for i in apart[::40] for j in linked)
+    assert all(got[i] == i for i in range(2001, 2201))
+
+
+def test_long_texts(spark):
+    long = prose(7, 700_000, 20_000)
+    texts = [long, edited(long, 1, 200), prose(8, 60), long[: len(long) // 2]]
+    got = {r.doc_id: r.class_id for r in near_groups(documents(spark, texts)).collect()}
+    assert len(long) > 3_000_000 and got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
 def test_empty_table(spark):
