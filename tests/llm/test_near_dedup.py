@@ -94,7 +94,7 @@ def test_many_copies_of_one_base(spark):
     got = {r.doc_id: r.class_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()}
     bags = [bag(t) for t in texts]
     linked = [i for i in range(2001) if overlap(bags[0], bags[i]) >= 0.8 - 1e-9]
-    # whatever is near the base is in its group; of the rest, what is near one of those, checked on the closest ones
+    # whatever is near the base is in its group; every fortieth text left apart is near none of those
     assert len(linked) > 300 and all(got[i] == 0 for i in linked)
     apart = [i for i in range(2001) if got[i] != 0]
     assert all(overlap(bags[i], bags[j]) < 0.8 for i in apart[::40] for j in linked)
