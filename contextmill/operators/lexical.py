@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import prefix_terms, query_terms, tokens
 from ..session import MAX_PINNED_ROWS
+from . import text_scores
 from .ordered import top_per_group
 from .rowwise import pinned
 
@@ -131,6 +133,7 @@ class Asked:
     prefixes: DataFrame
     lengths: list[int] | None
     words: tuple[str, ...] = ()
+    counted: pa.Table | None = None
 
     @property
     def few(self) -> bool:
@@ -146,18 +149,36 @@ class Asked:
         spark = requests.sparkSession
         prefixes = spark.createDataFrame(pa.table({"prefix": pa.array(words, pa.string())}), "prefix string")
         lengths = sorted({len(w) for w in words}) or [1]
-        return cls(F.broadcast(spark.createDataFrame(found, raw.schema)), F.broadcast(prefixes), lengths, tuple(words))
+        return cls(F.broadcast(spark.createDataFrame(found, raw.schema)), F.broadcast(prefixes), lengths, tuple(words), found)
 
 
 def bm25_search(docs: DataFrame, requests: DataFrame, id_col: str, text: Column,
                 limit: int = CANDIDATES) -> DataFrame:
-    """Batched BM25 over an unindexed collection."""
+    """Batched BM25 over an unindexed collection.
+
+    Requests of a counted number are scored inside the scan. More of them than that, and collections in which an id
+    repeats (the rows of an id of one length count as one document), are joined with the requests.
+    """
     asked = Asked.of(requests)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("toks"))
+    if asked.few and asked.words and str(toks.schema["doc_id"].dataType.simpleString()) in ("int", "bigint", "string"):
+        terms = text_scores.Terms.of(asked.counted, asked.words)
+        found = text_scores.counts(toks, terms)
+        if found.get(text_scores.IDS, 0) <= 1:
+            return bm25_scan(toks, terms, found, limit)
     matches = scan_matches(toks, asked)
     return bm25_rank(bm25_weights(matches, corpus_totals(toks), asked.few), asked.terms, limit)
 
 
+def bm25_scan(toks: DataFrame, terms: text_scores.Terms, found: dict[int, int], limit: int) -> DataFrame:
+    """bm25_search from (doc_id, toks) with distinct ids and their counts."""
+    n, df = found[text_scores.DOCS], np.array([found[i] for i in range(len(terms.words))], dtype=np.float64)
+    average = found[text_scores.TOKENS] / max(found[text_scores.MEASURED], 1)
+    idf = np.maximum(np.log(np.maximum(n - df + 0.5, 0.5) / (df + 0.5)), MIN_IDF)
+    scored = text_scores.best(toks, terms, idf, average or 1.0, limit, K1, B, SCORE_DIGITS)
+    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit)
+
+
 def bm25_search_index(index: TextIndex, requests: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Batched BM25 over a stored index."""
     asked = Asked.of(requests)
