@@ -94,8 +94,10 @@ def fts_like_cascade(spark: SparkSession, sf: str) -> DataFrame:
     asked = texts(spark, sf).unionByName(
         table(spark, sf, "nation").select((F.col("n_nationkey") + 100000).cast("long").alias("query_id"),
                                           F.lower(F.substring("n_name", 2, 3)).alias("text")))
-    ranked = lexical.bm25_search(docs, asked, "doc_id", F.col("text"), 10)
-    likes = lexical.phrase_search(docs, asked, "doc_id", [F.col("text")], [F.desc("doc_id")], 10)
+    ranked = pin_small(lexical.bm25_search(docs, asked, "doc_id", F.col("text"), 10))
+    # only requests without a ranked hit are looked up in the texts
+    unanswered = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    likes = lexical.phrase_search(docs, unanswered, "doc_id", [F.col("text")], [F.desc("doc_id")], 10)
     return lexical.first_non_empty(ranked, likes)
 
 

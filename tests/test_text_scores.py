@@ -55,3 +55,41 @@ def test_many_requests_take_passes(spark, monkeypatch):
     docs = spark.createDataFrame(some_docs(200), "id long, text string").repartition(2)
     req = spark.createDataFrame([(q, ["al", "be ga", "x1 é"][q % 3]) for q in range(40)], "query_id long, text string")
     assert answers(lexical.bm25_search(docs, req, "id", F.col("text"), 6)) == answers(joined(docs, req, 6))
+
+
+def plain_substrings(rows, asked, limit):
+    out = []
+    for q, text in asked:
+        terms = (text or "").lower().split()
+        scored = []
+        for i, name, code in rows:
+            hay = "\x01".join(v for v in (name, code) if v is not None).lower()
+            low = (name or "").lower()
+            if any(t in hay for t in terms):
+                scored.append((-sum(10.0 if low == t else 5.0 if low.startswith(t) else 3.0 if t in low else 1.0 for t in terms), i))
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:limit], 1)]
+    return sorted(out)
+
+
+def test_substrings_equal_brute_force_and_few_rows_leave_the_scan(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, "Foo", "foobar", "afoo", "z", "été"]), rng.choice([None, "has foo", "none", "zz top"])) for i in range(900)]
+    asked = [(0, "Foo zz"), (1, "top foo foo"), (2, "missing"), (3, ""), (4, None), (5, "ÉT o")]
+    docs = spark.createDataFrame(rows, "id long, name string, code string").repartition(3)
+    req = spark.createDataFrame(asked, "query_id long, text string")
+    got = lexical.substring_search(docs, req, "id", F.col("name"), [F.col("name"), F.col("code")], 9)
+    assert answers(got) == plain_substrings(rows, asked, 9)
+    # before, every hit of every request left the scan
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_cascade_looks_up_unanswered_requests_only(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    looked = []
+    plain = lexical.phrase_search
+    monkeypatch.setattr(lexical, "phrase_search", lambda docs, req, *rest: looked.append(req.count()) or plain(docs, req, *rest))
+    rows = entry.queries()["fts_like_cascade"](spark, sf_dir)
+    answered = rows.where("stage = 0").select("query_id").distinct().count()
+    total = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count() + spark.read.parquet(f"{sf_dir}/nation.parquet").count()
+    assert looked == [total - answered]
