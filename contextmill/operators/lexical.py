@@ -204,27 +204,18 @@ def request_batches(requests: DataFrame, columns: list[Column], size: int = MAX_
 def substring_search(docs: DataFrame, requests: DataFrame, id_col: str, name: Column,
                      fields: list[Column], limit: int = CANDIDATES) -> DataFrame:
     """Fallback ranking: any query term occurs in any field; per term the name scores 10 when equal,
-    5 as prefix, 3 when contained and 1 otherwise. Scored first, cut to `limit` afterwards."""
-    scored = None
-    haystack = F.lower(F.concat_ws("\u0001", *fields))
-    # terms are tried shortest first: the likeliest to occur decides soonest
+    5 as prefix, 3 when contained and 1 otherwise. Scored first, cut to `limit` afterwards.
+
+    The points depend on the name alone, so a task looks into the fields of those rows only whose points can still be
+    among its best.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(name).alias("name"), F.lower(F.concat_ws("\u0001", *fields)).alias("hay"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.select(F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
     for batch in request_batches(requests, [F.col("query_id"), query_terms("text").alias("terms")]):
-        wanted = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
-                                    F.array(*[F.lit(t) for t in sorted(r["terms"], key=len)]).cast("array<string>").alias("terms"))
-                           for r in batch])
-        base = pinned(docs.select(F.col(id_col).alias("doc_id"), name.alias("__n"), haystack.alias("__h")),
-                      __name=F.lower("__n"), __hay=F.col("__h"))
-        hits = base.select("doc_id", "__name", F.explode(F.filter(
-            wanted, lambda r: F.exists(r["terms"], lambda t: F.contains(F.col("__hay"), t)))).alias("r"))
-        points = F.aggregate("r.terms", F.lit(0.0), lambda acc, t: acc + (
-            F.when(F.col("__name") == t, 10.0).when(F.startswith(F.col("__name"), t), 5.0)
-            .when(F.contains(F.col("__name"), t), 3.0).otherwise(1.0)))
-        part = hits.select(F.col("r.query_id").alias("query_id"), "doc_id", points.alias("score"))
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        empty = docs.select(F.lit(None).cast("long").alias("query_id"), F.col(id_col).alias("doc_id"),
-                            F.lit(0.0).alias("score"))
-        scored = empty.where(F.lit(False))
+        asked = [(r["query_id"], r["terms"]) for r in batch if r["terms"]]
+        if asked:
+            scored = scored.unionByName(rows.mapInArrow(text_scores.substring_scorer(asked, limit), f"query_id long, doc_id {id_type}, score double"))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit)
 
 

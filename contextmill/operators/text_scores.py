@@ -178,3 +178,79 @@ def _scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b:
             yield from top.rows(terms.query_ids, ["query_id", "doc_id", "score"])
 
     return score
+
+
+# --- substrings --------------------------------------------------------------------------------
+
+EQUAL, PREFIX, INSIDE, ELSEWHERE = 10.0, 5.0, 3.0, 1.0
+
+
+class NamePoints:
+    """Points of a name for every request (query_id, terms): a term's place in the name decides."""
+
+    def __init__(self, asked: list[tuple[int, list[str]]]) -> None:
+        self.base = np.array([ELSEWHERE * len(terms) for _, terms in asked])
+        uses: dict[str, dict[int, int]] = {}
+        for i, (_, terms) in enumerate(asked):
+            for t in terms:
+                uses.setdefault(t, {})[i] = uses.get(t, {}).get(i, 0) + 1
+        self.uses = {t: (np.array(list(u)), np.array(list(u.values()), dtype=np.float64)) for t, u in uses.items()}
+        self.longest = max(len(t) for t in uses)
+        self.known: dict[str | None, list] = {}
+
+    def found(self, name: str) -> list[tuple[str, float]]:
+        """Terms inside a name: by its pieces where these are fewer than the terms."""
+        if len(name) * min(len(name), self.longest) < len(self.uses):
+            pieces = {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + self.longest) + 1)}
+            inside = [t for t in pieces if t in self.uses]
+        else:
+            inside = [t for t in self.uses if t in name]
+        return [(t, EQUAL if name == t else PREFIX if name.startswith(t) else INSIDE) for t in inside]
+
+    def extra(self, name: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of requests and their points above the base."""
+        hit = self.known.get(name)
+        if hit is None:
+            if len(self.known) >= MAX_KNOWN_WORDS // 10:
+                self.known.clear()
+            parts = [(self.uses[t][0], self.uses[t][1] * (points - ELSEWHERE)) for t, points in self.found(name or "")]
+            hit = self.known[name] = tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        return hit
+
+
+def substring_scorer(asked: list[tuple[int, list[str]]], k: int):
+    """Best k rows per request of a task's batches (doc_id, name, hay), both lower-case; see lexical.substring_search."""
+    query_ids = np.array([q for q, _ in asked], dtype=np.int64)
+    # terms are tried shortest first: the likeliest to occur decides soonest
+    ordered = [sorted(set(terms), key=lambda t: (len(t), t)) for _, terms in asked]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, top = NamePoints(asked), None
+        step = max(1, min(256, MAX_MATRIX_BYTES // (8 * len(asked))))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            ids, names = batch.column(0), batch.column(1).to_pylist()
+            top = top or BestRows(len(asked), k, ids.type)
+            scores = np.repeat(points.base[:, None], batch.num_rows, axis=1)
+            for r, name in enumerate(names):
+                q, more = points.extra(name)
+                np.add.at(scores, (q, r), more)
+            r, q = np.nonzero(top.wanted(scores, ids).T)
+            inside = np.zeros(len(r), dtype=bool)
+            row, hay, seen = -1, "", {}
+            for i, (at, request) in enumerate(zip(r.tolist(), q.tolist())):
+                if at != row:
+                    row, hay, seen = at, batch.column(2)[at].as_py() or "", {}
+                for t in ordered[request]:
+                    there = seen.get(t)
+                    if there is None:
+                        there = seen[t] = t in hay
+                    if there:
+                        inside[i] = True
+                        break
+            r, q = r[inside], q[inside]
+            if len(q):
+                top.add(q, scores[q, r], ids.take(pa.array(r)))
+        if top is not None:
+            yield from top.rows(query_ids, ["query_id", "doc_id", "score"])
+
+    return score
