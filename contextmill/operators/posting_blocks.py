@@ -9,18 +9,25 @@ is that potential with its own bound in place of its term's best. The FIRST_HOME
 best score found there is passed on, and of all other homes only blocks whose reach is not below it are read. A document
 that belongs to the answer has no posting in a skipped block, so its score is complete; others stay below the k-th score.
 
+A batch with more than MAX_PUSHED_PREFIXES prefixes reads most blocks for one request or another. It opens every posting once,
+whatever the number of requests, and scores all requests on groups of whole documents.
+
 How many documents hold a word with some prefix is kept per prefix up to PREFIX_LENGTH characters, so skipped blocks need
 not be counted; longer prefixes are counted from their postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
 from ..session import pin_small
+from . import text_scores
 from .lexical import B, CANDIDATES, K1, MAX_PUSHED_PREFIXES, MIN_IDF, SCORE_DIGITS, Asked, expand_prefixes
 from .ordered import top_per_group
 
@@ -28,6 +35,8 @@ BLOCK_ROWS = 128
 HOME_DOCS = 4096
 PREFIX_LENGTH = 32
 FIRST_HOMES = 8
+#: Documents whose words are counted at once; tokens of the documents that a wide search scores at once.
+COUNTED_ROWS, WIDE_TOKENS = 1024, 1 << 20
 #: Bounds and scores are floating point: a block is skipped only if its reach lies below the k-th score by more than this share.
 MARGIN = 1e-9
 
@@ -71,17 +80,29 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def posting_rows(toks: DataFrame) -> DataFrame:
-    exploded = toks.select(*VERSION, "doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return exploded.groupBy(*VERSION, "doc", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    """(scope, unit, version, doc, dl, term, tf), counted in the row of a document."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, COUNTED_ROWS) for i in range(0, whole.num_rows, COUNTED_ROWS)):
+                lengths, row, code, terms, tf = text_scores.counted_words(batch.column(4))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(lengths[row].astype(np.int32)),
+                                                  terms.take(pa.array(code)), pa.array(tf.astype(np.int32))], names=[*VERSION, "doc", "dl", "term", "tf"])
+
+    doc = toks.schema["doc"].dataType.simpleString()
+    return toks.select(*VERSION, "doc", "toks").mapInArrow(count, f"{UNIT_TYPES}, doc {doc}, dl int, term string, tf int")
 
 
 def make_blocks(postings: DataFrame, docs: int, average: float, home_docs: int = HOME_DOCS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of postings (scope, unit, version, doc, dl, term, tf) of so many documents of such average length.
 
     A term has at most one posting per document of a home, so a window over (scope, bucket, term) is bounded however
-    frequent the term. The average only orders postings; bounds hold without it.
+    frequent the term. The average only orders postings; bounds hold without it. One shuffle by (scope, bucket, term) serves
+    the sum over rows of one document, the window and the blocks.
     """
-    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-docs // home_docs)))).cast("int"))
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-docs // home_docs)))).cast("int")
+    dealt = postings.withColumn("bucket", bucket).repartition("scope", "bucket", "term")
+    placed = dealt.groupBy("scope", "bucket", "term", "unit", "version", "doc", "dl").agg(F.sum("tf").cast("int").alias("tf"))
     impact = F.col("tf") / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / max(average, 1.0)))
     w = Window.partitionBy("scope", "bucket", "term").orderBy(impact.desc(), "doc")
     numbered = placed.withColumn("block", F.floor((F.row_number().over(w) - 1) / block_rows).cast("int"))
@@ -92,10 +113,23 @@ def make_blocks(postings: DataFrame, docs: int, average: float, home_docs: int =
 
 def prefix_deltas(toks: DataFrame, sign: int = 1) -> DataFrame:
     """(scope, prefix, df): documents per prefix. Prefixes are made distinct in the row of a document."""
-    own = F.array_distinct(F.transform("toks", lambda t: F.substr(t, F.lit(1), F.lit(PREFIX_LENGTH))))
-    every = F.array_distinct(F.flatten(F.transform(own, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t)), lambda k: F.substr(t, F.lit(1), k)))))
-    return toks.select("scope", F.explode(every).alias("prefix")).groupBy("scope", "prefix").agg((F.count("*") * sign).alias("df"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, COUNTED_ROWS) for i in range(0, whole.num_rows, COUNTED_ROWS)):
+                scopes = batch.column(0).dictionary_encode()
+                _, row, code, terms, _ = text_scores.counted_words(batch.column(1))
+                number: dict[str, int] = {}
+                own = [[number.setdefault(t[:n], len(number)) for n in range(1, min(len(t), PREFIX_LENGTH) + 1)] for t in terms.to_pylist()]
+                at, prefix = text_scores.expanded(row, code, own)
+                if len(at):
+                    pairs = np.unique(at * len(number) + prefix)
+                    scope = scopes.indices.fill_null(len(scopes.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    keys, df = np.unique(scope[pairs // len(number)] * len(number) + pairs % len(number), return_counts=True)
+                    names = pa.concat_arrays([scopes.dictionary, pa.nulls(1, scopes.dictionary.type)])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(keys // len(number))), pa.array(list(number), pa.string()).take(pa.array(keys % len(number))),
+                                                      pa.array(df.astype(np.int64))], names=["scope", "prefix", "df"])
+
+    return toks.select("scope", "toks").mapInArrow(count, PREFIXES).groupBy("scope", "prefix").agg((F.sum("df") * sign).alias("df"))
 
 
 def size_deltas(toks: DataFrame, sign: int = 1) -> DataFrame:
@@ -129,6 +163,7 @@ class BlockSearch:
             F.struct("n", (F.col("t") / F.when(F.col("n") != 0, F.col("n"))).alias("average")).alias("r")).scalar()
         self.n, self.average = total["n"], total["average"]
         self.frequencies = pin_small(self._frequencies())
+        self.wide = self.asked.few and len(self.asked.words) > MAX_PUSHED_PREFIXES
         self.candidates = self._reaches(first_homes)
 
     def _wanted_blocks(self) -> DataFrame:
@@ -189,6 +224,26 @@ class BlockSearch:
         weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((1 - B) + B * F.col("dl") / self.average))
         return counted.groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.round(F.sum(F.col("qtf") * weight), SCORE_DIGITS).alias("score"))
 
+    def _wide_scores(self) -> DataFrame:
+        """(query_id, doc_id, score): at least the best `limit` of each group of documents, every posting read once."""
+        sizes = self.corpus.sizes.agg(F.sum("n").alias("n"), F.sum("total").alias("t")).first()
+        known = {r["prefix"]: r["idf"] for r in self.frequencies.collect()}
+        idf = np.array([known.get(w, 0.0) for w in self.asked.words])
+        terms = text_scores.Terms.of(self.asked.counted, self.asked.words)
+        corpus = Corpus(self.corpus.blocks, pin_small(self.corpus.dead.distinct()), self.corpus.prefixes, self.corpus.sizes)
+        rows = live_postings(corpus).select("doc", "dl", "term", "tf")
+        if self.allowed is not None:
+            rows = rows.join(self.allowed.select("doc"), "doc", "left_semi")
+        group = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-(sizes["t"] or 0) // WIDE_TOKENS)))).cast("int")
+        average = (sizes["t"] or 0) / sizes["n"] if sizes["n"] else 1.0
+        rows = rows.select(group.alias("part"), "doc", "dl", "term", "tf")
+        doc, scored = rows.schema["doc"].dataType.simpleString(), None
+        for part in terms.passes(self.limit):
+            found = rows.groupBy("part").applyInArrow(text_scores.posting_scorer(part, idf, average, self.limit, K1, B, SCORE_DIGITS),
+                                                      f"query_id long, doc_id {doc}, score double")
+            scored = found if scored is None else scored.unionByName(found)
+        return scored
+
     def _top(self, scores: DataFrame) -> DataFrame:
         return top_per_group(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], self.limit)
 
@@ -204,6 +259,8 @@ class BlockSearch:
 
     def hits(self) -> DataFrame:
         """(query_id, doc_id, score, rank): as the sum over all postings gives them."""
+        if self.wide:
+            return self._top(self._wide_scores())
         first = self.first_hits()
         return self._top(first.unionByName(self._top(self._scores(self.second_blocks(first))).drop("rank")))
 

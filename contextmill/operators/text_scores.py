@@ -121,16 +121,9 @@ class Terms:
                 toks = batch.column(1)
                 lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 coded = toks.flatten().dictionary_encode()
-                hits = [find(w) for w in coded.dictionary.to_pylist()]
-                many = np.array([len(h) for h in hits], dtype=np.int64)
-                flat = np.array([p for h in hits for p in h], dtype=np.int64)
-                first = np.cumsum(many) - many
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                rows = np.repeat(np.arange(batch.num_rows), lengths)
-                n = many[codes] if len(codes) else np.zeros(0, np.int64)
-                rows, start = np.repeat(rows, n), np.repeat(first[codes] if len(codes) else n, n)
-                inside = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                f = np.bincount(rows * size + flat[start + inside], minlength=batch.num_rows * size) if len(rows) else np.zeros(batch.num_rows * size, np.int64)
+                at, prefix = _positions(coded.indices.to_numpy(zero_copy_only=False), [find(w) for w in coded.dictionary.to_pylist()])
+                rows = np.repeat(np.arange(batch.num_rows), lengths)[at]
+                f = np.bincount(rows * size + prefix, minlength=batch.num_rows * size)
                 yield batch.column(0), toks.is_valid().to_numpy(zero_copy_only=False), lengths, f.reshape(batch.num_rows, size)
 
 
@@ -180,6 +173,74 @@ def _scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b:
     return score
 
 
+# --- postings ----------------------------------------------------------------------------------
+
+def counted_words(toks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(lengths, row, code, words, tf): distinct words per row of token lists, as numbers into words."""
+    lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = toks.flatten().dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    key = np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique(key, return_counts=True)
+    return lengths, pairs // size, pairs % size, coded.dictionary, tf
+
+
+def expanded(row: np.ndarray, code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row position, number): every number that belongs to the code of a row, once per row of the input."""
+    at, number = _positions(code, own)
+    return row[at], number
+
+
+def _positions(code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    many = np.array([len(h) for h in own], dtype=np.int64)
+    flat = np.array([p for h in own for p in h], dtype=np.int64)
+    n = many[code] if len(code) else np.zeros(0, np.int64)
+    start = (np.cumsum(many) - many)[code] if len(code) else n
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(code)), n), flat[np.repeat(start, n) + inside] if len(flat) else np.zeros(0, np.int64)
+
+
+def posting_scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int):
+    """Best k documents per request of a group of whole documents, from postings (part, doc, dl, term, tf)."""
+    size = len(terms.words)
+    step = max(1, MAX_MATRIX_BYTES // (8 * max(size, len(terms.prefix))))
+
+    def score(postings: pa.Table) -> pa.Table:
+        docs = postings["doc"].combine_chunks().dictionary_encode()
+        coded = postings["term"].combine_chunks().dictionary_encode()
+        find = terms.finder()
+        at, prefix = _positions(coded.indices.to_numpy(zero_copy_only=False), [find(w) for w in coded.dictionary.to_pylist()])
+        doc, dl, tf = docs.indices.to_numpy(zero_copy_only=False)[at].astype(np.int64), postings["dl"].to_numpy()[at].astype(np.int64), postings["tf"].to_numpy()[at]
+        # documents are (id, length); an id's lengths are added up as scores
+        order = np.lexsort((dl, doc))
+        doc, dl, tf, prefix = doc[order], dl[order], tf[order], prefix[order]
+        fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(dl) != 0)) if len(doc) else np.zeros(0, bool)
+        unit, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        first_of_doc = np.append(True, np.diff(doc[heads]) != 0) if len(heads) else np.zeros(0, bool)
+        top, low = BestRows(len(terms.query_ids), k, docs.dictionary.type), 0
+        while low < len(heads):
+            high = min(low + step, len(heads))
+            while high < len(heads) and not first_of_doc[high]:
+                high += 1
+            a, z = heads[low], heads[high] if high < len(heads) else len(doc)
+            f = np.bincount((unit[a:z] - low) * size + prefix[a:z], weights=tf[a:z], minlength=(high - low) * size).reshape(-1, size).T
+            weight = idf[:, None] * f * (k1 + 1) / (f + (k1 * ((1 - b) + b * dl[heads[low:high]] / average))[None, :])
+            exact = np.add.reduceat(weight[terms.prefix] * terms.qtf[:, None], terms.starts, axis=0)
+            firsts = np.flatnonzero(first_of_doc[low:high])
+            exact = np.add.reduceat(exact, firsts, axis=1)
+            ids = docs.dictionary.take(pa.array(doc[heads[low:high]][firsts]))
+            scores = np.round(exact, digits)
+            q, r = np.nonzero((exact > 0) & top.wanted(scores, ids))
+            if len(q):
+                top.add(q, scores[q, r], ids.take(pa.array(r)))
+            low = high
+        found = list(top.rows(terms.query_ids, ["query_id", "doc_id", "score"]))
+        kinds = pa.schema([("query_id", pa.int64()), ("doc_id", docs.dictionary.type), ("score", pa.float64())])
+        return pa.Table.from_batches(found, kinds) if found else kinds.empty_table()
+
+    return score
+
+
 # --- substrings --------------------------------------------------------------------------------
 
 EQUAL, PREFIX, INSIDE, ELSEWHERE = 10.0, 5.0, 3.0, 1.0
