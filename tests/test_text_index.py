@@ -96,6 +96,21 @@ def test_blocks_below_the_kth_score_are_not_read(spark, tmp_path):
     assert 0 < read < 0.25 * every
 
 
+def test_a_wide_batch_opens_every_posting_once(spark, tmp_path, asked, monkeypatch):
+    monkeypatch.setattr(pb, "MAX_PUSHED_PREFIXES", 3)
+    monkeypatch.setattr(pb, "WIDE_TOKENS", 300)
+    old, docs = corpus(21, 40), corpus(22, 120)
+    index = TextSegments(spark, str(tmp_path / "ix"), home_docs=20, block_rows=8)
+    index.apply(rows(spark, old, T[0], units=50).unionByName(rows(spark, docs[40:], T[0], units=200)))
+    index.apply(rows(spark, docs[:40], T[1], units=50), rows(spark, old, T[0], units=50))
+    search = pb.BlockSearch(index.snapshot(), asked, 5)
+    found = search.hits()
+    assert answers(found) == full(spark, docs, asked, 5)
+    # before, a row per request and block was joined with the postings; now groups of documents answer all requests
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "max_tf" not in plan
+
+
 def test_search_reads_no_texts_and_prunes_terms(spark, tmp_path):
     index = TextSegments(spark, str(tmp_path / "ix"))
     index.apply(rows(spark, corpus(9, 50), T[0]))
