@@ -69,9 +69,9 @@ class TextSegments:
 
     def _write_blocks(self, segment: str, postings: DataFrame, docs: int, average: float) -> None:
         blocks = pb.make_blocks(postings, docs, average, self.home_docs, self.block_rows)
-        # clustered by term: a prefix reads few row groups, and a frequent term is spread over files by its buckets
-        keys = ["scope", "term", "bucket", "block"]
-        self._write(segment, "blocks", blocks.repartitionByRange(*keys).sortWithinPartitions(*keys))
+        # dealt by (scope, bucket, term) as they were made, so a frequent term is spread over files; sorted by term in a file, so a
+        # prefix reads few pages. Ranges over all files would make every block twice, once only to find their bounds
+        self._write(segment, "blocks", blocks.sortWithinPartitions("scope", "term", "bucket", "block"))
 
     def _commit(self, segment: str, replaces: list[str]) -> None:
         row = self.spark.createDataFrame([(segment, replaces)], "id string, replaces array<string>")

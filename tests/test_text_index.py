@@ -111,6 +111,16 @@ def test_a_wide_batch_opens_every_posting_once(spark, tmp_path, asked, monkeypat
     assert "FlatMapGroupsInArrow" in plan and "max_tf" not in plan
 
 
+def test_blocks_are_written_as_they_were_dealt(spark, tmp_path, monkeypatch):
+    plans, index = [], TextSegments(spark, str(tmp_path / "ix"), home_docs=20, block_rows=8)
+    plain = index._write
+    monkeypatch.setattr(index, "_write", lambda segment, part, df: (plans.append((part, df._jdf.queryExecution().executedPlan().toString())), plain(segment, part, df)))
+    index.apply(rows(spark, corpus(23, 60), T[0]))
+    plan = dict(plans)["blocks"].split("InMemoryTableScan")[0]
+    # before, ranges were sampled first, for which every block was made once more
+    assert "rangepartitioning" not in plan and plan.count("Exchange") == 1
+
+
 def test_search_reads_no_texts_and_prunes_terms(spark, tmp_path):
     index = TextSegments(spark, str(tmp_path / "ix"))
     index.apply(rows(spark, corpus(9, 50), T[0]))
