@@ -81,7 +81,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = texts(spark, sf_dir)
     vecs = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return items.join(vecs, "query_id", "left")
+    # the other vectors stay in their scan
+    return items.join(vecs.join(items.select("query_id"), "query_id", "left_semi"), "query_id", "left")
 
 
 def request_terms_sql(source: str = "benchmark", id_col: str = "item_id", text: str = "text") -> str:
