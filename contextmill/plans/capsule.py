@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import relative_path, token_estimate
 from ..operators import fusion, knn, lexical, packing
-from ..session import pin_small
+from ..session import MAX_PINNED_ROWS, pin_small
 
 # Defaults of the capsule request.
 CAPSULE_LIMIT = 30
@@ -23,6 +23,15 @@ def symbol_key() -> Column:
     return F.concat_ws("|", "file", "name", "kind")
 
 
+def pinned_hits(hits: DataFrame, rows: DataFrame, requests: DataFrame, per_request: int, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(hits, rows): the hits of a counted number of requests go to the scan of the rows they name, of which only those
+    remain, so that no text is shuffled to meet them. Hits of more requests are joined by shuffle, and not found twice."""
+    if requests.count() * per_request > MAX_PINNED_ROWS:
+        return hits, rows
+    hits = pin_small(hits)
+    return hits, rows.join(hits.select(key), key, "left_semi")
+
+
 def hybrid_candidates(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
                       dims: int, fallback: bool = False, text_hits: DataFrame | None = None) -> DataFrame:
     """Keyed candidates (query_id, id, key, score, rank, leg) of the text and the vector leg.
@@ -41,7 +50,8 @@ def hybrid_candidates(symbols: DataFrame, vectors: DataFrame, requests: DataFram
     text = text.withColumnRenamed("doc_id", "id")
     near = knn.knn(vectors, requests, 2 * limit, dims)
     vector = near.withColumnRenamed("vec_id", "id").withColumnRenamed("similarity", "score")
-    return fusion.legs(text, vector).join(symbols.select("id", symbol_key().alias("key")), "id")
+    found, named = pinned_hits(fusion.legs(text, vector), symbols, requests, lexical.CANDIDATES + 2 * limit)
+    return found.join(named.select("id", symbol_key().alias("key")), "id")
 
 
 def hybrid_search(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, limit: int,
@@ -52,12 +62,19 @@ def hybrid_search(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, l
 
 def prepare_hits(ranked: DataFrame, symbols: DataFrame, requests: DataFrame, returned: DataFrame,
                  summaries: DataFrame) -> DataFrame:
-    """Ranked ids joined with what packing needs. requests adds session_id, mode, token_budget, root."""
+    """Ranked ids joined with what packing needs. requests adds session_id, mode, token_budget, root.
+
+    Of what was returned before and of the summaries, only rows about the files of few hits leave their scans.
+    """
+    ranked, symbols = pinned_hits(ranked, symbols, requests, CAPSULE_LIMIT)
     wide = symbols.select("id", "name", "kind", "file", "project_path", "start_line", "end_line",
                           "code", "source", "skeleton")
     hits = (ranked.join(wide, "id")
             .join(requests.select("query_id", "session_id", "mode", "token_budget", "root"), "query_id"))
-    hits = packing.attach_summaries(packing.mark_returned(hits, returned), summaries)
+    sent = returned.select("session_id", "file", "name", "start_line").distinct()
+    files, sent = pinned_hits(hits.select("file").distinct(), sent, requests, CAPSULE_LIMIT, "file")
+    _, summaries = pinned_hits(files, summaries, requests, CAPSULE_LIMIT, "file")
+    hits = packing.attach_summaries(packing.mark_returned(hits, pin_small(sent)), summaries)
     return hits.withColumn("out_file", relative_path("file", "root"))
 
 

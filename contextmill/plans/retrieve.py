@@ -9,7 +9,7 @@ from ..functions.scalars import blank_to_null, escape_xml, relative_path, token_
 from ..operators import lexical, packing
 from ..operators.ordered import first_per_group
 from ..session import pin_small
-from .capsule import hybrid_search
+from .capsule import hybrid_search, pinned_hits
 
 # Defaults of the retrieve request.
 RETRIEVE_LIMIT = 10
@@ -28,8 +28,9 @@ def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, ret
                 text_hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, skipped): content of the best hits, and the hits the session already has."""
     ranked = hybrid_search(symbols, vectors, requests, 2 * limit, dims, fallback, text_hits)
+    ranked, symbols = pinned_hits(ranked.where(F.col("rank") <= limit), symbols, requests, limit)
     wide = symbols.select("id", "name", "kind", "file", "start_line", "code", "source", "skeleton")
-    hits = (ranked.where(F.col("rank") <= limit).join(wide, "id")
+    hits = (ranked.join(wide, "id")
             .join(requests.select("query_id", "session_id", "mode", "root"), "query_id"))
     hits = packing.mark_returned(hits, returned)
     has_content = F.concat_ws("", "skeleton", "code", "source") != ""
@@ -53,8 +54,8 @@ def code_chunks(symbols: DataFrame, vectors: DataFrame, requests: DataFrame, ret
 def doc_chunks_for(chunks: DataFrame, requests: DataFrame, limit: int, doc_hits: DataFrame | None = None) -> DataFrame:
     """Best document chunks per request: by the given hits (query_id, doc_id, score, rank), else by text with its raw score."""
     ranked = lexical.bm25_search(chunks, requests, "chunk_id", F.concat_ws(" ", "title", "content"), limit) if doc_hits is None else doc_hits
-    ranked = ranked.where(F.col("rank") <= limit)
-    rows = ranked.join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id")
+    ranked, wide = pinned_hits(ranked.where(F.col("rank") <= limit), chunks.withColumnRenamed("chunk_id", "doc_id"), requests, limit, "doc_id")
+    rows = ranked.join(wide, "doc_id")
     score = F.when(F.col("score") > 0, F.col("score")).otherwise(F.lit(DOC_FALLBACK_SCORE))
     return rows.select("query_id", F.lit("doc").alias("type"), F.col("title").alias("name"),
                        F.lit("documentation").alias("kind"), F.col("path").alias("file"), score.alias("score"),
