@@ -256,7 +256,8 @@ SELECT query_id, results, deduped, tokens_used, symbol_baseline_tokens, dedup_to
 FROM agg LEFT JOIN filebase USING (query_id)""")
 def capsule_savings(spark: SparkSession, sf: str) -> DataFrame:
     inputs = capsule_inputs(spark, sf)
-    packed = plan.capsule(**inputs, dims=DIMS)
+    # both sums need numbers of a hit only, so the capsules are made once and no text is kept
+    packed = pin_small(plan.capsule(**inputs, dims=DIMS).select("query_id", "file", "sent", "skipped", "tokens", "baseline"))
     return packing.pack_savings(packed, plan.file_tokens(inputs["symbols"]))
 
 

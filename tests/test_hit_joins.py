@@ -63,6 +63,11 @@ def test_texts_meet_the_hits_in_their_scan(spark, sf_dir, large, name):
     assert all("id#" not in line and "doc_id#" not in line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftSemi" not in line)
 
 
+def test_savings_make_the_capsules_once(spark, sf_dir, large):
+    plan = plan_of(QUERIES["capsule_savings"](spark, sf_dir))
+    assert "Window" not in plan and plan.count("SortMergeJoin") <= 1
+
+
 def test_chunks_of_a_retrieval_meet_the_hits_in_their_scan(spark, large):
     given = inputs(spark)
     docs = given["symbols"].select(F.col("id").alias("chunk_id"), F.col("name").alias("title"), F.col("code").alias("content"), F.col("file").alias("path"))
