@@ -55,7 +55,7 @@ def test_repeated_ids_come_once_per_row(spark):
     assert sorted(r["id"] for r in hits.collect()) == [3, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["capsule_pack"])
+@pytest.mark.parametrize("name", ["capsule_pack", "mode_select"])
 def test_texts_meet_the_hits_in_their_scan(spark, sf_dir, large, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     # what is left to shuffles are the hits and the summaries of their files
