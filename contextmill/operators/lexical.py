@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import prefix_terms, query_terms, tokens
-from ..session import MAX_PINNED_ROWS
+from ..session import MAX_PINNED_ROWS, pin_small
 from . import text_scores
 from .ordered import top_per_group
 from .rowwise import pinned
@@ -156,26 +156,54 @@ def bm25_search(docs: DataFrame, requests: DataFrame, id_col: str, text: Column,
                 limit: int = CANDIDATES) -> DataFrame:
     """Batched BM25 over an unindexed collection.
 
-    Requests of a counted number are scored inside the scan. More of them than that, and collections in which an id
-    repeats (the rows of an id of one length count as one document), are joined with the requests.
+    Requests of a counted number are scored inside the scan, apart from ids that repeat (see bm25_repeats). More requests
+    than that are joined with the documents.
     """
     asked = Asked.of(requests)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("toks"))
     if asked.few and asked.words and str(toks.schema["doc_id"].dataType.simpleString()) in ("int", "bigint", "string"):
         terms = text_scores.Terms.of(asked.counted, asked.words)
         found = text_scores.counts(toks, terms)
-        if found.get(text_scores.IDS, 0) <= 1:
-            return bm25_scan(toks, terms, found, limit)
+        return bm25_scan(toks, terms, found, limit) if found.get(text_scores.IDS, 0) <= 1 else bm25_repeats(toks, terms, found, limit)
     matches = scan_matches(toks, asked)
     return bm25_rank(bm25_weights(matches, corpus_totals(toks), asked.few), asked.terms, limit)
 
 
 def bm25_scan(toks: DataFrame, terms: text_scores.Terms, found: dict[int, int], limit: int) -> DataFrame:
     """bm25_search from (doc_id, toks) with distinct ids and their counts."""
+    idf, average = idf_and_length(terms, found)
+    scored = text_scores.best(toks, terms, idf, average, limit, K1, B, SCORE_DIGITS)
+    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit)
+
+
+def idf_and_length(terms: text_scores.Terms, found: dict[int, int]) -> tuple[np.ndarray, float]:
     n, df = found[text_scores.DOCS], np.array([found[i] for i in range(len(terms.words))], dtype=np.float64)
     average = found[text_scores.TOKENS] / max(found[text_scores.MEASURED], 1)
-    idf = np.maximum(np.log(np.maximum(n - df + 0.5, 0.5) / (df + 0.5)), MIN_IDF)
-    scored = text_scores.best(toks, terms, idf, average or 1.0, limit, K1, B, SCORE_DIGITS)
+    return np.maximum(np.log(np.maximum(n - df + 0.5, 0.5) / (df + 0.5)), MIN_IDF), average or 1.0
+
+
+def bm25_repeats(toks: DataFrame, terms: text_scores.Terms, found: dict[int, int], limit: int) -> DataFrame:
+    """bm25_scan for ids that repeat: the rows of an id of one length count as one document, an id's documents add up.
+
+    Only rows of repeated ids are grouped, as counts per prefix. Where more ids repeat than can be pinned, all rows are.
+    """
+    ids = toks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated"))
+    counted = ids.limit(MAX_PINNED_ROWS + 1).toArrow()
+    if counted.num_rows <= MAX_PINNED_ROWS:
+        named = F.broadcast(toks.sparkSession.createDataFrame(counted, ids.schema))
+        same = F.col("doc_id").eqNullSafe(F.col("repeated"))
+        once = toks.join(named, same, "left_anti")
+        rows = pin_small(text_scores.matches(toks.join(named, same, "left_semi"), terms))
+    else:
+        once, rows = None, text_scores.matches(toks, terms)
+    # found has every row as a document
+    found = dict(found)
+    for r in rows.groupBy("prefix").agg(F.count("*").alias("documents"), F.sum("rows").alias("rows")).collect():
+        found[r["prefix"]] += r["documents"] - r["rows"]
+    idf, average = idf_and_length(terms, found)
+    scored = text_scores.best_repeated(rows, terms, idf, average, limit, K1, B, SCORE_DIGITS)
+    if once is not None:
+        scored = scored.unionByName(text_scores.best(once, terms, idf, average, limit, K1, B, SCORE_DIGITS))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit)
 
 

@@ -173,6 +173,56 @@ def _scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b:
     return score
 
 
+def matches(toks: DataFrame, terms: Terms) -> DataFrame:
+    """(doc_id, dl, prefix, f, rows): how often the numbered prefixes occur in the rows of one id and length, and in how many."""
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, lengths, f in terms.frequencies(batches):
+            r, p = np.nonzero(f)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(lengths[r]), pa.array(p.astype(np.int32)), pa.array(f[r, p].astype(np.int64))],
+                                             names=["doc_id", "dl", "prefix", "f"])
+
+    rows = toks.mapInArrow(match, f"doc_id {toks.schema['doc_id'].dataType.simpleString()}, dl long, prefix int, f long")
+    return rows.groupBy("doc_id", "dl", "prefix").agg(F.sum("f").alias("f"), F.count("*").alias("rows"))
+
+
+def best_repeated(rows: DataFrame, terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int) -> DataFrame:
+    """As best, from matches: the weights of an id's lengths are added up, so an id has one row and at most all prefixes in it."""
+    known = rows.sparkSession.createDataFrame(pa.table({"prefix": pa.array(np.arange(len(idf), dtype=np.int32)), "idf": pa.array(idf)}), "prefix int, idf double")
+    f = F.col("f")
+    weight = F.col("idf") * f * (k1 + 1) / (f + k1 * ((1 - b) + b * F.col("dl") / average))
+    added = rows.join(F.broadcast(known), "prefix").groupBy("doc_id", "prefix").agg(F.sum(weight).alias("weight"))
+    whole = added.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "weight")).alias("weights"))
+    scored = None
+    for part in terms.passes(k):
+        found = whole.mapInArrow(_weight_scorer(part, k, digits), f"query_id long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+        scored = found if scored is None else scored.unionByName(found)
+    return scored
+
+
+def _weight_scorer(terms: Terms, k: int, digits: int):
+    size = len(terms.words)
+    step = max(1, MAX_MATRIX_BYTES // (8 * max(size, len(terms.prefix), 1)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            ids, lists = batch.column(0), batch.column(1)
+            top = top or BestRows(len(terms.query_ids), k, ids.type)
+            own = lists.flatten()
+            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            weight = np.zeros((size, batch.num_rows))
+            weight[own.field(0).to_numpy(), rows] = own.field(1).to_numpy()
+            exact = np.add.reduceat(weight[terms.prefix] * terms.qtf[:, None], terms.starts, axis=0)
+            scores = np.round(exact, digits)
+            q, r = np.nonzero((exact > 0) & top.wanted(scores, ids))
+            if len(q):
+                top.add(q, scores[q, r], ids.take(pa.array(r)))
+        if top is not None:
+            yield from top.rows(terms.query_ids, ["query_id", "doc_id", "score"])
+
+    return score
+
+
 # --- postings ----------------------------------------------------------------------------------
 
 def counted_words(toks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:

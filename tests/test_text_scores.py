@@ -40,6 +40,20 @@ def test_repeated_ids_add_up(spark):
     assert answers(found) == answers(joined(docs, req, 5)) and found.count() == 2
 
 
+@pytest.mark.parametrize("kind, pinned", [("long", 200), ("string", 200), ("int", 0), ("string", 0)])
+def test_a_repeated_id_does_not_join_all_documents_with_requests(spark, monkeypatch, kind, pinned):
+    rows = some_docs(300) + [(i, t) for i, t in some_docs(60) if i % 2] + [(5, "al alpha"), (5, "al alpha beta"), (None, "al x1"), (None, "gamma"), (None, "x1")]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("id", F.col("id").cast(kind)).repartition(3)
+    req = spark.createDataFrame([(1, "al beta al"), (2, "gamma zzz"), (3, "x1 g"), (4, None)], "query_id long, text string")
+    expected = sorted(map(str, joined(docs, req, 9).collect()))
+    asked = lexical.Asked.of(req)
+    monkeypatch.setattr(lexical.Asked, "of", lambda requests: asked)
+    monkeypatch.setattr(lexical, "MAX_PINNED_ROWS", pinned)
+    # before, one repeated id joined every match of every document with the requests
+    monkeypatch.setattr(lexical, "bm25_rank", None)
+    assert sorted(map(str, lexical.bm25_search(docs, req, "id", F.col("text"), 9).collect())) == expected
+
+
 def test_rows_that_leave_the_scan_do_not_grow_with_the_documents(spark):
     req = spark.createDataFrame([(q, "al b g x") for q in range(20)], "query_id long, text string")
     asked = lexical.Asked.of(req)
