@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Bytes of text that a task turns into Python objects at once; a batch of Arrow can be a whole partition.
+SLICE_BYTES = 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,6 +54,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose column number text takes at most so many bytes (SLICE_BYTES); a longer text comes alone. Nothing is copied."""
+    most = SLICE_BYTES if most is None else most
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(sizes, dtype=np.int64), 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def parts_of(total_bytes: int | None, bound: int) -> int:
     """How many passes keep what each of them broadcasts within bound bytes."""
     return max(1, -(-int(total_bytes or 0) // bound))

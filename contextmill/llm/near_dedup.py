@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..plans.catalogue import Catalogue
-from .common import cut, table
+from .common import cut, slices, table
 
 CATALOGUE = Catalogue()
 WORDS, SIMILARITY = 5, 0.8
@@ -35,7 +35,7 @@ COMPONENTS = BANDS * ROWS
 #: Components, of one bit each, of the sketch that pairs are screened by after the first round.
 SKETCH_BITS = 2048
 #: What a task hashes at once: so many bytes of texts, and so many components of their signatures or sketches.
-BLOCK_BYTES, BLOCK_COMPONENTS = 1 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_COMPONENTS = 1 << 18, 1 << 18
 #: So many times more leaders lead a bucket in each round.
 GROWTH = 32
 #: Members of an undecided bucket that meet its leaders in one task.
@@ -194,7 +194,7 @@ def node_type(texts: DataFrame) -> str:
 def sketches(texts: DataFrame) -> DataFrame:
     """(rep, sketch) of (doc_id, text), once for each node."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for start, part in _blocks(data, SKETCH_BITS):
                 bags = shingles(part)
@@ -210,7 +210,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = documents.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for start, texts in _blocks(data, COMPONENTS):
                 n = len(texts)
@@ -236,7 +236,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = W
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, 1):
             data = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for start, part in _blocks(data, COMPONENTS):
                 nodes = _nodes(batch.column(0).slice(start, len(part)), _digests(*shingles(part, words), len(part)))

@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import StructType
 
 from ..plans.catalogue import Catalogue
-from .common import cut, table
+from .common import SLICE_BYTES, cut, slices, table
 
 CATALOGUE = Catalogue()
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 #: Bytes of text worked on at once; longer documents are worked on alone.
 BLOCK_BYTES = 1 << 17
+#: Bytes of packed texts unpacked at once.
+PACKED_BYTES = SLICE_BYTES // 4
 #: A document key takes 16 bytes; up to this many are broadcast to pick shared documents in the scan, more are joined by shuffle.
 MAX_BROADCAST_KEYS = 2_000_000
 #: Ways to lay a string around its anchor: the bytes before it number STEP * way up to STEP * (way + 1).
@@ -180,7 +182,7 @@ def anchors_of(docs: DataFrame, kind: str) -> DataFrame:
     """(bucket, refined, sides, doc_id, place): every anchor but repeats inside its document. place holds the tag above the offset;
     sides tells for each way to lay a string around the anchor what its strings have in common."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             tags = batch.column(1).to_numpy().astype(np.int64)
             for start, b in _blocks(_bytes_of(batch.column(2))):
                 if not len(b.anchors):
@@ -268,7 +270,7 @@ def compared(docs: DataFrame, kind: str) -> DataFrame:
     an earlier one is known already."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 2, PACKED_BYTES):
             tags = batch.column(1).to_numpy().astype(np.int64)
             texts = [unpack.decompress(z) for z in batch.column(2).to_pylist()]
             marks = batch.column(3)
@@ -382,7 +384,7 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(t) for t in _bytes_of(batch.column(2))], pa.binary()),
                                               *batch.columns[3:]], names=["doc_id", "tag", "packed", *batch.schema.names[3:]])
 
@@ -401,7 +403,7 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def finish_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 2):
             data = _bytes_of(batch.column(2))
             for start, b in _blocks(data):
                 n = len(b.sizes)
@@ -411,7 +413,7 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def finish_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 2, PACKED_BYTES):
             data = [unpack.decompress(z) for z in batch.column(2).to_pylist()]
             marks, found = batch.column(3), batch.column(4)
             for start, b in _blocks(data):
