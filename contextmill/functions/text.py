@@ -14,6 +14,11 @@ def tokens(text: ColumnLike) -> Column:
     return F.array_remove(F.split(F.lower(as_col(text)), TOKEN_SEPARATOR), "")
 
 
+def spaced_tokens(text: ColumnLike) -> Column:
+    """tokens(text) in one string, between blanks; blanks may also begin or end it."""
+    return F.regexp_replace(F.lower(as_col(text)), TOKEN_SEPARATOR, " ")
+
+
 def query_terms(query: ColumnLike) -> Column:
     """Lower-case blank-separated terms of a query, punctuation kept."""
     return F.array_remove(F.split(F.lower(as_col(query)), r"\s+"), "")

@@ -225,20 +225,63 @@ def _weight_scorer(terms: Terms, k: int, digits: int):
 
 # --- postings ----------------------------------------------------------------------------------
 
-def counted_words(toks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """(lengths, row, code, words, tf): distinct words per row of token lists, as numbers into words."""
-    lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = toks.flatten().dictionary_encode()
-    size = max(len(coded.dictionary), 1)
-    key = np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False)
-    pairs, tf = np.unique(key, return_counts=True)
-    return lengths, pairs // size, pairs % size, coded.dictionary, tf
-
-
-def expanded(row: np.ndarray, code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row position, number): every number that belongs to the code of a row, once per row of the input."""
-    at, number = _positions(code, own)
-    return row[at], number
+def blank_separated(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(lengths, row, code, words): the words between blanks of every text, as numbers into words."""
+    toks = pc.split_pattern(text, " ")
+    own = np.diff(toks.offsets.to_numpy())
+    coded = toks.values.slice(toks.offsets[0].as_py(), int(own.sum())).dictionary_encode()
+    row, code, words = np.repeat(np.arange(len(own)), own), coded.indices.to_numpy(), coded.dictionary
+    blank = pc.index(words, "").as_py()
+    if blank >= 0:
+        there = code != blank
+        row, code = row[there], code[there]
+        words, code = pa.concat_arrays([words.slice(0, blank), words.slice(blank + 1)]), code - (code > blank)
+    return np.bincount(row, minlength=len(own)), row, code, words
+
+
+def numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): rows with equal columns have one number; first is where it first occurs."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        _, first, key = np.unique(key * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_index=True, return_inverse=True)
+    return first, key
+
+
+def prefix_documents(terms: pa.Array, term: np.ndarray, slot: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(many, df): for sorted terms and their pairs (term, slot), in how many slots the prefixes of up to `longest` characters
+    occur. A prefix stands with the first term that has it: many says how many of them each term is the first to have, the
+    longest ones of its prefixes.
+
+    In a slot, a term adds those of its prefixes that it does not share with the term before in that slot. So a prefix occurs
+    in as many slots as there are pairs whose term has it and shares fewer characters with the one before.
+    """
+    n = len(terms)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.array(terms.to_pylist(), dtype=f"U{longest}").view(np.uint32).reshape(n, longest)
+    length = (chars != 0).sum(axis=1)
+    same = (chars[1:] == chars[:-1]) & (chars[1:] != 0)
+    shared = np.append(0, np.where(same.all(axis=1), longest, same.argmin(axis=1))).astype(np.int8)
+    # least[k][i]: what the terms i - 1 to i - 1 + 2^k share
+    least = [shared]
+    while 1 << len(least) < n:
+        half = 1 << (len(least) - 1)
+        least.append(np.append(np.minimum(least[-1][:-half], least[-1][half:]), least[-1][-half:]))
+    order = np.argsort(slot.astype(np.uint16) if len(slot) and slot.max() < 1 << 16 else slot, kind="stable")
+    now, before = term[order], np.append(-1, term[order][:-1])
+    fresh = np.append(True, np.diff(slot[order]) != 0)
+    span = np.where(fresh, 1, now - before)
+    k = np.frexp(span.astype(np.float64))[1] - 1
+    table = np.stack(least)
+    common = np.where(fresh, 0, np.minimum(table[k, np.where(fresh, 0, before + 1)], table[k, now - (1 << k) + 1]))
+    below = np.bincount(common.astype(np.int64) * n + now, minlength=(longest + 1) * n).astype(np.int32).reshape(longest + 1, n).cumsum(axis=0, dtype=np.int32)
+    found = np.zeros((longest, n), np.int32)
+    for size in range(1, int(length.max()) + 1):
+        starts = np.flatnonzero(shared < size)
+        found[size - 1, starts] = np.add.reduceat(below[size - 1], starts)
+    sizes = np.arange(1, longest + 1)
+    return length - shared, found.T[(shared[:, None] < sizes) & (sizes <= length[:, None])]
 
 
 def _positions(code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,44 +295,96 @@ def _positions(code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.n
 
 def posting_scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int):
     """Best k documents per request of a group of whole documents, from postings (part, doc, dl, term, tf)."""
-    size = len(terms.words)
-    step = max(1, MAX_MATRIX_BYTES // (8 * max(size, len(terms.prefix))))
-
     def score(postings: pa.Table) -> pa.Table:
-        docs = postings["doc"].combine_chunks().dictionary_encode()
-        coded = postings["term"].combine_chunks().dictionary_encode()
+        coded, dl = postings["term"].combine_chunks().dictionary_encode(), postings["dl"].to_numpy().astype(np.int64)
         find = terms.finder()
         at, prefix = _positions(coded.indices.to_numpy(zero_copy_only=False), [find(w) for w in coded.dictionary.to_pylist()])
-        doc, dl, tf = docs.indices.to_numpy(zero_copy_only=False)[at].astype(np.int64), postings["dl"].to_numpy()[at].astype(np.int64), postings["tf"].to_numpy()[at]
-        # documents are (id, length); an id's lengths are added up as scores
-        order = np.lexsort((dl, doc))
-        doc, dl, tf, prefix = doc[order], dl[order], tf[order], prefix[order]
-        fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(dl) != 0)) if len(doc) else np.zeros(0, bool)
-        unit, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-        first_of_doc = np.append(True, np.diff(doc[heads]) != 0) if len(heads) else np.zeros(0, bool)
-        top, low = BestRows(len(terms.query_ids), k, docs.dictionary.type), 0
-        while low < len(heads):
-            high = min(low + step, len(heads))
-            while high < len(heads) and not first_of_doc[high]:
+        units = _Units.of(postings["doc"].combine_chunks(), dl)
+        return units.best(terms, units.number[at], prefix, postings["tf"].to_numpy()[at], idf, average, k, k1, b, digits)
+
+    return score
+
+
+def home_scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int):
+    """Best k documents per request of a home, from its blocks (term, slots, tfs) and its documents (doc, with its one slot and
+    length in slots and tfs, and no term)."""
+    def score(rows: pa.Table) -> pa.Table:
+        listed = rows["term"].is_null()
+        docs, blocks = rows.filter(listed), rows.filter(pc.invert(listed))
+        units = _Units.of(docs["doc"].combine_chunks(), pc.list_flatten(docs["tfs"]).to_numpy().astype(np.int64))
+        at, prefix = _ranges(blocks["term"].combine_chunks(), terms.words)
+        slots, tfs = (pc.list_flatten(blocks[c]).to_numpy() for c in ("slots", "tfs"))
+        many = pc.list_value_length(blocks["slots"]).to_numpy().astype(np.int64)
+        own = pc.list_flatten(docs["slots"]).to_numpy()
+        unit = np.full(max(slots.max(initial=-1), own.max(initial=-1)) + 1, -1, np.int64)
+        unit[own] = units.number
+        n = many[at]
+        inside = np.arange(n.sum()) + np.repeat((np.cumsum(many) - many)[at] - (np.cumsum(n) - n), n)
+        found = unit[slots[inside]]
+        there = np.flatnonzero(found >= 0)
+        return units.best(terms, found[there], np.repeat(prefix, n)[there], tfs[inside[there]], idf, average, k, k1, b, digits)
+
+    return score
+
+
+def _ranges(words: pa.Array, prefixes: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(position of a word, number of a prefix it begins with): a prefix has a range of the sorted words."""
+    begin, end = pa.array(prefixes, words.type), pa.array([p + "\U0010ffff" for p in prefixes], words.type)
+    # sorting is stable: a prefix stands before an equal word
+    order = pc.sort_indices(pa.concat_arrays([begin, words, end])).to_numpy().astype(np.int64)
+    is_word = (order >= len(begin)) & (order < len(begin) + len(words))
+    sorted_words, rank = order[is_word] - len(begin), np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(is_word)
+    low, high = rank[:len(begin)], rank[len(begin) + len(words):]
+    n = high - low
+    return sorted_words[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)], np.repeat(np.arange(len(n)), n)
+
+
+@dataclass
+class _Units:
+    """Documents are (id, length), sorted by id; an id's lengths are added up as scores. number: of every row of the input."""
+
+    ids: pa.Array
+    doc: np.ndarray
+    dl: np.ndarray
+    number: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Array, dl: np.ndarray) -> "_Units":
+        coded = docs.dictionary_encode(null_encoding="encode")
+        doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keys, first, number = np.unique(doc * (dl.max(initial=0) + 1) + dl, return_index=True, return_inverse=True)
+        return cls(coded.dictionary, doc[first], dl[first], number)
+
+    def best(self, terms: Terms, unit: np.ndarray, prefix: np.ndarray, tf: np.ndarray, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int) -> pa.Table:
+        """Best k ids per request from postings (unit, prefix, tf)."""
+        size = len(terms.words)
+        step = max(1, MAX_MATRIX_BYTES // (8 * max(size, len(terms.prefix))))
+        order = np.argsort(unit.astype(np.uint16) if len(self.dl) <= 1 << 16 else unit, kind="stable")
+        unit, prefix, tf = unit[order], prefix[order], tf[order]
+        ends = np.append(0, np.cumsum(np.bincount(unit, minlength=len(self.dl))))
+        first_of_doc = np.append(True, np.diff(self.doc) != 0)
+        top, low = BestRows(len(terms.query_ids), k, self.ids.type), 0
+        while low < len(self.dl):
+            high = min(low + step, len(self.dl))
+            while high < len(self.dl) and not first_of_doc[high]:
                 high += 1
-            a, z = heads[low], heads[high] if high < len(heads) else len(doc)
+            a, z = ends[low], ends[high]
             f = np.bincount((unit[a:z] - low) * size + prefix[a:z], weights=tf[a:z], minlength=(high - low) * size).reshape(-1, size).T
-            weight = idf[:, None] * f * (k1 + 1) / (f + (k1 * ((1 - b) + b * dl[heads[low:high]] / average))[None, :])
+            weight = idf[:, None] * f * (k1 + 1) / (f + (k1 * ((1 - b) + b * self.dl[low:high] / average))[None, :])
             exact = np.add.reduceat(weight[terms.prefix] * terms.qtf[:, None], terms.starts, axis=0)
             firsts = np.flatnonzero(first_of_doc[low:high])
             exact = np.add.reduceat(exact, firsts, axis=1)
-            ids = docs.dictionary.take(pa.array(doc[heads[low:high]][firsts]))
+            ids = self.ids.take(pa.array(self.doc[low:high][firsts]))
             scores = np.round(exact, digits)
             q, r = np.nonzero((exact > 0) & top.wanted(scores, ids))
             if len(q):
                 top.add(q, scores[q, r], ids.take(pa.array(r)))
             low = high
         found = list(top.rows(terms.query_ids, ["query_id", "doc_id", "score"]))
-        kinds = pa.schema([("query_id", pa.int64()), ("doc_id", docs.dictionary.type), ("score", pa.float64())])
+        kinds = pa.schema([("query_id", pa.int64()), ("doc_id", self.ids.type), ("score", pa.float64())])
         return pa.Table.from_batches(found, kinds) if found else kinds.empty_table()
 
-    return score
-
 
 # --- substrings --------------------------------------------------------------------------------
 

@@ -15,7 +15,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import posting_blocks as pb
+from ..session import MAX_PINNED_ROWS
 
+#: Named by the form of the segments: an index of an older form counts as none, and Store.refresh_text builds it again.
+LOG = "commits-2"
 COMMITS = "id string, replaces array<string>, at timestamp_ntz"
 
 
@@ -31,12 +34,12 @@ class TextSegments:
 
     @property
     def _schemas(self) -> dict[str, str]:
-        return {"blocks": pb.blocks_ddl(self.doc_type), "dead": pb.UNIT_TYPES, "prefixes": pb.PREFIXES, "sizes": pb.SIZES, "units": pb.UNIT_TYPES}
+        return {"blocks": pb.blocks_ddl(self.doc_type), "dead": pb.UNIT_TYPES, "ended": pb.ENDED, "sizes": pb.SIZES, "units": pb.UNIT_TYPES}
 
     def segments(self) -> list[str]:
         """Ids in force: committed and not replaced. As many as batches since the last compaction."""
         try:
-            rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").orderBy("at", "id").collect()
+            rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/{LOG}").orderBy("at", "id").collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -54,8 +57,8 @@ class TextSegments:
     def snapshot(self, ids: list[str] | None = None) -> pb.Corpus:
         """The index as of now; later batches and compactions do not change it."""
         ids = self.segments() if ids is None else ids
-        blocks, dead, prefixes, sizes = (self._read(part, ids) for part in ("blocks", "dead", "prefixes", "sizes"))
-        return pb.Corpus(blocks, dead.drop("segment"), prefixes.drop("segment"), sizes.drop("segment"))
+        blocks, dead, ended, sizes = (self._read(part, ids) for part in ("blocks", "dead", "ended", "sizes"))
+        return pb.Corpus(blocks, dead.drop("segment"), ended.drop("segment"), sizes.drop("segment"))
 
     def units(self, ids: list[str] | None = None) -> DataFrame:
         """(scope, unit, version): what the index holds."""
@@ -63,40 +66,34 @@ class TextSegments:
         held, dead = (self._read(part, ids).drop("segment") for part in ("units", "dead"))
         return held.join(dead, pb.VERSION, "left_anti").distinct()
 
+    def _none(self, part: str) -> DataFrame:
+        return self.spark.createDataFrame([], self._schemas[part])
+
     def _write(self, segment: str, part: str, rows: DataFrame) -> None:
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], self._schemas[part]).schema])
         typed.write.parquet(f"{self.root}/{part}/segment={segment}")
 
-    def _write_blocks(self, segment: str, postings: DataFrame, docs: int, average: float) -> None:
-        blocks = pb.make_blocks(postings, docs, average, self.home_docs, self.block_rows)
-        # dealt by (scope, bucket, term) as they were made, so a frequent term is spread over files; sorted by term in a file, so a
-        # prefix reads few pages. Ranges over all files would make every block twice, once only to find their bounds
-        self._write(segment, "blocks", blocks.sortWithinPartitions("scope", "term", "bucket", "block"))
-
     def _commit(self, segment: str, replaces: list[str]) -> None:
         row = self.spark.createDataFrame([(segment, replaces)], "id string, replaces array<string>")
-        row.withColumn("at", F.current_timestamp().cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        row.withColumn("at", F.current_timestamp().cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{self.root}/{LOG}")
 
     def apply(self, added: DataFrame | None, removed: DataFrame | None = None) -> str:
         """Indexes documents (scope, unit, version, doc, text) and ends versions: removed has the documents they hold,
         with their texts, so that their counts can be taken back. Versions already held are not added again, and only
         versions held are taken back, so a batch may be repeated. Returns the segment's id."""
-        segment, held = uuid.uuid4().hex, self.units()
-        added = None if added is None else added.join(held, pb.VERSION, "left_anti")
-        removed = None if removed is None else removed.join(held, pb.VERSION, "left_semi")
-        empty = self.spark.createDataFrame([], f"{pb.UNIT_TYPES}, doc {self.doc_type}, toks array<string>")
-        # a batch is tokenised once for all parts of its segment
-        new = (empty if added is None else pb.tokenised(added)).persist()
-        old = (empty if removed is None else pb.tokenised(removed)).persist()
-        self._write(segment, "dead", old.select(*pb.VERSION).distinct())
-        self._write(segment, "prefixes", pb.prefix_deltas(new).unionByName(pb.prefix_deltas(old, -1)).groupBy("scope", "prefix").agg(
-            F.sum("df").alias("df")).where("df <> 0").sort("scope", "prefix"))
-        self._write(segment, "sizes", pb.size_deltas(new).unionByName(pb.size_deltas(old, -1)).coalesce(1))
-        self._write(segment, "units", new.select(*pb.VERSION).distinct())
-        size = new.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("a")).first()
-        self._write_blocks(segment, pb.posting_rows(new), size["n"], size["a"] or 1.0)
-        new.unpersist()
-        old.unpersist()
+        segment, ids = uuid.uuid4().hex, self.segments()
+        held = self.units(ids)
+        if added is not None and ids:
+            added = _without(added, held, "left_semi")
+        if removed is not None:
+            removed = _without(removed.dropna(subset=pb.VERSION), held, "left_anti") if ids else None
+        # a home's rows come out together and sorted by term, so a prefix reads few pages
+        self._write(segment, "blocks", self._none("blocks") if added is None else pb.make_blocks(added, self.home_docs, self.block_rows))
+        self._write(segment, "dead", self._none("dead") if removed is None else removed.select(*pb.VERSION).distinct())
+        self._write(segment, "ended", self._none("ended") if removed is None else pb.ended_counts(removed, self.home_docs))
+        blocks, ended = (self._read(part, [segment]) for part in ("blocks", "ended"))
+        self._write(segment, "sizes", pb.size_deltas(blocks, ended).coalesce(1))
+        self._write(segment, "units", pb.documents(blocks).select(*pb.VERSION).distinct())
         self._commit(segment, [])
         return segment
 
@@ -110,17 +107,18 @@ class TextSegments:
         sizes = now.sizes.groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
         total = sizes.agg(F.sum("n").alias("n"), F.sum("total").alias("t")).first()
         n = total["n"] or 0
-        self._write(segment, "dead", now.dead.limit(0))
+        # what ended is not among the postings, so nothing is to be taken back
+        self._write(segment, "dead", self._none("dead"))
+        self._write(segment, "ended", self._none("ended"))
         self._write(segment, "units", self.units(ids))
-        self._write(segment, "prefixes", now.prefixes.groupBy("scope", "prefix").agg(F.sum("df").alias("df")).where("df > 0").sort("scope", "prefix"))
         self._write(segment, "sizes", sizes.coalesce(1))
-        self._write_blocks(segment, pb.live_postings(now), n, (total["t"] or 0) / n if n else 1.0)
+        self._write(segment, "blocks", pb.remade_blocks(pb.live_postings(now), n, total["t"] or 0, self.home_docs, self.block_rows))
         self._commit(segment, ids)
         return segment
 
     def vacuum(self) -> list[str]:
         """Deletes the files of replaced segments; run it when no reader of an older snapshot is left. Commits stay."""
-        rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").collect() if self.segments() else []
+        rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/{LOG}").collect() if self.segments() else []
         gone = sorted({i for r in rows for i in r["replaces"]})
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for part in self._schemas:
@@ -132,3 +130,14 @@ class TextSegments:
     def search(self, requests: DataFrame, limit: int, scopes: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) over the current snapshot."""
         return pb.BlockSearch(self.snapshot().within(scopes), requests, limit, allowed).hits()
+
+
+def _without(rows: DataFrame, held: DataFrame, how: str) -> DataFrame:
+    """rows without those of their versions that join held in this way. The versions are found first, by their names alone, so
+    that texts are not shuffled to meet them unless there are many."""
+    versions = rows.select(*pb.VERSION).distinct().join(held, pb.VERSION, how)
+    found = versions.limit(MAX_PINNED_ROWS + 1).toArrow()
+    if found.num_rows == 0:
+        return rows
+    few = found.num_rows <= MAX_PINNED_ROWS
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, versions.schema)) if few else versions, pb.VERSION, "left_anti")

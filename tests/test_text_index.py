@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,52 @@ def test_blocks_are_written_as_they_were_dealt(spark, tmp_path, monkeypatch):
     assert "rangepartitioning" not in plan and plan.count("Exchange") == 1
 
 
+def test_only_texts_move_and_only_to_their_home(spark, tmp_path, monkeypatch):
+    plans, index = [], TextSegments(spark, str(tmp_path / "ix"), home_docs=20, block_rows=8)
+    plain = index._write
+    monkeypatch.setattr(index, "_write", lambda segment, part, df: (plans.append((part, df._jdf.queryExecution().executedPlan().toString())), plain(segment, part, df)))
+    docs = corpus(24, 60)
+    index.apply(rows(spark, docs, T[0]))
+    index.apply(rows(spark, corpus(25, 60, 100), T[1]), rows(spark, docs[:20], T[0]))
+    for part, plan in plans:
+        # before, every posting was shuffled with its unit and version, and texts of later batches met the held versions first
+        assert "Window" not in plan and "InMemoryTableScan" not in plan
+        if part in ("blocks", "ended"):
+            assert plan.count("Exchange") <= 1 and "Exchange hashpartitioning(term" not in plan
+
+
+def test_prefixes_of_a_home_are_counted_once_per_document():
+    r = random.Random(26)
+    words = ["".join(r.choice("ab\u00e9\U00010400") for _ in range(r.randrange(1, 7))) for _ in range(60)] + ["a" * 40, "a" * 41, "\u00f1"]
+    docs = [[r.choice(words) for _ in range(r.randrange(0, 30))] for _ in range(80)]
+    rows = pa.table({"unit": [str(i) for i in range(80)], "version": T[:1] * 80, "doc": list(range(80)), "text": [" " + " ".join(d) + " " * (i % 2) for i, d in enumerate(docs)]})
+    home = pb.Home.of_texts(rows)
+    many, df = home.prefix_counts()
+    terms, found, at = home.terms.to_pylist(), {}, 0
+    for term, n in zip(terms, many):
+        for size in range(min(len(term), pb.PREFIX_LENGTH) - n + 1, min(len(term), pb.PREFIX_LENGTH) + 1):
+            assert term[:size] not in found
+            found[term[:size]], at = df[at], at + 1
+    want = {}
+    for d in docs:
+        for p in {w[:n] for w in d for n in range(1, min(len(w), pb.PREFIX_LENGTH) + 1)}:
+            want[p] = want.get(p, 0) + 1
+    assert terms == sorted({w for d in docs for w in d}) and found == want and at == len(df)
+    assert sorted(zip(home.term, home.slot, home.tf)) == sorted(
+        (terms.index(w), home.first.tolist().index(i), d.count(w)) for i, d in enumerate(docs) for w in set(d))
+
+
+@pytest.mark.parametrize("pinned", [1000, 0])
+def test_a_document_of_several_segments_is_scored_whole(spark, tmp_path, asked, monkeypatch, pinned):
+    monkeypatch.setattr(pb, "MAX_PUSHED_PREFIXES", 3)
+    monkeypatch.setattr(pb, "MAX_PINNED_ROWS", pinned)
+    one, two = corpus(27, 50), [(i, t + " ax1 cz2") for i, t in corpus(28, 10, 45)]
+    index = TextSegments(spark, str(tmp_path / "ix"), home_docs=10, block_rows=8)
+    index.apply(rows(spark, one + one[:3], T[0]))
+    index.apply(rows(spark, two, T[1]).withColumn("unit", F.concat(F.lit("g"), "unit")))
+    assert answers(index.search(asked, 7)) == full(spark, one + one[:3] + two, asked, 7)
+
+
 def test_search_reads_no_texts_and_prunes_terms(spark, tmp_path):
     index = TextSegments(spark, str(tmp_path / "ix"))
     index.apply(rows(spark, corpus(9, 50), T[0]))
