@@ -39,7 +39,7 @@ from .ordered import top_per_group
 BLOCK_ROWS = 128
 HOME_DOCS = 4096
 #: Bytes of text of a home, on average. A task takes a few homes, one after the other.
-HOME_BYTES, HOMES_PER_TASK = 16 << 20, 4
+HOME_BYTES, HOMES_PER_TASK = 8 << 20, 8
 PREFIX_LENGTH = 32
 FIRST_HOMES = 8
 #: Tokens of the documents that a wide search scores at once where one document has rows in several homes.
@@ -99,15 +99,20 @@ class Home:
     def of(cls, first: np.ndarray, slot_of_row: np.ndarray, dl: np.ndarray, words: pa.Array, row: np.ndarray, code: np.ndarray, tf: np.ndarray | None) -> "Home":
         """From words (row, code of a word, frequency, or 1 each)."""
         order, size = pc.sort_indices(words).to_numpy(), max(len(first), 1)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32 if len(order) * size < 1 << 31 else np.int64)
         rank[order] = np.arange(len(order))
-        key = rank[code] * size + slot_of_row[row]
+        key = rank[code]
+        key *= size
+        key += slot_of_row.astype(key.dtype)[row]
         if tf is None:
-            pairs, added = np.unique(key, return_counts=True)
+            key.sort()
         else:
-            pairs, at = np.unique(key, return_inverse=True)
-            added = np.bincount(at, weights=tf, minlength=len(pairs))
-        return cls(first, np.bincount(slot_of_row, minlength=len(first)), dl[first], words.take(pa.array(order)), pairs // size, pairs % size, added.astype(np.int32))
+            at = np.argsort(key)
+            key, tf = key[at], tf[at]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        added = np.diff(np.append(heads, len(key))) if tf is None else np.add.reduceat(tf, heads) if len(heads) else heads
+        key = key[heads]
+        return cls(first, np.bincount(slot_of_row, minlength=len(first)), dl[first], words.take(pa.array(order)), key // size, key % size, added.astype(np.int32))
 
     @classmethod
     def of_texts(cls, rows: pa.Table) -> "Home":
@@ -158,7 +163,7 @@ def home_blocks(read, block_rows: int, schema: pa.Schema):
         blocks = home.block_columns(block_rows)
         n = len(blocks[0])
         blocks = [*(w.take(pa.array(np.zeros(n, np.int64))) for w in where), *blocks, pa.nulls(n, schema.field("docs").type)]
-        return pa.concat_tables(pa.Table.from_arrays(c, names=schema.names).cast(schema) for c in (listed, blocks))
+        return text_scores.in_pieces(pa.concat_tables(pa.Table.from_arrays(c, names=schema.names).cast(schema) for c in (listed, blocks)))
 
     return build
 
@@ -172,7 +177,7 @@ def home_counts(sign: int, schema: pa.Schema):
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, 0, *many]).astype(np.int32)), pa.array((sign * counts).astype(np.int32)))
         sums = [pa.array(np.append(sign * v, np.zeros(n, np.int64)).astype(np.int64)) for v in (home.rows.sum(), (home.rows * home.dl).sum())]
         scope = rows["scope"].combine_chunks().take(pa.array(np.zeros(n + 1, np.int64)))
-        return pa.Table.from_arrays([scope, pa.concat_arrays([pa.array([""], home.terms.type), home.terms]), lists, *sums], names=schema.names).cast(schema)
+        return text_scores.in_pieces(pa.Table.from_arrays([scope, pa.concat_arrays([pa.array([""], home.terms.type), home.terms]), lists, *sums], names=schema.names).cast(schema))
 
     return count
 
@@ -186,7 +191,7 @@ def dealt(rows: DataFrame, homes: int) -> DataFrame:
     out = rows.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(1, homes))).cast("int"))
     tasks = -(-homes // HOMES_PER_TASK)
     if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")):
-        out = out.repartition(tasks, "scope", "bucket")
+        out = out.repartition(tasks, "bucket", "scope")
     return out
 
 
@@ -200,19 +205,19 @@ def dealt_texts(docs: DataFrame, home_docs: int = HOME_DOCS) -> DataFrame:
 def make_blocks(docs: DataFrame, home_docs: int = HOME_DOCS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of docs (scope, unit, version, doc, text). Texts move once, to their home; postings do not."""
     ddl = blocks_ddl(docs.schema["doc"].dataType.simpleString())
-    return dealt_texts(docs, home_docs).groupBy("scope", "bucket").applyInArrow(home_blocks(Home.of_texts, block_rows, _arrow(ddl)), ddl)
+    return dealt_texts(docs, home_docs).groupBy("bucket", "scope").applyInArrow(home_blocks(Home.of_texts, block_rows, _arrow(ddl)), ddl)
 
 
 def remade_blocks(postings: DataFrame, docs: int, tokens: int, home_docs: int = HOME_DOCS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of postings (scope, unit, version, doc, dl, term, tf) of so many documents with so many tokens."""
     ddl = blocks_ddl(postings.schema["doc"].dataType.simpleString())
     homes = max(-(-docs // home_docs), -(-tokens * 6 // HOME_BYTES))
-    return dealt(postings, homes).groupBy("scope", "bucket").applyInArrow(home_blocks(Home.of_postings, block_rows, _arrow(ddl)), ddl)
+    return dealt(postings, homes).groupBy("bucket", "scope").applyInArrow(home_blocks(Home.of_postings, block_rows, _arrow(ddl)), ddl)
 
 
 def ended_counts(docs: DataFrame, home_docs: int = HOME_DOCS) -> DataFrame:
     """What docs (scope, unit, version, doc, text) take back from the counts when they end."""
-    return dealt_texts(docs, home_docs).groupBy("scope", "bucket").applyInArrow(home_counts(-1, _arrow(ENDED)), ENDED)
+    return dealt_texts(docs, home_docs).groupBy("bucket", "scope").applyInArrow(home_counts(-1, _arrow(ENDED)), ENDED)
 
 
 def size_deltas(blocks: DataFrame, ended: DataFrame) -> DataFrame:
@@ -355,7 +360,8 @@ class BlockSearch:
         if once is not None:
             listed = once.select(*HOME, F.lit(None).cast("string").alias("term"), F.array("slot").alias("slots"), F.array("dl").alias("tfs"), "doc")
             blocks = self.corpus.blocks.where("term <> ''").select(*HOME, "term", "entries.slots", "entries.tfs", F.lit(None).cast(doc).alias("doc"))
-            parts.append((blocks.unionByName(listed).groupBy(*HOME), text_scores.home_scorer))
+            # sorted by a number first
+            parts.append((blocks.unionByName(listed).groupBy("bucket", "segment", "scope"), text_scores.home_scorer))
         if twice is not None:
             group = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-(sizes["t"] or 0) // WIDE_TOKENS)))).cast("int")
             parts.append((live_postings(self.corpus, twice).select(group.alias("part"), "doc", "dl", "term", "tf").groupBy("part"), text_scores.posting_scorer))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_MATRIX_BYTES = 32 << 20
 MAX_KNOWN_WORDS = 500_000
+#: Of a home: bytes of the matrix of a part of its documents, terms that are compared at once.
+PART_BYTES, PIECE = 8 << 20, 1 << 15
 #: Slots of a counting pass that are no prefix.
 DOCS, MEASURED, TOKENS, IDS = -1, -2, -3, -4
 
@@ -230,7 +232,8 @@ def blank_separated(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     toks = pc.split_pattern(text, " ")
     own = np.diff(toks.offsets.to_numpy())
     coded = toks.values.slice(toks.offsets[0].as_py(), int(own.sum())).dictionary_encode()
-    row, code, words = np.repeat(np.arange(len(own)), own), coded.indices.to_numpy(), coded.dictionary
+    del toks
+    row, code, words = np.repeat(np.arange(len(own), dtype=np.int32), own), coded.indices.to_numpy(), coded.dictionary
     blank = pc.index(words, "").as_py()
     if blank >= 0:
         there = code != blank
@@ -239,6 +242,12 @@ def blank_separated(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.bincount(row, minlength=len(own)), row, code, words
 
 
+def in_pieces(rows: pa.Table) -> pa.Table:
+    """The table as small batches, which the JVM takes one by one. A worker would keep what its largest home took, so unused memory goes back."""
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(rows.to_batches(max_chunksize=PIECE // 2), rows.schema)
+
+
 def numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """(first, number): rows with equal columns have one number; first is where it first occurs."""
     key = np.zeros(len(columns[0]), np.int64)
@@ -248,6 +257,25 @@ def numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     return first, key
 
 
+def by_small(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0 to below; few values sort in linear time."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
+def _shared(terms: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length, characters shared with the term before) of sorted terms, both up to `longest`."""
+    length, shared = np.zeros(len(terms), np.int8), np.zeros(len(terms), np.int8)
+    for low in range(0, len(terms), PIECE):
+        # one term of the piece before
+        first = max(low - 1, 0)
+        own = terms.slice(first, low - first + PIECE).to_pylist()
+        chars = np.array(own, dtype=f"U{longest}").view(np.uint32).reshape(len(own), longest)
+        length[first:first + len(own)] = (chars != 0).sum(axis=1)
+        same = (chars[1:] == chars[:-1]) & (chars[1:] != 0)
+        shared[first + 1:first + len(own)] = np.where(same.all(axis=1), longest, same.argmin(axis=1))
+    return length, shared
+
+
 def prefix_documents(terms: pa.Array, term: np.ndarray, slot: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(many, df): for sorted terms and their pairs (term, slot), in how many slots the prefixes of up to `longest` characters
     occur. A prefix stands with the first term that has it: many says how many of them each term is the first to have, the
@@ -259,29 +287,32 @@ def prefix_documents(terms: pa.Array, term: np.ndarray, slot: np.ndarray, longes
     n = len(terms)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars = np.array(terms.to_pylist(), dtype=f"U{longest}").view(np.uint32).reshape(n, longest)
-    length = (chars != 0).sum(axis=1)
-    same = (chars[1:] == chars[:-1]) & (chars[1:] != 0)
-    shared = np.append(0, np.where(same.all(axis=1), longest, same.argmin(axis=1))).astype(np.int8)
+    length, shared = _shared(terms, longest)
     # least[k][i]: what the terms i - 1 to i - 1 + 2^k share
     least = [shared]
     while 1 << len(least) < n:
         half = 1 << (len(least) - 1)
         least.append(np.append(np.minimum(least[-1][:-half], least[-1][half:]), least[-1][-half:]))
-    order = np.argsort(slot.astype(np.uint16) if len(slot) and slot.max() < 1 << 16 else slot, kind="stable")
-    now, before = term[order], np.append(-1, term[order][:-1])
+    table, order = np.stack(least), by_small(slot, int(slot.max(initial=0)) + 1)
+    del least
+    now, common = term[order], np.zeros(len(order), np.int8)
     fresh = np.append(True, np.diff(slot[order]) != 0)
-    span = np.where(fresh, 1, now - before)
-    k = np.frexp(span.astype(np.float64))[1] - 1
-    table = np.stack(least)
-    common = np.where(fresh, 0, np.minimum(table[k, np.where(fresh, 0, before + 1)], table[k, now - (1 << k) + 1]))
-    below = np.bincount(common.astype(np.int64) * n + now, minlength=(longest + 1) * n).astype(np.int32).reshape(longest + 1, n).cumsum(axis=0, dtype=np.int32)
-    found = np.zeros((longest, n), np.int32)
+    for low in range(1, len(order), 4 * PIECE):
+        high = min(low + 4 * PIECE, len(order))
+        z = low + np.flatnonzero(~fresh[low:high])
+        before, after = now[z - 1], now[z]
+        k = np.frexp((after - before).astype(np.float64))[1] - 1
+        common[z] = np.minimum(table[k, before + 1], table[k, after - (1 << k) + 1])
+    now, ends = now[np.argsort(common, kind="stable")], np.cumsum(np.bincount(common, minlength=longest))
+    many = (length - shared).astype(np.int64)
+    place = np.cumsum(many) - many - shared
+    df, below = np.zeros(many.sum(), np.int64), np.zeros(n, np.int64)
     for size in range(1, int(length.max()) + 1):
+        below += np.bincount(now[ends[size - 2] if size > 1 else 0:ends[size - 1]], minlength=n)
         starts = np.flatnonzero(shared < size)
-        found[size - 1, starts] = np.add.reduceat(below[size - 1], starts)
-    sizes = np.arange(1, longest + 1)
-    return length - shared, found.T[(shared[:, None] < sizes) & (sizes <= length[:, None])]
+        found, there = np.add.reduceat(below, starts), length[starts] >= size
+        df[place[starts[there]] + size - 1] = found[there]
+    return many, df
 
 
 def _positions(code: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -298,9 +329,10 @@ def posting_scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: fl
     def score(postings: pa.Table) -> pa.Table:
         coded, dl = postings["term"].combine_chunks().dictionary_encode(), postings["dl"].to_numpy().astype(np.int64)
         find = terms.finder()
-        at, prefix = _positions(coded.indices.to_numpy(zero_copy_only=False), [find(w) for w in coded.dictionary.to_pylist()])
+        found = [find(w) for w in coded.dictionary.to_pylist()]
+        starts, prefix = np.cumsum([0, *map(len, found)]), np.array([p for h in found for p in h], np.int64)
         units = _Units.of(postings["doc"].combine_chunks(), dl)
-        return units.best(terms, units.number[at], prefix, postings["tf"].to_numpy()[at], idf, average, k, k1, b, digits)
+        return units.best(terms, units.number, coded.indices.to_numpy(), postings["tf"].to_numpy(), starts, prefix, idf, average, k, k1, b, digits)
 
     return score
 
@@ -313,16 +345,16 @@ def home_scorer(terms: Terms, idf: np.ndarray, average: float, k: int, k1: float
         docs, blocks = rows.filter(listed), rows.filter(pc.invert(listed))
         units = _Units.of(docs["doc"].combine_chunks(), pc.list_flatten(docs["tfs"]).to_numpy().astype(np.int64))
         at, prefix = _ranges(blocks["term"].combine_chunks(), terms.words)
+        order = np.argsort(at, kind="stable")
+        starts, prefix = np.append(0, np.cumsum(np.bincount(at, minlength=blocks.num_rows))), prefix[order]
         slots, tfs = (pc.list_flatten(blocks[c]).to_numpy() for c in ("slots", "tfs"))
-        many = pc.list_value_length(blocks["slots"]).to_numpy().astype(np.int64)
+        word = np.repeat(np.arange(blocks.num_rows, dtype=np.int32), pc.list_value_length(blocks["slots"]).to_numpy())
         own = pc.list_flatten(docs["slots"]).to_numpy()
-        unit = np.full(max(slots.max(initial=-1), own.max(initial=-1)) + 1, -1, np.int64)
+        unit = np.full(max(slots.max(initial=-1), own.max(initial=-1)) + 1, -1, np.int32)
         unit[own] = units.number
-        n = many[at]
-        inside = np.arange(n.sum()) + np.repeat((np.cumsum(many) - many)[at] - (np.cumsum(n) - n), n)
-        found = unit[slots[inside]]
-        there = np.flatnonzero(found >= 0)
-        return units.best(terms, found[there], np.repeat(prefix, n)[there], tfs[inside[there]], idf, average, k, k1, b, digits)
+        found = unit[slots]
+        there = (found >= 0) & (np.diff(starts) > 0)[word]
+        return units.best(terms, found[there], word[there], tfs[there], starts, prefix, idf, average, k, k1, b, digits)
 
     return score
 
@@ -356,12 +388,13 @@ class _Units:
         keys, first, number = np.unique(doc * (dl.max(initial=0) + 1) + dl, return_index=True, return_inverse=True)
         return cls(coded.dictionary, doc[first], dl[first], number)
 
-    def best(self, terms: Terms, unit: np.ndarray, prefix: np.ndarray, tf: np.ndarray, idf: np.ndarray, average: float, k: int, k1: float, b: float, digits: int) -> pa.Table:
-        """Best k ids per request from postings (unit, prefix, tf)."""
+    def best(self, terms: Terms, unit: np.ndarray, word: np.ndarray, tf: np.ndarray, starts: np.ndarray, prefix: np.ndarray, idf: np.ndarray, average: float,
+             k: int, k1: float, b: float, digits: int) -> pa.Table:
+        """Best k ids per request from postings (unit, word, tf). A word begins with the prefixes from its start to the next."""
         size = len(terms.words)
-        step = max(1, MAX_MATRIX_BYTES // (8 * max(size, len(terms.prefix))))
-        order = np.argsort(unit.astype(np.uint16) if len(self.dl) <= 1 << 16 else unit, kind="stable")
-        unit, prefix, tf = unit[order], prefix[order], tf[order]
+        step = max(1, PART_BYTES // (8 * max(size, len(terms.prefix))))
+        order = by_small(unit, len(self.dl))
+        unit, word, tf = unit[order], word[order], tf[order]
         ends = np.append(0, np.cumsum(np.bincount(unit, minlength=len(self.dl))))
         first_of_doc = np.append(True, np.diff(self.doc) != 0)
         top, low = BestRows(len(terms.query_ids), k, self.ids.type), 0
@@ -370,9 +403,17 @@ class _Units:
             while high < len(self.dl) and not first_of_doc[high]:
                 high += 1
             a, z = ends[low], ends[high]
-            f = np.bincount((unit[a:z] - low) * size + prefix[a:z], weights=tf[a:z], minlength=(high - low) * size).reshape(-1, size).T
-            weight = idf[:, None] * f * (k1 + 1) / (f + (k1 * ((1 - b) + b * self.dl[low:high] / average))[None, :])
-            exact = np.add.reduceat(weight[terms.prefix] * terms.qtf[:, None], terms.starts, axis=0)
+            n = (starts[1:] - starts[:-1])[word[a:z]]
+            inside = np.arange(n.sum()) + np.repeat(starts[word[a:z]] - (np.cumsum(n) - n), n)
+            cell = prefix[inside] * (high - low) + np.repeat(unit[a:z] - low, n)
+            weight = np.bincount(cell, weights=np.repeat(tf[a:z], n), minlength=size * (high - low)).reshape(size, -1)
+            f = weight.copy()
+            weight *= idf[:, None] * (k1 + 1)
+            f += (k1 * ((1 - b) + b * self.dl[low:high] / average))[None, :]
+            weight /= f
+            asked = weight[terms.prefix]
+            asked *= terms.qtf[:, None]
+            exact = np.add.reduceat(asked, terms.starts, axis=0)
             firsts = np.flatnonzero(first_of_doc[low:high])
             exact = np.add.reduceat(exact, firsts, axis=1)
             ids = self.ids.take(pa.array(self.doc[low:high][firsts]))
