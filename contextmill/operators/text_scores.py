@@ -406,9 +406,11 @@ class _Units:
             n = (starts[1:] - starts[:-1])[word[a:z]]
             inside = np.arange(n.sum()) + np.repeat(starts[word[a:z]] - (np.cumsum(n) - n), n)
             cell = prefix[inside] * (high - low) + np.repeat(unit[a:z] - low, n)
-            weight = np.bincount(cell, weights=np.repeat(tf[a:z], n), minlength=size * (high - low)).reshape(size, -1)
+            weight = np.bincount(cell, weights=np.repeat(tf[a:z], n), minlength=size * (high - low)).astype(np.float64, copy=False).reshape(size, -1)
             f = weight.copy()
-            weight *= idf[:, None] * (k1 + 1)
+            # in the order of the formula, so that scores are rounded as elsewhere
+            weight *= idf[:, None]
+            weight *= k1 + 1
             f += (k1 * ((1 - b) + b * self.dl[low:high] / average))[None, :]
             weight /= f
             asked = weight[terms.prefix]

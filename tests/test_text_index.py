@@ -168,6 +168,14 @@ def test_a_document_of_several_segments_is_scored_whole(spark, tmp_path, asked,
     assert answers(index.search(asked, 7)) == full(spark, one + one[:3] + two, asked, 7)
 
 
+def test_a_wide_batch_may_find_nothing(spark, tmp_path, asked, monkeypatch):
+    monkeypatch.setattr(pb, "MAX_PUSHED_PREFIXES", 3)
+    index = TextSegments(spark, str(tmp_path / "ix"))
+    for i, text in enumerate(["", "...", "other words", None]):
+        index.apply(rows(spark, [(i, text)], T[i]))
+    assert index.search(asked, 5).count() == 0 and index.units().count() == 4
+
+
 def test_search_reads_no_texts_and_prunes_terms(spark, tmp_path):
     index = TextSegments(spark, str(tmp_path / "ix"))
     index.apply(rows(spark, corpus(9, 50), T[0]))
